@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .op1_decontaminate import op1_decontaminate
 from .op4_simhash import op4_simhash
 from .op10_quality import op10_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
+    "op1_decontaminate": op1_decontaminate,
     "op4_simhash": op4_simhash,
     "op10_quality": op10_quality,
 }
