@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_decontaminate import op1_decontaminate
 from .op4_simhash import op4_simhash
+from .op7_mixing import ORACLE_SQL as OP7_SQL
+from .op7_mixing import op7_mixing
 from .op10_quality import op10_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +17,10 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_simhash": op4_simhash,
+    "op7_mixing": op7_mixing,
     "op10_quality": op10_quality,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_mixing": OP7_SQL,
+}
