@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_decontaminate import op1_decontaminate
 from .op4_simhash import op4_simhash
+from .op5_pii import op5_pii
 from .op7_mixing import ORACLE_SQL as OP7_SQL
 from .op7_mixing import op7_mixing
 from .op10_quality import op10_quality
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op4_simhash": op4_simhash,
+    "op5_pii": op5_pii,
     "op7_mixing": op7_mixing,
     "op10_quality": op10_quality,
 }
