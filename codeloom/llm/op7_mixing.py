@@ -32,7 +32,7 @@ SHARE = 1.5
 MOST = 2
 SEED = 7
 #: Documents that a shard holds on average.
-SHARD_DOCS = 20_000
+SHARD_DOCS = 4_000
 #: A block has a 2**20th of the mix, but at most so many words, and at most this part of any target.
 BLOCKS = 1 << 20
 BLOCK_WORDS = 1024
