@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .op1_decontaminate import op1_decontaminate
+from .op2_toxicity import op2_toxicity
 from .op4_simhash import op4_simhash
 from .op5_pii import op5_pii
 from .op7_mixing import ORACLE_SQL as OP7_SQL
@@ -17,6 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_toxicity": op2_toxicity,
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
     "op7_mixing": op7_mixing,
