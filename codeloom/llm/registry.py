@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .op1_decontaminate import op1_decontaminate
 from .op2_toxicity import op2_toxicity
+from .op3_chat import ORACLE_SQL as OP3_SQL
+from .op3_chat import op3_chat
 from .op4_simhash import op4_simhash
 from .op5_pii import op5_pii
 from .op7_mixing import ORACLE_SQL as OP7_SQL
 from .op7_mixing import op7_mixing
+from .op9_urls import op9_urls
 from .op10_quality import op10_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,12 +22,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {
     "op1_decontaminate": op1_decontaminate,
     "op2_toxicity": op2_toxicity,
+    "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
     "op7_mixing": op7_mixing,
+    "op9_urls": op9_urls,
     "op10_quality": op10_quality,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_chat": OP3_SQL,
     "op7_mixing": OP7_SQL,
 }
