@@ -17,8 +17,6 @@ an empty table gives an empty result; a null ``doc_id`` is never held out.
 
 from __future__ import annotations
 
-import zlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,14 +38,45 @@ PRIOR = 2.0
 EPOCHS = 3
 ROUNDS = 4
 _SHORTEST = 10
+_PRIME = np.uint64(1_000_003)
 _STRIP = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”„’‘…–—"
 
 
-def subwords(word: str) -> list[int]:
-    """Buckets of the word and of its character n-grams; edge punctuation doesn't count."""
-    w = f"<{word.strip(_STRIP)}>"
-    grams = {w, *(w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1))}
-    return [zlib.crc32(g.encode("utf-8", "surrogatepass")) % BUCKETS for g in sorted(grams)]
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of every word and of its character n-grams, and where each word's begin (plus the end).
+
+    All words are hashed at once, as polynomials of code points. Edge punctuation doesn't count; words
+    hold no white space, so a line feed parts them.
+    """
+    if not words:
+        return np.empty(0, np.int32), np.zeros(1, np.int64)
+    text = "\n".join(f"<{w.strip(_STRIP)}>" for w in words)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    gap = codes == 10
+    word = np.cumsum(gap)
+    start = np.concatenate(([0], np.flatnonzero(gap) + 1))
+    power = _power(int(np.diff(np.append(start, len(codes) + 1)).max()))
+    found, owner = [np.add.reduceat(np.where(gap, np.uint64(0), codes) * power[np.arange(len(codes)) - start[word]], start)], [np.arange(len(words))]
+    for n in (3, 4, 5):
+        m = len(codes) - n + 1
+        if m < 1:
+            break
+        h = np.full(m, n, np.uint64)
+        for k in range(n):
+            h = h * _PRIME + codes[k : k + m]
+        at = np.flatnonzero((word[:m] == word[n - 1 :]) & ~gap[:m])
+        found.append(h[at])
+        owner.append(word[at])
+    h, owner = np.concatenate(found), np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    flat = ((h >> np.uint64(32)) % np.uint64(BUCKETS)).astype(np.int32)[order]
+    return flat, np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(words)))))
+
+
+def _power(n: int) -> np.ndarray:
+    """Odd powers for hashing whole words, by position."""
+    return np.cumprod(np.full(max(n, 1), _PRIME, np.uint64))
 
 
 def words(text: str | None) -> list[str]:
@@ -62,11 +91,14 @@ class Weights(dict):
         super().__init__()
         self.table = table
 
-    def __missing__(self, word: str) -> float:
+    def of(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The weights of the words of each text."""
         if len(self) > 500_000:
             self.clear()
-        value = self[word] = float(self.table[subwords(word)].mean())
-        return value
+        if new := list(dict.fromkeys(w for ws in texts for w in ws if w not in self)):
+            flat, offsets = subwords(new)
+            self.update(zip(new, (np.add.reduceat(self.table[flat], offsets[:-1]) / np.diff(offsets)).tolist(), strict=True))
+        return [np.fromiter(map(self.__getitem__, ws), np.float64, len(ws)) for ws in texts]
 
 
 def worst(weights: np.ndarray) -> tuple[float, int]:
@@ -120,14 +152,11 @@ def train(texts: list[str | None], labels: list[int], toxic_share: float, rounds
         return np.zeros(BUCKETS, np.float32), 0.0, float(np.log(share / (1 - share)))
     numbers: dict[str, int] = {}
     docs = [np.array([numbers.setdefault(w, len(numbers)) for w in words(t)], np.int32) for t in texts]
-    lists = [np.array(subwords(w), np.int32) for w in numbers]
+    flat, offsets = subwords(list(numbers))
     held = np.zeros((2, BUCKETS))
     for d, c in zip(docs, labels, strict=True):
         if len(d):
-            held[c, np.unique(np.concatenate([lists[w] for w in np.unique(d).tolist()]))] += 1
-    offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-    flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
-    del lists
+            held[c, np.unique(np.concatenate([flat[offsets[w] : offsets[w + 1]] for w in np.unique(d).tolist()]))] += 1
     draw = np.random.default_rng(seed)
     u = draw.standard_normal((DIM, 2)) * 0.5
     # A warm start along the softmax: each bucket's smoothed log-odds by the documents that have it.
@@ -141,6 +170,8 @@ def train(texts: list[str | None], labels: list[int], toxic_share: float, rounds
     filled = [i for i, d in enumerate(docs) if len(d)]
 
     def by_word() -> np.ndarray:
+        if not len(flat):
+            return np.zeros(0)
         table = model["e"] @ (model["u"][:, 1] - model["u"][:, 0])
         return np.add.reduceat(table[flat], offsets[:-1]) / np.diff(offsets)
 
@@ -211,7 +242,7 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def make(lot: list[str | None], kept: list = []) -> list[pa.Array]:  # noqa: B006  one memory a task
         if not kept:
             kept.append(Weights(table))
-        x = [worst(np.fromiter(map(kept[0].__getitem__, ws := words(t)), np.float64, len(ws)))[0] for t in lot]
+        x = [worst(w)[0] for w in kept[0].of([words(t) for t in lot])]
         z = np.clip(scale * np.array(x, float) + shift, -500, 500)
         return [pa.array(1 / (1 + np.exp(-z)), pa.float64())]
 
