@@ -12,6 +12,7 @@ from .op3_chat import ORACLE_SQL as OP3_SQL
 from .op3_chat import op3_chat
 from .op4_simhash import op4_simhash
 from .op5_pii import op5_pii
+from .op6_secrets import op6_secrets
 from .op7_mixing import ORACLE_SQL as OP7_SQL
 from .op7_mixing import op7_mixing
 from .op9_urls import op9_urls
@@ -25,6 +26,7 @@ QUERIES: dict[str, Query] = {
     "op3_chat": op3_chat,
     "op4_simhash": op4_simhash,
     "op5_pii": op5_pii,
+    "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
