@@ -75,3 +75,8 @@ def map_rows(
 def n_words(text: Column) -> Column:
     """Number of words, null counted as none, without leaving the JVM."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` with ``value`` worked out once, also where ``body`` is used inside other lambdas."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -19,12 +19,10 @@ scanned whole; repeated rows are scanned alike; an empty table gives an empty re
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh
+from .common import fresh, let
 
 # The base patterns, in the order of their kinds.
 ASSIGN = r"(?:(?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
@@ -52,11 +50,6 @@ _ALPHABETS = (
 _SPAN = "array<struct<start:bigint,kind:int,stop:bigint,text:string>>"
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` with ``value`` worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def spans(text: Column, pattern: str, kind: int, hint: str | None = None, least: int = 0) -> Column:
     """Spans of the leftmost non-overlapping matches; with ``least``, of those whose group 1 is that long."""
     shown = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -126,7 +119,7 @@ def p_random(token: Column) -> Column:
         p_serial = 2 * _tail(F.abs(r + 1 / n) * F.sqrt(n))
         return F.least(F.lit(1.0), 3 * F.least(p_chi, p_runs, p_serial))
 
-    return F.when(F.size(_values(token)["v"]) >= CLASSES[0] - 4, _let(_values(token), battery)).otherwise(0.0)
+    return F.when(F.size(_values(token)["v"]) >= CLASSES[0] - 4, let(_values(token), battery)).otherwise(0.0)
 
 
 def length_class(token: Column) -> Column:

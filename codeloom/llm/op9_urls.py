@@ -5,8 +5,8 @@ of each hashed character n-gram (3 to 5) of host and path, trained with Spark's
 table. Features and scores are column expressions: an n-gram's bucket is a polynomial of its code points, and
 a score is a fold over the string with the 2,048 weights as one literal array. One pass, no shuffle.
 
-Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and scores as
-the bias alone does (allowed); repeated rows are judged alike; an empty table gives an empty result.
+Defined cases: a null URL or one without ``://`` has an empty host and path, fits no rule and, like
+any shorter than five characters, scores 0 (allowed); repeated rows are judged alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, let
 
 BUCKETS = 2048
 GRAMS = (3, 4, 5)
@@ -33,39 +33,40 @@ RULES = (
     ("allow", "org", "/fr/"),
 )
 
-# The labelled table, host and path of unwanted (1) and wanted (0) pages.
+# Site names of the labelled table, unwanted (1) and wanted (0).
 UNWANTED = """
-spam-farm.example.com/en/1 spamlinks.example.org/out/7 www.spam-mail.example.com/offers cheap-pills.example.org/en/22 cheappills.example.com/buy
-cheap-meds.example.com/order pills-online.example.org/rx/5 buy-pills.example.com/en/9 viagra-shop.example.com/cheap free-bets.example.com/en/3
-freebets.example.org/bonus bets-bonus.example.com/win best-bets.example.org/odds casino-royal.example.com/slots casino.example.org/en/4
-online-casino.example.com/poker poker-win.example.org/play slots-bonus.example.com/spin ads-track.example.com/en/5 adstrack.example.org/click
-ads-click.example.com/banner track-ads.example.org/pixel adserver.example.com/ads/1 click-ads.example.com/en/8 banner-ads.example.org/track
-xxx-videos.example.com/hot sex-cams.example.org/live porn-hub.example.com/free adult-xxx.example.com/en/6 hot-singles.example.org/dating
-payday-loan.example.com/apply fast-loans.example.org/cash easy-cash.example.com/money free-money.example.org/win quick-loan.example.com/en/2
-win-prize.example.com/claim free-iphone.example.org/winner lottery-winner.example.com/claim free-gift.example.com/survey
-replica-watches.example.com/sale cheap-replica.example.org/bags cheap-handbags.example.com/outlet fake-rolex.example.com/buy
-seo-links.example.com/buy link-farm.example.org/dir link-farm.example.com/en/44 buy-followers.example.com/cheap cheap-likes.example.org/buy
-crypto-double.example.com/invest bitcoin-profit.example.org/now forex-signals.example.com/profit get-rich.example.com/quick
-malware-dl.example.com/crack warez-crack.example.org/keygen cracked-apps.example.com/download torrent-crack.example.com/en/12
-phish-login.example.com/verify verify-account.example.org/login secure-update.example.com/paypal weight-loss.example.com/miracle
-diet-pills.example.org/buy miracle-cure.example.com/order cheap-flights-spam.example.com/deal hot-deals.example.com/cheap
+spam-farm spamlinks spam-mail cheap-pills cheappills cheap-meds pills-online buy-pills viagra-shop free-bets freebets bets-bonus best-bets
+casino-royal casino online-casino poker-win slots-bonus ads-track adstrack ads-click track-ads adserver click-ads banner-ads adult-x adult-xxx
+xxx-videos sex-cams porn-hub hot-singles payday-loan fast-loans easy-cash free-money quick-loan win-prize free-iphone lottery-winner free-gift
+replica-watches cheap-replica cheap-handbags fake-rolex seo-links link-farm buy-followers cheap-likes crypto-double bitcoin-profit
+forex-signals get-rich malware-dl warez-crack cracked-apps torrent-crack phish-login verify-account secure-update weight-loss diet-pills
+miracle-cure hot-deals click-bait clickbait spyware-free adult-cams bet-now pill-store x-rated
 """.split()
 WANTED = """
-www.example.com/en/1 example.org/en/22 blog.example.com/fr/9 m.example.org/es/17 news.example.com/2020/05/12 docs.example.org/guide/install
-library.example.org/catalog/77 university.example.com/courses/math museum.example.org/exhibits/4 wiki.example.org/wiki/history
-theater.example.com/en/3 thering.example.com/en/450 tionsh.example.org/de/5 blog.thered.example.com/es/71 m.stones.example.org/en/8
-www.garden.example.com/plants/roses recipes.example.org/soup/33 kitchen.example.com/en/14 weather.example.org/today maps.example.com/city/12
-sports.example.com/football/9 chess.example.org/openings/3 music.example.com/albums/88 books.example.org/en/19 authors.example.com/fr/6
-science.example.org/physics/1 biology.example.com/cells/2 chemistry.example.org/en/4 history.example.com/rome/7 art.example.org/es/9
-travel.example.com/norway/5 hiking.example.org/trails/14 cycling.example.com/de/23 rivers.example.org/en/31 mountains.example.com/fr/2
-code.example.org/project/readme software.example.com/docs/api linux.example.org/howto/4 python.example.com/tutorial/6 data.example.org/sets/12
-health.example.org/en/11 doctors.example.com/clinic/3 hospital.example.org/visit school.example.com/en/17 teachers.example.org/fr/8
-city.example.com/council/2 government.example.org/forms/5 law.example.com/cases/91 economy.example.org/en/6 market.example.com/reports/7
-blog.wonder.example.com/en/15 m.hithere.example.org/en/48 ranthe.example.com/en/9 orinand.example.org/es/3 theble.example.com/fr/27
-ingthe.example.org/en/61 onsther.example.com/de/40 whenat.example.org/en/5 eranin.example.com/en/73 ndthes.example.org/es/20
-family.example.com/photos/3 archive.example.org/1999/11 forum.example.com/thread/812 help.example.org/faq/9 contact.example.com/about
-research.example.org/papers/12 journal.example.com/issue/8 poetry.example.org/en/2 cinema.example.com/fr/13 radio.example.org/listen
+news docs library university museum wiki theater thering tionsh thered stones garden recipes kitchen weather maps sports chess music books
+authors science biology chemistry history art travel hiking cycling rivers mountains code software linux python data health doctors
+hospital school teachers city government law economy market wonder hithere ranthe orinand theble ingthe onsther whenat eranin ndthes family
+archive forum help contact research journal poetry cinema radio tea-time book-club open-data city-guide sea-shore bird-watch home-work
+north-star green-house old-town river-side tiontion ththon ththen ththe ththere thther therthe ention ationth thatis thewhole otherthan
+another mother rather either whether weather-map station nation motion action mention attention edition addition singing thinking
+reading writing shining handson andhand standing thousand island england nothing something anything everything them then these those
+whose where there here hereby nearby onthe inthe ofthe tothe andthe forthe withthe bythe isthe thatthe ble able table stable notable
+lyre only early family-tree really likely handle candle bundle ended needed seeded heated seated created ated stated rested tested
 """.split()
+_TOPS = ("com", "org", "net")
+_LANGS = ("en", "fr", "de", "es")
+_ENDS = ("", "/", ".html")
+
+
+def labelled() -> list[tuple[str, str, float]]:
+    """The labelled table (host, path, label): each name under several hosts and paths, so only names tell."""
+    fronts = ("", "www.", "blog.", "m.")
+    return [
+        (f"{fronts[(i + k) % 4]}{name}.example.{_TOPS[(i + k) % 3]}", f"/{_LANGS[(i // 4 + k) % 4]}/{(397 * i + 211 * k) % 1000}{_ENDS[(i // 3 + k) % 3]}", label)
+        for label, names in ((1.0, UNWANTED), (0.0, WANTED))
+        for i, name in enumerate(names)
+        for k in range(4)
+    ]
 
 
 def parts(url: Column) -> tuple[Column, Column]:
@@ -86,9 +87,8 @@ def rule_of(host: Column, path: Column) -> Column:
     return out
 
 
-def _buckets(text: Column, n: int) -> Column:
-    """Buckets of the text's n-grams, from code points alone."""
-    codes = F.transform(F.split(F.concat(F.lit("^"), text, F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
+def _buckets(codes: Column, n: int) -> Column:
+    """Buckets of a text's n-grams, from its code points alone."""
 
     def bucket(i: Column) -> Column:
         h = F.lit(n).cast("long")
@@ -102,7 +102,9 @@ def _buckets(text: Column, n: int) -> Column:
 def features(host: Column, path: Column) -> Column:
     """The buckets of all n-grams of host and path, repeats included."""
     whole = F.concat(host, path)
-    return F.when(F.length(whole) >= max(GRAMS), F.concat(*[_buckets(whole, n) for n in GRAMS])).otherwise(F.array().cast("array<int>"))
+    codes = F.transform(F.split(F.concat(F.lit("^"), whole, F.lit("$")), ""), lambda c: F.ascii(c).cast("long"))
+    grams = let(codes, lambda c: F.concat(*[_buckets(c, n) for n in GRAMS]))
+    return F.when(F.length(whole) >= max(GRAMS), grams).otherwise(F.array().cast("array<int>"))
 
 
 def _vector(buckets: Column) -> Column:
@@ -113,12 +115,11 @@ def _vector(buckets: Column) -> Column:
 
 @cache
 def _trained(app: str, spark: SparkSession) -> tuple[tuple[float, ...], float]:
-    rows = [(u.partition("/")[0], f"/{u.partition('/')[2]}", float(y)) for y, us in ((1, UNWANTED), (0, WANTED)) for u in us]
-    table = spark.createDataFrame(rows, "host string, path string, label double").coalesce(1)
+    table = spark.createDataFrame(labelled(), "host string, path string, label double").coalesce(1)
     # Cut, else each bucket's count would work out all n-grams again.
     grams = cut(table.select("label", features(F.col("host"), F.col("path")).alias("grams")))
     ready = cut(grams.select("label", array_to_vector(_vector(F.col("grams"))).alias("features")))
-    model = LogisticRegression(regParam=0.002, maxIter=100, standardization=False).fit(ready)
+    model = LogisticRegression(regParam=0.0003, maxIter=100, standardization=False).fit(ready)
     return tuple(float(x) for x in model.coefficients), float(model.intercept)
 
 
@@ -128,7 +129,7 @@ def unwanted(spark: SparkSession, found: Column) -> Column:
     table = F.split(F.lit(",".join(map(repr, weights))), ",").cast("array<double>")
     total = F.aggregate(found, F.lit(0.0), lambda a, b: a + F.get(table, b))
     z = F.lit(bias) + total * _SCALE / F.greatest(F.size(found), F.lit(1))
-    return 1 / (1 + F.exp(-z))
+    return F.when(F.size(found) > 0, 1 / (1 + F.exp(-z))).otherwise(0.0)
 
 
 def judge(pages: DataFrame, url: str = "url", page_id: str = "page_id") -> DataFrame:
