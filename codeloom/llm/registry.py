@@ -15,6 +15,7 @@ from .op5_pii import op5_pii
 from .op6_secrets import op6_secrets
 from .op7_mixing import ORACLE_SQL as OP7_SQL
 from .op7_mixing import op7_mixing
+from .op8_suffixes import op8_suffixes
 from .op9_urls import op9_urls
 from .op10_quality import op10_quality
 
@@ -28,6 +29,7 @@ QUERIES: dict[str, Query] = {
     "op5_pii": op5_pii,
     "op6_secrets": op6_secrets,
     "op7_mixing": op7_mixing,
+    "op8_suffixes": op8_suffixes,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
 }
