@@ -27,7 +27,7 @@ from .common import map_rows
 
 #: Bounds on the training sample: labelled documents a class, and characters a class.
 TRAIN_DOCS = 4000
-TRAIN_CHARS = 12_000_000
+TRAIN_CHARS = 8_000_000
 PASSAGE = 20
 BUCKETS = 1 << 18
 DIM = 8
@@ -38,6 +38,8 @@ PRIOR = 2.0
 EPOCHS = 3
 ROUNDS = 4
 _SHORTEST = 10
+#: Words hashed at once.
+_LOT = 1 << 13
 _PRIME = np.uint64(1_000_003)
 _STRIP = "".join(chr(c) for c in range(33, 128) if not chr(c).isalnum()) + "«»“”„’‘…–—"
 
@@ -50,6 +52,10 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """
     if not words:
         return np.empty(0, np.int32), np.zeros(1, np.int64)
+    if len(words) > _LOT:
+        lots = [subwords(words[i : i + _LOT]) for i in range(0, len(words), _LOT)]
+        ends = np.cumsum([0, *[len(flat) for flat, _ in lots]])
+        return np.concatenate([flat for flat, _ in lots]), np.concatenate([[0], *[o[1:] + e for (_, o), e in zip(lots, ends, strict=False)]])
     text = "\n".join(f"<{w.strip(_STRIP)}>" for w in words)
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     gap = codes == 10
