@@ -35,11 +35,12 @@ def confidence(changes: DataFrame, table: DataFrame, keys: tuple[str, ...] = ("f
     """``(*keys, total_changes, pattern_matches, confidence_score)`` (AGG-17): 75 without rules, 100 without eligible changes."""
     found = matches(changes, table, keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("pattern_matches"))
     ruled = F.array(*[F.lit(k) for k in sorted({r["lang_key"] for r in table.select("lang_key").distinct().collect()})])
-    by = changes.groupBy(*keys).agg(F.count_if(F.col("status").isin(*ELIGIBLE)).alias("total_changes"), F.first(F.array_contains(ruled, rule_key(F.col("language")))).alias("has_rules"))
+    by = changes.groupBy(*keys).agg(F.count_if(F.col("status").isin(*ELIGIBLE)).alias("total_changes"), F.count(F.lit(1)).alias("all_changes"), F.first(F.array_contains(ruled, rule_key(F.col("language")))).alias("has_rules"))
     out = by.join(found, list(keys), "left").withColumn("pattern_matches", F.when(F.col("has_rules"), F.coalesce("pattern_matches", F.lit(0))).otherwise(0))
-    share = F.try_divide(F.lit(100.0) * F.col("pattern_matches"), F.col("total_changes")).cast("int")
+    share = (F.try_divide(F.col("pattern_matches"), F.col("total_changes")) * 100).cast("int")
     score = F.when(~F.col("has_rules"), 75).when(F.col("total_changes") == 0, 100).otherwise(F.greatest(F.lit(60), share))
-    return out.select(*keys, "total_changes", "pattern_matches", score.alias("confidence_score"))
+    total = F.when(F.col("has_rules"), F.col("total_changes")).otherwise(F.col("all_changes"))
+    return out.select(*keys, total.alias("total_changes"), "pattern_matches", score.alias("confidence_score"))
 
 
 __all__ = ["ELIGIBLE", "confidence", "golden", "matches"]

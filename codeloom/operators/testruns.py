@@ -9,24 +9,27 @@ from pyspark.sql import functions as F
 from .language import lookup
 from .structure import js_stubs, python_stubs
 
-# Framework by language where there is no repository, and marker files in order of precedence.
+# Framework by language where there is no repository, and messages.
 BY_LANGUAGE = {"Python": "pytest", "JavaScript": "jest", "TypeScript": "jest", "Java": "junit"}
 NO_TESTS = "No tests found. Characterization tests generated — review before committing."
 BLOCKED, PASSED = "Regression detected — change blocked.", "All tests passed."
 
 
-def framework(language: Column, paths: Column | None = None) -> Column:
-    """Test framework by language, or by the repository's files if ``paths`` (an array) is given (TST-1)."""
-    if paths is None:
+def framework(language: Column, root: Column | None = None) -> Column:
+    """Test framework by language, or by a repository's marker files (TST-1).
+
+    ``root`` maps the repository's paths to contents (empty where only the name matters).
+    """
+    if root is None:
         return F.coalesce(lookup(BY_LANGUAGE, language), F.lit("none"))
-    name = lambda p: F.element_at(F.split(p, "/"), -1)
-    has = lambda *names: F.exists(paths, lambda p: name(p).isin(*names))
-    test_file = F.exists(paths, lambda p: F.regexp_like(name(p), F.lit(r"^test_.*\.py$|_test\.py$")))
-    js_test = F.exists(paths, lambda p: F.regexp_like(name(p), F.lit(r"\.(test|spec)\.(js|ts|jsx|tsx)$")))
-    mocha = F.exists(paths, lambda p: name(p).startswith(".mocharc"))
+    paths = F.map_keys(root)
+    has = lambda *names: F.exists(paths, lambda p: p.isin(*names))
+    says = lambda name, text: F.coalesce(F.contains(F.try_element_at(root, F.lit(name)), F.lit(text)), F.lit(False))
+    tests = F.exists(paths, lambda p: F.regexp_like(p, F.lit(r"(^|/)test_[^/]*\.py$")))
     return (
-        F.when(has("pytest.ini", "conftest.py", "setup.cfg") | test_file, "pytest").when(has("jest.config.js", "jest.config.ts") | js_test, "jest")
-        .when(has("pom.xml", "build.gradle"), "junit").when(mocha, "mocha").when(has("unittest.cfg"), "unittest").otherwise("none")
+        F.when(has("pytest.ini") | says("setup.cfg", "[tool:pytest]") | says("pyproject.toml", "pytest") | tests, "pytest")
+        .when(has("jest.config.js", "jest.config.ts") | says("package.json", '"jest"'), "jest").when(has("pom.xml", "build.gradle"), "junit")
+        .when(has(".mocharc.js", ".mocharc.yml"), "mocha").when(language == "Python", "unittest").otherwise("none")
     )
 
 
