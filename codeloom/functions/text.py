@@ -62,3 +62,8 @@ def occurrences(text: Column, part: Column) -> Column:
 def let(value: Column, body) -> Column:  # noqa: ANN001
     """``body(value)`` with the value worked out once."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def barrier(udf):  # noqa: ANN001, ANN201
+    """A pandas UDF that the optimizer won't copy into other expressions: it must be worked out once, and can't be inside lambdas."""
+    return udf.asNondeterministic()

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, occurrences, pieces, quoted, strip
+from ..functions.text import barrier, let, occurrences, pieces, quoted, strip
 
 
 def in_order(changes: Column) -> Column:
@@ -91,7 +91,7 @@ def _diff(original: str | None, modified: str | None) -> tuple[str, float, int,
 
 def diff(original: Column, modified: Column) -> Column:
     """Unified diff and how little was changed (EDIT-3, EDIT-4); the matcher's heuristics have no native form."""
-    return F.pandas_udf(_diff_batch, _DIFF)(original, modified)
+    return barrier(F.pandas_udf(_diff_batch, _DIFF))(original, modified)
 
 
 def _diff_batch(original: pd.Series, modified: pd.Series) -> pd.DataFrame:

@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import barrier
 from .language import lookup
 from .structure import js_stubs, python_stubs
 
@@ -74,7 +75,7 @@ def compile_check(language: Column, content: Column) -> Column:
     The time is the constant that is reported for such a check, not a measurement.
     """
     python = language == "Python"
-    ok = F.pandas_udf(_compiles, "boolean")(F.when(python, content).otherwise(""))
+    ok = barrier(F.pandas_udf(_compiles, "boolean"))(F.when(python, content).otherwise(""))
     return F.struct(
         F.when(python & ok, 1).otherwise(0).alias("passed"), F.when(python & ~ok, 1).otherwise(0).alias("failed"), F.lit(0).alias("errors"),
         F.when(python, 100).otherwise(0).alias("execution_time_ms"),
