@@ -1,10 +1,600 @@
-"""Named queries over the driver's tables and their SQL."""
+"""Named queries over the driver's tables, each with its SQL where SQL can express it.
+
+Every query applies the engine's operators to a fixture of :mod:`.plans.fixtures`; its SQL makes the same fixture
+and says the rest independently.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import rules
+from .functions.text import lines, n_lines
+from .operators import accounts, agents, edits, graph, history, language, matching, risk, rollup, scan, structure, testruns
+from .plans import analysis, fixtures
+from .plans.fixtures import quote, sql_values
+from .sources import files as sources
+from .streaming import trace
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _re(text: str, regex: str, flags: str = "") -> str:
+    return f"regexp_matches({text}, {quote(f'(?{flags}){regex}' if flags else regex)})"
+
+
+_GENERIC = sql_values([(k, f"(?i){r}", s, i) for k, (r, s, i) in enumerate(rules.GENERIC_SCAN)])
+_PYTHON = sql_values([(k, f"(?i){r}", s, i) for k, (r, s, i) in enumerate(rules.PYTHON_SCAN)])
+_SECRETS = sql_values([(k, f"(?i){r}" if i else r) for k, (r, i) in enumerate(rules.SECRETS)])
+
+
+def _summary_sql(lines_cte: str) -> str:
+    return f"""WITH {lines_cte}, hits AS (
+  SELECT file_id, severity FROM code_lines JOIN {_GENERIC} r(rule_ord, regex, severity, issue) ON regexp_matches(line, regex)
+), secret AS (
+  SELECT file_id, count(*) AS n FROM code_lines JOIN {_SECRETS} r(rule_ord, regex) ON regexp_matches(line, regex) GROUP BY file_id
+)
+SELECT f.file_id, count(*) FILTER (severity = 'HIGH') AS high, count(*) FILTER (severity = 'MEDIUM') AS medium, count(*) FILTER (severity = 'LOW') AS low,
+  coalesce(any_value(s.n), 0)::BIGINT AS secrets, count(*) FILTER (severity = 'HIGH') = 0 AND coalesce(any_value(s.n), 0) = 0 AS gate_passed
+FROM (SELECT DISTINCT file_id FROM code_lines) f LEFT JOIN hits h ON f.file_id = h.file_id LEFT JOIN secret s ON f.file_id = s.file_id GROUP BY f.file_id"""
+
+
+# --- lines, findings, secrets -------------------------------------------------------------------------------------
+
+
+@_query(_summary_sql(fixtures.SQL_LINES))
+def security_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings by severity, secrets and the gate of every file (SCN-1, SCN-3, AGG-8)."""
+    return scan.summary(fixtures.code_lines(spark, sf_dir))
+
+
+@_query(_summary_sql("code_lines AS (SELECT doc_id AS file_id, unnest(string_split(text, chr(10))) AS line FROM documents)"))
+def security_summary_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on prose: hardly any rule holds (CHK-0)."""
+    docs = fixtures.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("text").alias("content"))
+    return scan.summary(scan.explode_lines(docs))
+
+
+def _findings_sql(table: str) -> str:
+    return f"""WITH {fixtures.SQL_LINES} SELECT file_id, line_no, CAST(rule_ord AS INTEGER) AS rule_ord, severity, issue
+FROM code_lines JOIN {table} r(rule_ord, regex, severity, issue) ON regexp_matches(line, regex)"""
+
+
+@_query(_findings_sql(_GENERIC))
+def security_findings_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line and rule that meet (SCN-1, JOIN-6)."""
+    return scan.findings(fixtures.code_lines(spark, sf_dir)).select("file_id", "line_no", "rule_ord", "severity", "issue")
+
+
+@_query(_findings_sql(_PYTHON))
+def py_security_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the Python rules (SCN-2)."""
+    return scan.findings(fixtures.code_lines(spark, sf_dir), python=F.lit(True)).select("file_id", "line_no", "rule_ord", "severity", "issue")
+
+
+@_query(f"""WITH {fixtures.SQL_LINES} SELECT file_id, line_no, CAST(rule_ord AS INTEGER) AS rule_ord, 'possible_secret' AS type, false AS verified
+FROM code_lines JOIN {_SECRETS} r(rule_ord, regex) ON regexp_matches(line, regex)""")
+def secrets_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that look like secrets (SCN-3)."""
+    return scan.secrets(fixtures.code_lines(spark, sf_dir))
+
+
+@_query("""SELECT doc_id, CAST(len(string_split(text, chr(10))) AS INTEGER) AS n_lines, CAST(list_max(list_transform(string_split(text, chr(10)), lambda x : length(x))) AS INTEGER) AS longest
+FROM documents""")
+def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document (CHK-0)."""
+    docs = fixtures.read(spark, sf_dir, "documents")
+    return docs.select("doc_id", n_lines(F.col("text")).alias("n_lines"), F.array_max(F.transform(lines(F.col("text")), F.length)).alias("longest"))
+
+
+# --- language and era ---------------------------------------------------------------------------------------------
+
+_EXT = sql_values([(e, k) for e, k in rules.EXTENSIONS.items() if k])
+
+
+@_query(f"""WITH {fixtures.SQL_FILES} SELECT file_idx, path, e.language FROM files LEFT JOIN {_EXT} e(ext, language)
+ON ext = lower(regexp_extract(path, '[^/.](\\.[^./]+)$', 1))""")
+def language_by_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language by extension (LNG-1)."""
+    return fixtures.files(spark, sf_dir).select("file_idx", "path", language.by_extension(F.col("path")).alias("language"))
+
+
+_CONTENT = " ".join(
+    f"WHEN {_re('substr(content, 1, 2000)', r, 'm' if m else '')} THEN " + ("CASE WHEN contains(substr(content, 1, 2000), '.h') THEN 'C' ELSE 'C++' END" if k == "C" else quote(k))
+    for k, r, m in rules.CONTENT
+)
+
+
+@_query(f"WITH {fixtures.SQL_FILES} SELECT file_idx, CASE {_CONTENT} END AS language FROM files")
+def language_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language by content (LNG-2)."""
+    return fixtures.files(spark, sf_dir).select("file_idx", language.by_content(F.col("content")).alias("language"))
+
+
+_LANGUAGE = f"coalesce((SELECT language FROM {_EXT} e(ext, language) WHERE ext = lower(regexp_extract(path, '[^/.](\\.[^./]+)$', 1))), CASE {_CONTENT} END, 'Unknown')"
+_ERAS = sql_values([(k, o, f"(?m){r}", e, h, rules.ERA_RANK.get(e, 99)) for k, rs in rules.ERAS.items() for o, (r, e, h) in enumerate(rs)])
+
+
+@_query(f"""WITH {fixtures.SQL_FILES}, named AS (SELECT *, {_LANGUAGE} AS language FROM files), hits AS (
+  SELECT file_idx, arg_min(era, ord + 100 * era_rank) FILTER (era IS NOT NULL) AS era, string_agg(hint, '; ' ORDER BY ord) AS hints
+  FROM named JOIN {_ERAS} s(lang, ord, regex, era, hint, era_rank) ON lang = language AND regexp_matches(content, regex) GROUP BY file_idx
+)
+SELECT n.file_idx, language, CASE WHEN language = 'Unknown' THEN 'unknown' ELSE coalesce(era, language || ' (modern)') END AS era,
+  CASE WHEN language = 'Unknown' THEN '' ELSE coalesce(hints, language || ' (no era markers detected)') END AS version_hint,
+  CASE WHEN language = 'Unknown' THEN 'low' WHEN hints IS NOT NULL THEN 'high' ELSE 'medium' END AS confidence
+FROM named n LEFT JOIN hits h ON n.file_idx = h.file_idx""")
+def era_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language, era, hints and confidence of every file (LNG-3, LNG-4, SRT-4, JOIN-7)."""
+    return language.detect(fixtures.files(spark, sf_dir)).select("file_idx", "language", "era", "version_hint", "confidence")
+
+
+@_query(f"""WITH {fixtures.SQL_FILES}, named AS (SELECT analysis_id, {_LANGUAGE} AS language FROM files)
+SELECT analysis_id, language, count(*) AS files, CAST(round_even(count(*) / sum(count(*)) OVER (PARTITION BY analysis_id) * 100, 0) AS INTEGER) AS percent
+FROM named GROUP BY analysis_id, language""")
+def language_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files a language and their percentage (AGG-1)."""
+    f = fixtures.files(spark, sf_dir)
+    return language.breakdown(f.withColumn("language", language.language(F.col("path"), F.col("content"))))
+
+
+# --- structure ----------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {fixtures.SQL_LINES} SELECT file_id, CAST((line_no - 1) // 20 AS BIGINT) AS chunk_index, min(line_no) AS start_line, max(line_no) AS end_line, count(*) AS n,
+  CAST((line_no - 1) // 20 * 20 AS BIGINT) AS line_offset FROM code_lines GROUP BY ALL""")
+def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed chunks of lines (CHK-1), of 20 lines so that there are several."""
+    return structure.line_chunks(fixtures.code_lines(spark, sf_dir), size=20)
+
+
+@_query()
+def ast_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions of every file as the parser reads them (AST-1 to AST-6, IMP-1)."""
+    f = language.detect(fixtures.files(spark, sf_dir))
+    return structure.parse(f).select("file_idx", "language", F.explode("ast.functions").alias("f")).select("file_idx", "language", "f.*")
+
+
+@_query()
+def function_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks along functions, both ways (CHK-2, CHK-3)."""
+    f = structure.parse(language.detect(fixtures.files(spark, sf_dir)))
+    functions = F.col("ast.functions")
+    return f.select("file_idx", structure.reader_chunks(F.col("content"), functions, 10).alias("reader"), structure.parser_chunks(F.col("content"), functions, 10).alias("parser"))
+
+
+# --- sources ------------------------------------------------------------------------------------------------------
+
+_TREE = f"""tree AS (
+  SELECT CAST(p_partkey % 4 AS VARCHAR) AS repo, p_partkey AS ord, CASE WHEN p_partkey % 11 = 0 THEN 'tree' ELSE 'blob' END AS type,
+    concat(CASE WHEN p_partkey % 13 = 0 THEN 'Vendor/' WHEN p_partkey % 17 = 0 THEN 'a/dist/' ELSE 'src/' END, 'f', p_partkey, {fixtures.sql_pick(fixtures.EXTENSIONS, f"p_partkey % {len(fixtures.EXTENSIONS)}")}) AS path,
+    CASE WHEN p_partkey % 19 > 0 THEN p_partkey % 29 * 20000 END AS size FROM part)"""
+_SUPPORTED = ", ".join(map(quote, rules.REPO_EXTENSIONS))
+_EXCLUDED = " OR ".join(f"contains(lower(path), {quote(m)})" for m in rules.EXCLUDED_PATHS)
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    folder = F.when(k % 13 == 0, "Vendor/").when(k % 17 == 0, "a/dist/").otherwise("src/")
+    return fixtures.read(spark, sf_dir, "part").select(
+        (k % 4).cast("string").alias("repo"), k.alias("ord"), F.when(k % 11 == 0, "tree").otherwise("blob").alias("type"),
+        F.concat(folder, F.lit("f"), k, fixtures.pick(fixtures.EXTENSIONS, k % len(fixtures.EXTENSIONS))).alias("path"), F.when(k % 19 > 0, k % 29 * 20000).alias("size"),
+    )
+
+
+@_query(f"""WITH {_TREE} SELECT repo, ord, path, CAST(row_number() OVER (PARTITION BY repo ORDER BY ord) AS INTEGER) AS file_idx FROM tree
+WHERE type = 'blob' AND lower(regexp_extract(path, '[^/.](\\.[^./]+)$', 1)) IN ({_SUPPORTED}) AND coalesce(size, 0) <= 512000 AND NOT ({_EXCLUDED})
+QUALIFY file_idx <= 50""")
+def repo_file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of each repository that are read (SRC-2), 50 at most so that the cap is met."""
+    return sources.repo_files(_tree(spark, sf_dir), most=50).select("repo", "ord", "path", "file_idx")
+
+
+@_query(f"""WITH {_TREE} SELECT repo, ord, path, count(*) OVER (PARTITION BY repo) AS total_files FROM tree
+WHERE type = 'blob' AND lower(regexp_extract(path, '[^/.](\\.[^./]+)$', 1)) IN ({_SUPPORTED}) QUALIFY row_number() OVER (PARTITION BY repo ORDER BY ord) <= 200""")
+def repo_tree_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Source files of each repository with their total (SRC-3)."""
+    return sources.tree_listing(_tree(spark, sf_dir)).select("repo", "ord", "path", "total_files")
+
+
+@_query("""SELECT page_id, concat_ws('/', p[-2], p[-1]) AS name FROM (SELECT page_id, string_split(regexp_replace(rtrim(url, '/'), '\\.git$', ''), '/') AS p FROM pages)""")
+def repo_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Last two parts of an address (STR-FN-6)."""
+    return fixtures.read(spark, sf_dir, "pages").select("page_id", sources.repo_name(F.col("url")).alias("name"))
+
+
+# --- history ------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {fixtures.SQL_ANALYSES} SELECT id, user_id, created_at, language, status FROM analyses WHERE user_id = 7 ORDER BY created_at DESC, id LIMIT 5 OFFSET 2""")
+def history_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of a user's analyses (FLT-1, SRT-1)."""
+    return history.history(fixtures.analyses(spark, sf_dir), 7, limit=5, offset=2).select("id", "user_id", "created_at", "language", "status")
+
+
+@_query(f"""WITH {fixtures.SQL_ANALYSES} SELECT id, language, overall_risk FROM analyses WHERE user_id = 10 AND language = 'Python' AND overall_risk = 'HIGH'
+ORDER BY created_at DESC, id LIMIT 20""")
+def history_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With filters on language and risk (FLT-1)."""
+    return history.history(fixtures.analyses(spark, sf_dir), 10, "Python", "high").select("id", "language", "overall_risk")
+
+
+@_query(f"""WITH {fixtures.SQL_ANALYSES} SELECT count(*) AS total FROM (SELECT * FROM analyses WHERE user_id = 7 ORDER BY created_at DESC, id LIMIT 5 OFFSET 2)""")
+def history_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page's length (AGG-24)."""
+    return history.page_total(history.history(fixtures.analyses(spark, sf_dir), 7, limit=5, offset=2))
+
+
+@_query(f"""WITH {fixtures.SQL_ANALYSES} SELECT id, source_name, status FROM analyses WHERE status = 'complete' AND contains(lower(source_name), 'repo-1')""")
+def history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list's own filters (FLT-2)."""
+    return history.screen(fixtures.analyses(spark, sf_dir), status="complete", search="REPO-1").select("id", "source_name", "status")
+
+
+@_query(f"""WITH {fixtures.SQL_ANALYSES} SELECT DISTINCT language FROM analyses WHERE language IS NOT NULL""")
+def distinct_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all analyses (SET-1)."""
+    return history.languages(fixtures.analyses(spark, sf_dir))
+
+
+@_query(f"""WITH {fixtures.SQL_ANALYSES} SELECT id, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at, left(CAST(id AS VARCHAR), 8) AS short_id FROM analyses""")
+def analysis_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ISO times and short ids (PRJ-3, DTE-1, STR-FN-8)."""
+    return fixtures.analyses(spark, sf_dir).select("id", history.iso(F.col("created_at")).alias("created_at"), F.left(F.col("id").cast("string"), F.lit(8)).alias("short_id"))
+
+
+# --- roll-up and stored changes -----------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {fixtures.SQL_RESULTS} SELECT analysis_id, count(*) AS total_files, arg_min(language, file_idx) AS language, arg_min(era, file_idx) AS era,
+  CAST(sum(coalesce(n_issues, 0)) AS BIGINT) AS total_issues, CAST(sum(n_findings) AS BIGINT) AS security_issues, round(avg(minimality_score), 2) AS minimality_score,
+  round(avg(avg_complexity), 2) AS complexity_before, round(avg(confidence_score), 2) AS confidence_score, round(sum(coalesce(hours_saved, 0)), 1) AS estimated_hours_saved,
+  NOT coalesce(bool_or(regression), false) AS tests_passed, CAST(sum(coalesce(tests_passed, 0)) AS BIGINT) AS test_count,
+  CASE WHEN count_if(overall_risk = 'HIGH') > 0 THEN 'HIGH' WHEN count_if(overall_risk = 'MEDIUM') > 0 THEN 'MEDIUM' WHEN count_if(overall_risk <> '') > 0 THEN 'LOW' END AS overall_risk
+FROM results GROUP BY analysis_id""")
+def analysis_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files into analyses (AGG-2 to AGG-7)."""
+    return rollup.analyses(fixtures.results(spark, sf_dir))
+
+
+_RISKED = """SELECT c.analysis_id, c.ord, c.issue_type, coalesce(r.risk_level, 'MEDIUM') AS risk_level, r.confidence, coalesce(r.callers_affected, 0) AS callers
+FROM changes c LEFT JOIN (SELECT analysis_id, issue_type, {pick}(risk_level, ord) AS risk_level, {pick}(confidence, ord) AS confidence, {pick}(callers_affected, ord) AS callers_affected
+  FROM changes WHERE status <> 'skipped' GROUP BY ALL) r ON c.analysis_id = r.analysis_id AND c.issue_type = r.issue_type"""
+
+
+def _with_risk(spark: SparkSession, sf_dir: str, first: bool) -> DataFrame:
+    c = fixtures.changes(spark, sf_dir)
+    risks = c.where("status <> 'skipped'").select("analysis_id", "ord", "issue_type", F.col("risk_level").alias("risk"), "reason", "confidence", "callers_affected")
+    return risk.with_risk(c.select("analysis_id", "ord", "issue_type"), risks, ("analysis_id",), first).select("analysis_id", "ord", "issue_type", "risk_level", "confidence", "callers")
+
+
+@_query(f"WITH {fixtures.SQL_CHANGES} {_RISKED.format(pick='arg_max')}")
+def risk_lookup_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes with the last risk of their type (JOIN-3)."""
+    return _with_risk(spark, sf_dir, False)
+
+
+@_query(f"WITH {fixtures.SQL_CHANGES} {_RISKED.format(pick='arg_min')}")
+def risk_lookup_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes with the first risk of their type (JOIN-4)."""
+    return _with_risk(spark, sf_dir, True)
+
+
+_SAFE, _RISKY = (", ".join(map(quote, x)) for x in (rules.SAFE_TYPES, rules.RISKY_TYPES))
+
+
+@_query(f"""WITH {fixtures.SQL_CHANGES}, rated AS (SELECT analysis_id, CASE WHEN issue_type IN ({_SAFE}) AND analysis_id % 4 > 0 THEN 'LOW'
+  WHEN issue_type IN ({_RISKY}) OR analysis_id % 4 = 0 THEN 'HIGH' ELSE 'MEDIUM' END AS risk FROM changes), n AS (
+  SELECT analysis_id, count_if(risk = 'LOW')::BIGINT AS low, count_if(risk = 'MEDIUM')::BIGINT AS medium, count_if(risk = 'HIGH')::BIGINT AS high FROM rated GROUP BY analysis_id)
+SELECT *, CASE WHEN high > 0 THEN 'HIGH' WHEN medium > 0 THEN 'MEDIUM' ELSE 'LOW' END AS overall_risk, CAST(greatest(0, 100 - high * 30 - medium * 10) AS INTEGER) AS overall_score FROM n""")
+def risk_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Risk by rules (AGG-16, AGT-13)."""
+    return risk.fallback_by(fixtures.changes(spark, sf_dir).withColumn("regression", F.col("analysis_id") % 4 == 0), ("analysis_id",))
+
+
+@_query("""SELECT p_partkey, CASE WHEN a + b + c = 0 THEN 100 ELSE least(100, greatest(0, CAST(trunc((a * 1.0::DOUBLE + b * 0.5::DOUBLE) / (a + b + c) * 100) AS INTEGER))) END AS score
+FROM (SELECT p_partkey, p_partkey % 3 AS a, p_partkey % 4 AS b, p_partkey % 5 AS c FROM part)""")
+def overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score by counts (AGG-15, MTH-1)."""
+    k = F.col("p_partkey")
+    return fixtures.read(spark, sf_dir, "part").select("p_partkey", risk.overall_score(k % 3, k % 4, k % 5).alias("score"))
+
+
+_HOURS = sql_values(list(rules.HOURS.items()))
+
+
+@_query(f"""WITH {fixtures.SQL_CHANGES} SELECT analysis_id, round(sum(CASE WHEN status = 'validated' THEN CAST(round(coalesce(hours, 0.25) * 100) AS BIGINT) ELSE 0 END) / 100.0::DOUBLE, 1) AS estimated_hours_saved
+FROM changes LEFT JOIN {_HOURS} h(kind, hours) ON kind = issue_type GROUP BY analysis_id""")
+def hours_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours that validated changes save (AGG-14)."""
+    return risk.hours_by(fixtures.changes(spark, sf_dir), ("analysis_id",))
+
+
+_GOLDEN = sql_values([(k, i, *r) for k, rs in rules.GOLDEN.items() for i, r in enumerate(rs)])
+_KEYS = sql_values(list(rules.RULE_KEYS.items()))
+_PLAIN = "replace(trim({0}, ' ' || chr(9) || chr(10) || chr(13)), ' ', '')"
+_EXACT = " AND ".join(f"{a} <> '' AND {b} <> '' AND {_PLAIN.format(a)} = {_PLAIN.format(b)}" for a, b in (("old_code", "legacy"), ("new_code", "modern")))
+_MATCHED = f"""{fixtures.SQL_CHANGES}, keyed AS (
+  SELECT c.*, coalesce(k.lang_key, lower(c.language)) AS lang_key FROM changes c LEFT JOIN {_KEYS} k(name, lang_key) ON k.name = c.language
+), matched AS (
+  SELECT analysis_id, ord, issue_type, pattern, CASE WHEN {_EXACT} THEN 'exact' ELSE 'pattern_name' END AS match_type
+  FROM keyed c JOIN {_GOLDEN} g(lang_key, rule_ord, legacy, modern, pattern) ON g.lang_key = c.lang_key AND (({_EXACT}) OR issue_type = pattern)
+  WHERE status IN ('validated', 'manual_required') QUALIFY row_number() OVER (PARTITION BY analysis_id, ord ORDER BY rule_ord) = 1)"""
+
+
+@_query(f"WITH {_MATCHED} SELECT * FROM matched")
+def golden_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden rule that fits each change (JOIN-5, EDIT-7, SRC-6)."""
+    return matching.matches(fixtures.changes(spark, sf_dir), matching.golden(spark), ("analysis_id",))
+
+
+@_query(f"""WITH {_MATCHED}, m AS (SELECT analysis_id, count(*) AS n FROM matched GROUP BY analysis_id), t AS (
+  SELECT analysis_id, count_if(status IN ('validated', 'manual_required'))::BIGINT AS eligible, count(*) AS every, any_value(lang_key IN ({", ".join(map(quote, rules.GOLDEN))})) AS ruled FROM keyed GROUP BY analysis_id)
+SELECT t.analysis_id, CASE WHEN ruled THEN eligible ELSE every END AS total_changes, CASE WHEN ruled THEN coalesce(n, 0) ELSE 0 END AS pattern_matches,
+  CASE WHEN NOT ruled THEN 75 WHEN eligible = 0 THEN 100 ELSE greatest(60, CAST(trunc(coalesce(n, 0) / eligible * 100) AS INTEGER)) END AS confidence_score
+FROM t LEFT JOIN m ON t.analysis_id = m.analysis_id""")
+def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Confidence of each analysis (AGG-17, LNG-5)."""
+    return matching.confidence(fixtures.changes(spark, sf_dir), matching.golden(spark), ("analysis_id",))
+
+
+@_query(f"""WITH {fixtures.SQL_CHANGES} SELECT analysis_id, ord, coalesce(nullif(reason, ''), description) AS description, risk_level, 2 AS priority, status FROM changes
+WHERE status IN ('validated', 'manual_required', 'validation_failed')""")
+def saved_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes as they are stored (SNK-2, FLT-4)."""
+    c = fixtures.changes(spark, sf_dir).withColumn("priority", F.lit(None).cast("int"))
+    return rollup.saved_changes(c).select("analysis_id", "ord", "description", "risk_level", "priority", "status")
+
+
+@_query(f"""WITH {fixtures.SQL_CHANGES} SELECT analysis_id, count_if(status = 'accepted')::BIGINT AS accepted, count_if(status = 'pending')::BIGINT AS pending,
+  count_if(status = 'pending' AND risk_level = 'LOW')::BIGINT AS pending_low FROM changes GROUP BY analysis_id""")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes by status (AGG-23)."""
+    return rollup.status_counts(fixtures.changes(spark, sf_dir))
+
+
+@_query(f"WITH {fixtures.SQL_CHANGES} SELECT analysis_id, ord FROM changes WHERE risk_level = 'LOW' AND status = 'pending'")
+def accept_all_low(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What accept-all-LOW takes (FLT-6)."""
+    return history.low_pending(fixtures.changes(spark, sf_dir)).select("analysis_id", "ord")
+
+
+@_query(f"""WITH {fixtures.SQL_CHANGES} SELECT analysis_id, min(ord) AS ord, issue_type, callers_affected FROM changes GROUP BY analysis_id, issue_type, callers_affected""")
+def issue_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first issue of each type and lines (SET-4)."""
+    issues = fixtures.changes(spark, sf_dir).withColumn("affected_lines", F.array("callers_affected"))
+    return rollup.first_issues(issues, ("analysis_id",)).select("analysis_id", "ord", "issue_type", "callers_affected")
+
+
+@_query(f"""WITH {fixtures.SQL_CHANGES} SELECT analysis_id, ord, CASE WHEN ord % 3 = 0 AND analysis_id % 2 = 0 THEN 'committed' ELSE status END AS status FROM changes""")
+def status_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A new status for chosen changes of a user's analyses (UPD-7, JOIN-14)."""
+    own = fixtures.analyses(spark, sf_dir).withColumn("user_id", F.col("id") % 2)
+    c = fixtures.changes(spark, sf_dir).withColumn("id", F.col("ord") % 3)
+    return history.set_status(c, [0], "committed", own, 0).select("analysis_id", "ord", "status")
+
+
+# --- graph --------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {fixtures.SQL_SYMBOLS} SELECT path, callee, count(*) AS callers FROM (SELECT path, unnest(calls) AS callee FROM symbols) GROUP BY path, callee""")
+def caller_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each name is called (AGG-12)."""
+    return graph.caller_counts(fixtures.symbols(spark, sf_dir))
+
+
+_EXPORTED = f"""{fixtures.SQL_SYMBOLS}, exported AS (SELECT analysis_id, name, arg_max(path, (file_idx, kind, ord)) AS path FROM symbols WHERE is_public GROUP BY analysis_id, name)"""
+
+
+@_query(f"WITH {_EXPORTED} SELECT * FROM exported")
+def exported_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who exports each name (AGG-19)."""
+    return graph.exported_symbols(fixtures.symbols(spark, sf_dir), ("analysis_id",))
+
+
+@_query(f"""WITH {fixtures.SQL_SYMBOLS} SELECT analysis_id, name, list_sort(list(DISTINCT path)) AS paths FROM symbols GROUP BY analysis_id, name""")
+def call_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that import each name (AGG-20)."""
+    return graph.call_sites(fixtures.symbols(spark, sf_dir), ("analysis_id",))
+
+
+@_query(f"""WITH {_EXPORTED}, made AS (SELECT analysis_id, path, name AS caller, unnest(calls) AS callee FROM symbols)
+SELECT DISTINCT m.analysis_id, concat(caller, '@', m.path) AS caller_id, concat(callee, '@', e.path) AS callee_id
+FROM made m JOIN exported e ON e.analysis_id = m.analysis_id AND e.name = split_part(callee, '.', 1) AND e.path <> m.path""")
+def cross_file_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls into other files (JOIN-11, DEP-1)."""
+    s = fixtures.symbols(spark, sf_dir)
+    return graph.cross_file_edges(s, graph.exported_symbols(s, ("analysis_id",)), ("analysis_id",))
+
+
+# --- imports, input and output, tests -----------------------------------------------------------------------------
+
+_IO = " || ".join(f"CASE WHEN {' OR '.join(f'contains(line, {quote(w)})' for w in ws)} THEN [{quote(k)}] ELSE [] END" for k, ws in rules.IO_SIGNATURES.items())
+
+
+@_query(f"WITH {fixtures.SQL_LINES} SELECT file_id, line_no, CAST({_IO} AS VARCHAR[]) AS io_types FROM code_lines")
+def io_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of input and output on every line (IO-1, JOIN-8)."""
+    return fixtures.code_lines(spark, sf_dir).select("file_id", "line_no", scan.io_types(F.col("line")).alias("io_types"))
+
+
+_STD = sql_values([(k, r) for k, rs in rules.STDLIB.items() for r in rs])
+
+
+@_query(f"""WITH m AS (SELECT p_partkey, {fixtures.sql_pick(fixtures.MODULES, f"p_partkey % {len(fixtures.MODULES)}")} AS module, {fixtures.sql_pick(("python", "javascript", "java", "go"), "p_partkey % 4")} AS language FROM part)
+SELECT p_partkey, module, CASE WHEN starts_with(module, '.') THEN 'local' WHEN EXISTS (SELECT 1 FROM {_STD} s(lang, root) WHERE lang = language AND root = split_part(module, '.', 1)) THEN 'stdlib'
+  WHEN NOT contains(module, '.') AND NOT contains(module, '-') AND lower(module) = module AND upper(module) <> module AND length(module) < 30 THEN 'local' ELSE 'third_party' END AS import_type,
+  {" OR ".join(f"contains(lower(module), {quote(k)})" for k in rules.IO_KEYWORDS)} AS io_related FROM m""")
+def import_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kind of each import, and whether it is about input and output (IMP-2, IMP-3)."""
+    k = F.col("p_partkey")
+    p = fixtures.read(spark, sf_dir, "part").select(k, fixtures.pick(fixtures.MODULES, k % len(fixtures.MODULES)).alias("module"), fixtures.pick(("python", "javascript", "java", "go"), k % 4).alias("language"))
+    return p.select(k, "module", scan.import_class(F.col("module"), F.col("language")).alias("import_type"), (F.size(scan.io_imports(F.array("module"))) > 0).alias("io_related"))
+
+
+@_query(f"""WITH t AS (SELECT p_partkey, v.* FROM part JOIN {sql_values([(k, *o) for k, o in enumerate(fixtures.OUTPUTS)])} v(k, framework, output, code) ON p_partkey % {len(fixtures.OUTPUTS)} = k), n AS (
+  SELECT *, coalesce(TRY_CAST(CASE WHEN framework IN ('pytest', 'unittest') THEN regexp_extract(output, '(\\d+) passed', 1) WHEN framework = 'jest' THEN regexp_extract(output, 'Tests:\\s+(\\d+) passed', 1)
+    WHEN framework = 'junit' THEN regexp_extract(output, 'Tests run:\\s*(\\d+)', 1) END AS INTEGER), 0) AS p,
+  coalesce(TRY_CAST(CASE WHEN framework IN ('pytest', 'unittest', 'jest') THEN regexp_extract(output, '(\\d+) failed', 1) WHEN framework = 'junit' THEN regexp_extract(output, 'Failures:\\s*(\\d+)', 1) END AS INTEGER), 0) AS f,
+  coalesce(TRY_CAST(CASE WHEN framework IN ('pytest', 'unittest') THEN regexp_extract(output, '(\\d+) error', 1) END AS INTEGER), 0) AS e FROM t)
+SELECT p_partkey, CASE WHEN p + f + e = 0 AND code = 0 THEN 1 ELSE p END AS passed, CASE WHEN p + f + e = 0 AND code <> 0 THEN 1 ELSE f END AS failed, e AS errors FROM n""")
+def test_output_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts from runners' output (TST-3)."""
+    k = F.col("p_partkey") % len(fixtures.OUTPUTS)
+    p = fixtures.read(spark, sf_dir, "part").select("p_partkey", *[fixtures.pick([o[i] for o in fixtures.OUTPUTS], k).alias(n) for i, n in enumerate(("framework", "output", "code"))])
+    got = p.select("p_partkey", testruns.parse_output(F.col("framework"), F.col("output"), F.col("code")).alias("r"))
+    return got.select("p_partkey", "r.passed", "r.failed", "r.errors")
+
+
+@_query("SELECT p_partkey, p_partkey % 3 + p_partkey % 2 < p_partkey % 5 + p_partkey % 4 AS regression FROM part")
+def regression_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """More failures than before (AGG-18)."""
+    k = F.col("p_partkey")
+    pair = lambda a, b: F.struct((k % a).alias("failed"), (k % b).alias("errors"))
+    return fixtures.read(spark, sf_dir, "part").select("p_partkey", testruns.regression(pair(3, 2), pair(5, 4)).alias("regression"))
+
+
+@_query(f"""SELECT p_partkey, CASE {fixtures.sql_pick((*fixtures.LANGUAGES, "TypeScript"), "p_partkey % 6")} {" ".join(f"WHEN {quote(k)} THEN {quote(v)}" for k, v in testruns.BY_LANGUAGE.items())} ELSE 'none' END AS framework FROM part""")
+def framework_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Test framework of a single file (TST-1)."""
+    lang = fixtures.pick((*fixtures.LANGUAGES, "TypeScript"), F.col("p_partkey") % 6)
+    return fixtures.read(spark, sf_dir, "part").select("p_partkey", testruns.framework(lang).alias("framework"))
+
+
+# --- trace --------------------------------------------------------------------------------------------------------
+
+
+@_query(f"""WITH {fixtures.SQL_TRACE}, l AS (SELECT *, lag(type) OVER w AS before, lag(ts) OVER w AS started FROM trace WINDOW w AS (PARTITION BY analysis_id, file, layer ORDER BY ts, seq))
+SELECT analysis_id, layer, status, CAST(floor((epoch_us(ts) - epoch_us(started)) / 1000) AS BIGINT) AS duration_ms FROM l WHERE type = 'layer_end' AND before = 'layer_start'""")
+def layer_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time between start and end of layers (STR-2)."""
+    return trace.durations(fixtures.trace(spark, sf_dir)).select("analysis_id", "layer", "status", "duration_ms")
+
+
+@_query(f"""WITH {fixtures.SQL_TRACE} SELECT layer, count(*) AS events, count_if(type = 'layer_end')::BIGINT AS ended, count_if(type = 'layer_end' AND status = 'error')::BIGINT AS errors FROM trace GROUP BY layer""")
+def events_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each layer (STR-1)."""
+    return trace.by_layer(fixtures.trace(spark, sf_dir))
+
+
+_LABELS = sql_values(list(rules.LAYER_LABELS.items()))
+
+
+@_query(f"""WITH {fixtures.SQL_TRACE} SELECT analysis_id, seq, coalesce(name, layer) AS layer_label,
+  CASE type WHEN 'layer_start' THEN 'Starting...' ELSE concat('Done (', duration_ms, 'ms)', CASE WHEN status = 'error' THEN ' ❌' ELSE ' ✓' END) END AS label
+FROM trace LEFT JOIN {_LABELS} l(k, name) ON k = layer""")
+def trace_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a viewer shows (STR-4)."""
+    none = F.lit(None).cast("string")
+    shown = trace.label(F.col("type"), F.col("file"), F.col("duration_ms"), F.col("status"), none, F.array().cast("array<string>"))
+    return fixtures.trace(spark, sf_dir).select("analysis_id", "seq", trace.layer_label(F.col("layer")).alias("layer_label"), shown.alias("label"))
+
+
+@_query(f"WITH {fixtures.SQL_TRACE} SELECT analysis_id, arg_max(coalesce(status, 'running'), (ts, seq)) AS status FROM trace GROUP BY analysis_id")
+def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last status of each analysis (UPD-8)."""
+    return history.latest_status(fixtures.trace(spark, sf_dir).withColumn("status", F.coalesce("status", F.lit("running"))))
+
+
+# --- accounts -----------------------------------------------------------------------------------------------------
+
+
+def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    email = F.when(k % 3 == 0, F.concat(F.lit("u"), k, F.lit("@users.noreply.github.com"))).when(k % 7 > 0, F.concat(F.lit("u"), k, F.lit("@example.com"))).otherwise("")
+    return fixtures.read(spark, sf_dir, "customer").select(k.alias("id"), email.alias("email"), (k % 2 == 0).alias("reports"), (k % 5 > 0).alias("has_report"), (k % 11 > 0).alias("has_key"))
+
+
+_PEOPLE = """people AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN concat('u', c_custkey, '@users.noreply.github.com') WHEN c_custkey % 7 > 0 THEN concat('u', c_custkey, '@example.com') ELSE '' END AS email,
+  c_custkey % 2 = 0 AS reports, c_custkey % 5 > 0 AS has_report, c_custkey % 11 > 0 AS has_key FROM customer)"""
+
+
+@_query(f"""WITH {_PEOPLE}, d AS (SELECT *, CASE WHEN NOT reports THEN 'skipped_user_disabled' WHEN NOT has_report THEN 'skipped_no_report' WHEN email = '' OR contains(email, 'noreply') THEN 'skipped_placeholder'
+  WHEN NOT has_key THEN 'skipped_no_key' ELSE 'send' END AS decision FROM people) SELECT id, decision, CASE WHEN decision = 'send' THEN email END AS recipient FROM d""")
+def email_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Who gets mail (UPD-10, SNK-7, FLT-12)."""
+    p = _people(spark, sf_dir)
+    return p.select("id", history.email_decision(F.col("reports"), F.col("has_report"), F.col("email"), F.col("has_key")).alias("d")).select("id", "d.decision", "d.recipient")
+
+
+@_query("""SELECT o_custkey AS login, arg_min(concat('m', o_orderkey), (CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END, o_orderkey)) AS email FROM orders WHERE o_orderkey % 2 = 0 GROUP BY o_custkey""")
+def best_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A person's best address (UPD-5)."""
+    k = F.col("o_orderkey")
+    mails = fixtures.read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("login"), k.alias("ord"), F.concat(F.lit("m"), k).alias("email"), (k % 3 == 0).alias("primary"), (k % 2 == 0).alias("verified"))
+    return accounts.best_email(mails)
+
+
+@_query("""SELECT c_custkey AS id, coalesce(CASE WHEN c_custkey % 4 = 0 THEN 'new' END, c_name) AS c_name, coalesce(CASE WHEN c_custkey % 4 = 0 AND c_custkey % 8 > 0 THEN 0.0 END, c_acctbal) AS c_acctbal FROM customer""")
+def partial_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only fields that are given change (UPD-6)."""
+    c = fixtures.read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name", "c_acctbal")
+    news = c.where("id % 4 = 0").select("id", F.lit("new").alias("c_name"), F.when(F.col("id") % 8 > 0, 0.0).alias("c_acctbal"))
+    return history.patch(c, news)
+
+
+@_query("""WITH users AS (SELECT c_custkey AS id, concat('u', c_custkey, '@example.com') AS email, concat('n', c_custkey % 300) AS name FROM customer WHERE c_custkey % 3 > 0),
+spare AS (SELECT min(c_custkey) AS id, concat('n', c_custkey % 300) AS name FROM customer WHERE c_custkey % 3 = 0 GROUP BY 2),
+logins AS (SELECT concat('u', s_suppkey, '@example.com') AS email, concat('n', s_suppkey % 300) AS name FROM supplier)
+SELECT l.email, CASE WHEN u.id IS NOT NULL THEN 'email' WHEN s.id IS NOT NULL THEN 'name' ELSE 'new' END AS how, coalesce(u.id, s.id) AS user_id
+FROM logins l LEFT JOIN users u ON u.email = l.email LEFT JOIN spare s ON s.name = l.name""")
+def account_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logins and the accounts they belong to (UPD-1)."""
+    k = F.col("c_custkey")
+    spare = k % 3 == 0
+    users = fixtures.read(spark, sf_dir, "customer").select(
+        k.alias("id"), F.when(spare, F.concat(F.lit("x"), k, F.lit("@users.noreply.github.com"))).otherwise(F.concat(F.lit("u"), k, F.lit("@example.com"))).alias("email"),
+        F.concat(F.lit("n"), k % 300).alias("name"), F.when(spare, "github").otherwise("google").alias("auth_provider"),
+    )
+    s = F.col("s_suppkey")
+    logins = fixtures.read(spark, sf_dir, "supplier").select(F.concat(F.lit("u"), s, F.lit("@example.com")).alias("email"), F.concat(F.lit("n"), s % 300).alias("name"), F.lit(None).cast("string").alias("picture"))
+    return accounts.match_google(users, logins).select("email", "how", "user_id")
+
+
+# --- edits and whole runs -----------------------------------------------------------------------------------------
+
+
+def _edit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = agents.rule_changes(agents.rule_issues(language.detect(fixtures.files(spark, sf_dir))))
+    return f.select("analysis_id", "file_idx", "content", "changes")
+
+
+@_query()
+def apply_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files after their edits, with what was applied and rejected (EDIT-1, EDIT-2)."""
+    done = _edit_files(spark, sf_dir).withColumn("e", edits.apply_edits(F.col("content"), F.col("changes")))
+    return done.select("analysis_id", "file_idx", "e.text", "e.applied", "e.rejected")
+
+
+@_query()
+def diff_minimality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diffs of the edited files (EDIT-3, EDIT-4)."""
+    done = edits.modernise(_edit_files(spark, sf_dir))
+    return done.select("analysis_id", "file_idx", "diff_result.unified_diff", "diff_result.minimality_score", "diff_result.lines_changed", "diff_result.total_lines")
+
+
+@_query()
+def analysis_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All layers over all files, rolled up."""
+    return analysis.analyse(fixtures.files(spark, sf_dir))["analyses"].withColumn("language_breakdown", F.to_json("language_breakdown"))
+
+
+@_query()
+def analysis_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of every changed file (PRJ-8, AGT-14)."""
+    done = analysis.analyse(fixtures.files(spark, sf_dir))["files"]
+    return analysis.evidence(done, "2024-01-01T00:00:00").select("analysis_id", "file_idx", "report.executive_summary", "report.full_markdown")
