@@ -136,8 +136,8 @@ def _bin(p: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Runs of token characters with at least three digits and three letters."""
-    mixed = lambda x: F.regexp_like(x["text"], F.lit(r"(?:[0-9][^0-9]*){3}")) & F.regexp_like(x["text"], F.lit(r"(?:[A-Za-z][^A-Za-z]*){3}"))
+    """Runs of token characters with digits and letters."""
+    mixed = lambda x: F.regexp_like(x["text"], F.lit("[0-9]")) & F.regexp_like(x["text"], F.lit("[A-Za-z]"))
     return F.filter(spans(text, CANDIDATE, KINDS.index("random")), mixed)
 
 
