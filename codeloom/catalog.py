@@ -515,15 +515,15 @@ def latest_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _people(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
-    email = F.when(k % 3 == 0, F.concat(F.lit("u"), k, F.lit("@users.noreply.github.com"))).when(k % 7 > 0, F.concat(F.lit("u"), k, F.lit("@example.com"))).otherwise("")
+    email = F.when(k % 3 == 0, F.concat(F.lit("u"), k, F.lit("@github.noemail"))).when(k % 7 > 0, F.concat(F.lit("u"), k, F.lit("@example.com"))).otherwise("")
     return fixtures.read(spark, sf_dir, "customer").select(k.alias("id"), email.alias("email"), (k % 2 == 0).alias("reports"), (k % 5 > 0).alias("has_report"), (k % 11 > 0).alias("has_key"))
 
 
-_PEOPLE = """people AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN concat('u', c_custkey, '@users.noreply.github.com') WHEN c_custkey % 7 > 0 THEN concat('u', c_custkey, '@example.com') ELSE '' END AS email,
+_PEOPLE = """people AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN concat('u', c_custkey, '@github.noemail') WHEN c_custkey % 7 > 0 THEN concat('u', c_custkey, '@example.com') ELSE '' END AS email,
   c_custkey % 2 = 0 AS reports, c_custkey % 5 > 0 AS has_report, c_custkey % 11 > 0 AS has_key FROM customer)"""
 
 
-@_query(f"""WITH {_PEOPLE}, d AS (SELECT *, CASE WHEN NOT reports THEN 'skipped_user_disabled' WHEN NOT has_report THEN 'skipped_no_report' WHEN email = '' OR contains(email, 'noreply') THEN 'skipped_placeholder'
+@_query(f"""WITH {_PEOPLE}, d AS (SELECT *, CASE WHEN NOT reports THEN 'skipped_user_disabled' WHEN NOT has_report THEN 'skipped_no_report' WHEN email = '' OR contains(email, '@github.noemail') THEN 'skipped_placeholder'
   WHEN NOT has_key THEN 'skipped_no_key' ELSE 'send' END AS decision FROM people) SELECT id, decision, CASE WHEN decision = 'send' THEN email END AS recipient FROM d""")
 def email_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Who gets mail (UPD-10, SNK-7, FLT-12)."""
@@ -557,7 +557,7 @@ def account_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     spare = k % 3 == 0
     users = fixtures.read(spark, sf_dir, "customer").select(
-        k.alias("id"), F.when(spare, F.concat(F.lit("x"), k, F.lit("@users.noreply.github.com"))).otherwise(F.concat(F.lit("u"), k, F.lit("@example.com"))).alias("email"),
+        k.alias("id"), F.when(spare, F.concat(F.lit("x"), k, F.lit("@github.noemail"))).otherwise(F.concat(F.lit("u"), k, F.lit("@example.com"))).alias("email"),
         F.concat(F.lit("n"), k % 300).alias("name"), F.when(spare, "github").otherwise("google").alias("auth_provider"),
     )
     s = F.col("s_suppkey")

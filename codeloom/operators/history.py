@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PLACEHOLDER = "@users.noreply.github.com"
+# Fixed value: the end of addresses that stand in for missing ones.
+PLACEHOLDER = "@github.noemail"
 
 
 def contains_text(text: Column, part: str) -> Column:
