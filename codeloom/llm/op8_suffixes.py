@@ -162,6 +162,8 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
 
     # 1. Starts in more than one document.
     starts = anchors.groupBy("h").agg(F.min("doc_id").alias("l"), F.max("doc_id").alias("m")).where("l <> m").select("h")
+    # Written first, so that the join deals out both sides anew and Spark can split a start's rows.
+    starts = _table(starts, base, "starts")
     shared = _table(anchors.join(starts, "h", "left_semi"), base, "shared")
     # 2. Equal reaches, one row each with a representative.
     reaches = shared.groupBy("h", "reach").agg(
@@ -174,10 +176,12 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     ends = reaches.join(several, "h", "left_semi").select("h", "reach", "low", "high", "one.row", "one.first", "one.many")
     windows = _table(_extend(src.dropDuplicates(["row"]).select("row", "text"), ends), base, "windows")
     again = windows.groupBy("window").agg(F.min("low").alias("l"), F.max("high").alias("m")).where("l <> m").select("window")
+    again = _table(again, base, "again")
     opened = windows.where("low = high").join(again, "window", "left_semi")
     opened = opened.groupBy("h", "reach").agg(F.array_sort(F.collect_set("o")).alias("offsets"))
 
-    found = shared.join(settled.unionByName(opened), ["h", "reach"])
+    spread = _table(settled.unionByName(opened), base, "spread")
+    found = shared.join(spread, ["h", "reach"])
     spans = F.when(F.col("offsets").isNull(), F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("many") + WORDS).alias("b")))).otherwise(
         F.transform("offsets", lambda o: F.struct((F.col("first") + o).alias("a"), (F.col("first") + o + WORDS).alias("b")))
     )
