@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star steps (Kiveris et al., 2014).
 
-Every step is a partial aggregation to a minimum and an equi-join, so a hub with a third of all links
-is neither gathered in one task nor on the driver. Each round is cut by a checkpoint.
+Every step is a partial aggregation to a minimum and an equi-join; a hub with a third of all links is
+neither gathered in one task nor on the driver. Minima are cut by a checkpoint before they are joined: both
+sides of the join are then dealt out anew, and Spark splits the rows of a hub over tasks.
 """
 
 from __future__ import annotations
@@ -29,10 +30,10 @@ def components(edges: DataFrame) -> DataFrame:
     while before[0]:
         # Large star: a node's larger neighbours move to the smallest node next to it.
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        e = cut(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         # Small star: a node and its smaller neighbours move to the smallest of them.
-        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(e.groupBy("u").agg(F.min("v").alias("m")))
         moved = e.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = cut(moved.union(least.select("u", F.col("m").alias("v"))).distinct())
         after = _digest(e)

@@ -315,10 +315,14 @@ def groups(prints: DataFrame, names: list[str], radius: int, similarity: float |
     else:
         distinct = cut(distinct.withColumn("node", F.xxhash64(*names)))
         keys = table_keys(lanes, distinct.count(), 1 - angle(similarity))
-    roots = cut(components(links(distinct, names, "node", radius, keys)))
-    member = distinct.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    ids = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return member.join(ids, "root").select(*names, "component_id")
+    roots = components(links(distinct, names, "node", radius, keys))
+    # Only linked fingerprints go through their root. What is aggregated by a root is cut before it is joined, so that
+    # the join has an exchange of its own on both sides and Spark can split the rows of a hot root.
+    linked = cut(distinct.select("node", "least").join(roots, "node"))
+    ids = cut(linked.groupBy("root").agg(F.min("least").alias("component_id")))
+    named = linked.join(ids, "root").select("node", F.lit(True).alias("_linked"), "component_id")
+    member = distinct.join(named, "node", "left")
+    return cut(member.select(*names, F.when(F.col("_linked"), F.col("component_id")).otherwise(F.col("least")).alias("component_id")))
 
 
 def angle(similarity: float) -> float:
