@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import rules
+from .functions import scalars
 from .functions.text import lines, n_lines
 from .operators import accounts, agents, edits, graph, history, language, matching, risk, rollup, scan, structure, testruns
 from .plans import analysis, fixtures
@@ -565,6 +566,45 @@ def account_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accounts.match_google(users, logins).select("email", "how", "user_id")
 
 
+# --- scalar functions ---------------------------------------------------------------------------------------------
+
+
+@_query("""SELECT p_partkey, CAST(floor(p_size / 3 + 0.5::DOUBLE) AS BIGINT) AS rounded, printf('%.1f', p_size / 7) AS shown, CAST(floor(p_partkey * 100 / 1024 + 0.5::DOUBLE) AS BIGINT) AS kb,
+  CAST(strlen(p_name || 'é') AS INTEGER) AS bytes, left(p_name, 8) AS short FROM part""")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers and texts as views show them (MTH-2, STR-FN-7, STR-FN-8)."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    return fixtures.read(spark, sf_dir, "part").select(
+        k, scalars.round_half_up(size / 3).alias("rounded"), scalars.fixed(size / 7).alias("shown"), scalars.kilobytes(k * 100).alias("kb"),
+        scalars.byte_length(F.concat("p_name", F.lit("é"))).alias("bytes"), scalars.short_id(F.col("p_name")).alias("short"),
+    )
+
+
+@_query("""SELECT p_partkey, CASE WHEN list_contains(s, p_partkey % 4) THEN list_filter(s, lambda x : x <> p_partkey % 4) ELSE list_append(s, p_partkey % 4) END AS chosen
+FROM (SELECT p_partkey, [p_partkey % 3, 3] AS s FROM part)""")
+def toggle_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An item put in or taken out of a selection (SET-6)."""
+    k = F.col("p_partkey")
+    return fixtures.read(spark, sf_dir, "part").select(k, scalars.toggle(F.array(k % 3, F.lit(3).cast("long")), k % 4).alias("chosen"))
+
+
+@_query("""SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'right' ELSE 'left' END AS a, coalesce(CASE WHEN p_partkey % 2 = 0 THEN 'b' END, 'none') AS b FROM part""")
+def map_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Maps merged, the right one first, and values with defaults (MAP-1)."""
+    k = F.col("p_partkey")
+    right = F.when(k % 2 == 0, F.create_map(F.lit("a"), F.lit("right"), F.lit("b"), F.lit("b"))).otherwise(F.create_map().cast("map<string,string>"))
+    both = scalars.merge(F.create_map(F.lit("a"), F.lit("left")), right)
+    return fixtures.read(spark, sf_dir, "part").select(k, *[scalars.get(both, F.lit(x), F.lit("none")).alias(x) for x in ("a", "b")])
+
+
+@_query(f"""WITH {fixtures.SQL_CHANGES} SELECT analysis_id, ord, left(old_code, 80) AS old_code_preview, coalesce(reason, '') AS reason, status FROM changes""")
+def change_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Changes in short (PRJ-5)."""
+    c = fixtures.changes(spark, sf_dir)
+    shown = risk.previews(F.array(F.struct("issue_type", "old_code", "new_code", "reason", "status")))[0]
+    return c.select("analysis_id", "ord", shown["old_code_preview"].alias("old_code_preview"), shown["reason"].alias("reason"), shown["status"].alias("status"))
+
+
 # --- edits and whole runs -----------------------------------------------------------------------------------------
 
 

@@ -170,3 +170,16 @@ def test_sql_functions(spark):
     register(spark)
     r = spark.sql("select code_lines('a\\nb\\r\\n') l, code_occurrences('aaa', 'aa') o, code_diff('a', 'b').total_lines d, code_functions('def f(): pass', 'python') f").first()
     assert (r.l, r.o, r.d, r.f) == (["a", "b"], 1, 1, ["f"])
+
+
+def test_scalars(spark):
+    from codeloom.functions import scalars
+
+    a = lambda *xs: F.array(*map(F.lit, xs))
+    r = spark.range(1).select(
+        scalars.round_half_up(F.lit(-2.5)).alias("n"), scalars.fixed(F.lit(2.0)).alias("f"), scalars.kilobytes(F.lit(1536)).alias("k"), scalars.toggle(a("x", "y"), F.lit("x")).alias("t"),
+        scalars.toggle_all(a("x"), a("x", "y")).alias("all"), scalars.toggle_all(a("y", "x"), a("x", "y")).alias("none"), scalars.shown_time(F.lit("2024-01-02T03:04:05.6")).alias("s"),
+        scalars.expiry(F.lit(datetime(2024, 1, 1)), 90).alias("e"),
+    ).first()
+    assert (r.n, r.f, r.k, r.t, r["all"], r.none, r.s, r.e) == (-2, "2.0", 2, ["y"], ["x", "y"], [], "2024-01-02 03:04:05", datetime(2024, 1, 1, 1, 30))
+    assert scalars.together(spark.range(2).select("id"), spark.range(1).select("id", F.lit(1).alias("x"))).count() == 3
