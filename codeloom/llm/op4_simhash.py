@@ -10,8 +10,9 @@ first, so fingerprints known to be connected are never compared again and only a
 the task. Buckets over ``BUCKET`` fingerprints are dealt to tiles, each pair of chunks one task's work.
 
 :func:`find` has the 64-bit fingerprints over four words and radius 4. :func:`keep_one`, for pipelines,
-links texts of a similarity of about 0.8 over five words: such texts differ in some 10 of 64 bits, too
-many for exact blocks, so it compares 256 bits in buckets of seeded bits.
+links texts of a similarity of at least 0.8 over five words. A SimHash distance only estimates a similarity, so
+it works on the sets of shingles: prefixes of the sets find the candidates and no pair is missed, and every link
+is verified by the exact similarity of the two sets.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated
 rows share a component; a null ``doc_id`` takes part but never names a component (which is null if
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -42,6 +44,16 @@ SEED = 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: A bucket of more fingerprints than this is compared in tiles by several tasks.
 BUCKET = 16384
+#: For sets of shingles: a shingle in more prefixes than this goes to the end of the order, in so many rounds and
+#: so many shingles a round at most (any order is exact); so many seeds choose the centres of buckets.
+HOT = 64
+HOT_ROUNDS = 1
+MOST_HOT = 200_000
+STARS = 8
+SKETCH = 1024
+#: Bits of the map of wanted sets at most, and of one of Spark's bit maps.
+MAP_BITS = 1 << 27
+_PAGE = 1 << 15
 _PIECE = 1 << 13
 _LOT = 256
 #: For wide fingerprints: fingerprints in a table's bucket on average, and the share of links missed.
@@ -338,16 +350,172 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def find_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5, lanes: int = 4) -> DataFrame:
-    """``(doc_id, component_id)`` for every row, linking texts of about this similarity over ``shingle`` words.
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The text's different shingles as sorted 64-bit hashes; a text of fewer words is one shingle, none without words."""
+    words = text.encode().lower().split() if text else []
+    if not words:
+        return np.empty(0, np.int64)
+    joined, size, digest = b" ".join(words), min(shingle, len(words)), xxhash.xxh64_intdigest
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-size] + 1)).tolist()
+    found = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)]
+    return np.unique(np.array(found, np.uint64).view(np.int64))
+
+
+def _node(found: np.ndarray) -> int:
+    """What stands for a set: texts with the same shingles have the same node."""
+    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), SEED)).astype(np.int64))
+
+
+def sketch(found: np.ndarray) -> np.ndarray:
+    """A bit for each of ``SKETCH`` classes of shingles: whether their number is odd.
+
+    Sketches differ in at most as many bits as there are shingles in just one of the two sets.
+    """
+    return np.packbits(np.bincount(found & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+def nodes(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(doc_id, node, n, sketch)`` of every row."""
 
-    256 bits tell similarities apart that 64 can't. The radius is two standard deviations over the mean
-    distance at ``similarity``, so 97 of 100 pairs right at it are within it, and nearly all above it.
+    def make(texts: list[str | None]) -> list[pa.Array]:
+        sets = [shingle_set(t, shingle) for t in texts]
+        ends, flat = np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH // 64), np.concatenate([np.empty(0, np.int64), *map(sketch, sets)])
+        return [pa.array(list(map(_node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+
+    return map_rows(docs, "text", [("node", T.LongType()), ("n", T.LongType()), ("sketch", T.ArrayType(T.LongType()))], make, keep=["doc_id"])
+
+
+def _each_set(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """Nodes, sizes and sets, lot by lot, of the texts with words; a task gives each node once."""
+    seen: set[int] = set()
+    for batch in batches:
+        for i in range(0, batch.num_rows, _LOT):
+            fresh_sets = {}
+            for text in batch.column(0).slice(i, _LOT).to_pylist():
+                found = shingle_set(text, shingle)
+                if len(found) and (node := _node(found)) not in seen:
+                    seen.add(node)
+                    fresh_sets[node] = found
+            if fresh_sets:
+                sets = list(fresh_sets.values())
+                yield np.array(list(fresh_sets), np.int64), np.array([len(x) for x in sets], np.int64), sets
+
+
+def prefixes(docs: DataFrame, shingle: int, similarity: Fraction, hot: dict[int, int]) -> DataFrame:
+    """``(key, node, n)``: of each set the first n - ceil(similarity n) + 1 shingles, ``hot`` ones last, by their count.
+
+    Two sets of at least ``similarity`` share one of these, whatever the order is, as long as it is one for all sets.
+    """
+    known = np.array(sorted(hot), np.int64)
+    counts = np.array([hot[k] for k in known.tolist()], np.int64)
+    over, under = similarity.numerator, similarity.denominator
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, n, sets in _each_set(batches, shingle):
+            flat, row = np.concatenate(sets), np.repeat(np.arange(len(n)), n)
+            rank = np.zeros(len(flat), np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                rank = np.where(known[at] == flat, counts[at], 0)
+            order = np.lexsort((flat, rank, row))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            first = place < (n + (-n * over) // under + 1)[row]
+            key, row = flat[order][first], row[first]
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row]), pa.array(n[row])], names=["key", "node", "n"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long, n long")
+
+
+def sets_of(docs: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
+    """``(node, n, set)`` for each ``node`` of ``wanted``.
+
+    A bit map of them, of at most ``MAP_BITS`` bits, is tried where the text lies; few other sets move.
+    """
+    bits = min(MAP_BITS, max(_PAGE, 1 << (16 * wanted.count()).bit_length()))
+    at = F.pmod(F.col("node"), F.lit(bits))
+    pages = wanted.select(F.floor(at / _PAGE).cast("int").alias("page"), (at % _PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("map"))
+    marked = np.zeros(bits // 8, np.uint8)
+    for r in pages.collect():
+        marked[r.page * _PAGE // 8 : (r.page + 1) * _PAGE // 8] = np.frombuffer(r.map, np.uint8)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for node, n, sets in _each_set(batches, shingle):
+            place = node % bits
+            keep = np.flatnonzero(marked[place >> 3] >> (place & 7) & 1)
+            if len(keep):
+                ends = np.concatenate(([0], np.cumsum(n[keep]))).astype(np.int32)
+                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([sets[k] for k in keep])))
+                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(n[keep]), found], names=["node", "n", "set"])
+
+    got = docs.select("text").mapInArrow(run, "node long, n long, set array<long>")
+    return cut(got.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+
+
+def similar(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
+    """Those of ``pairs(u, v)`` whose sets have at least this Jaccard similarity, exactly.
+
+    Sketches that differ in too many bits rule most other pairs out, and never one that is similar enough.
+    """
+    over, under = similarity.numerator, similarity.denominator
+    side = lambda df, value, node, x, m: df.select(F.col("node").alias(node), F.col(value).alias(x), F.col("n").alias(m))
+    total, differ = F.col("n_a") + F.col("n_b"), F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    near_by = F.aggregate(differ, F.lit(0), lambda x, y: x + y) * (over + under) <= total * (under - over)
+    pairs = pairs.join(side(sketches, "sketch", "u", "a", "n_a"), "u").join(side(sketches, "sketch", "v", "b", "n_b"), "v").where(near_by)
+    pairs = cut(pairs.select("u", "v"))
+    sets = sets_of(docs, shingle, cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
+    both = F.size(F.array_intersect("a", "b"))
+    pairs = pairs.join(side(sets, "set", "u", "a", "n_a"), "u").join(side(sets, "set", "v", "b", "n_b"), "v")
+    return cut(pairs.where(both * (over + under) >= total * over).select("u", "v"))
+
+
+def set_links(docs: DataFrame, sketches: DataFrame, shingle: int, similarity: Fraction, hot_from: int = HOT) -> DataFrame:
+    """Verified links ``(u, v)`` that connect just what all pairs of at least ``similarity`` connect.
+
+    Shingles in more than ``hot_from`` prefixes go to the end of the order, by their count: a passage in a third of
+    all texts then is in few prefixes. In each bucket the sets are first compared with a few seeded members, which
+    joins nearly all of a dense group; after that, only pairs of different components are left to compare.
+    Sets are made from the texts again where they are needed, which takes less than to keep them.
+    """
+    hot: dict[int, int] = {}
+    for k in range(HOT_ROUNDS + 1):
+        shared = cut(prefixes(docs, shingle, similarity, hot).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
+        most = shared.where(F.col("c") > hot_from).orderBy(F.desc("c"), "key").limit(MOST_HOT)
+        new = {r.key: r.c for r in most.collect() if r.key not in hot} if k < HOT_ROUNDS else {}
+        if not new:
+            break
+        hot |= new
+    keyed = cut(prefixes(docs, shingle, similarity, hot).join(shared.select("key"), "key").distinct())
+    over, under = similarity.numerator, similarity.denominator
+    fits = (F.least("n", "m") * under >= F.greatest("n", "m") * over) & (F.col("u") != F.col("v"))
+    ordered = (F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    # In each bucket, the member of the least seeded hash; buckets share few seeds, so a group has few of them.
+    seeded = F.xxhash64("node", F.pmod(F.col("key"), F.lit(STARS)))
+    centre = cut(keyed.groupBy("key").agg(F.min(F.struct(seeded, F.col("node").alias("v"), F.col("n").alias("m"))).alias("x")).select("key", "x.v", "x.m"))
+    stars = keyed.withColumnRenamed("node", "u").join(centre, "key").where(fits).select(*ordered).distinct()
+    links = similar(stars, sketches, docs, shingle, similarity)
+    roots = components(links)
+    named = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = cut(named.select("key", "node", "n", "root"))
+    mixed = cut(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
+    named = cut(named.join(mixed, "key"))
+    other = named.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root_v"))
+    rest = named.withColumnRenamed("node", "u").join(other, "key").where((F.col("u") > F.col("v")) & (F.col("root") != F.col("root_v")) & fits)
+    return links.union(similar(rest.select("u", "v").distinct(), sketches, docs, shingle, similarity))
+
+
+def find_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
+    """``(doc_id, component_id)`` for every row, linking texts whose different shingles are at least this similar.
+
+    Similarity is Jaccard's, exact but for collisions of 64-bit hashes, and no pair of at least ``similarity`` is missed.
     """
-    names, p = [f"fp{k}" for k in range(lanes)], angle(similarity)
-    radius = round(64 * lanes * p + 2 * math.sqrt(64 * lanes * p * (1 - p)))
-    prints = cut(fingerprints(docs.select("doc_id", "text"), names, shingle=shingle, keep=["doc_id"]))
-    return prints.join(groups(prints, names, radius, similarity), names).select("doc_id", "component_id")
+    ratio = Fraction(similarity).limit_denominator(1000)
+    rows = cut(nodes(docs.select("doc_id", "text"), shingle))
+    roots = components(set_links(docs, cut(rows.select("node", "n", "sketch").dropDuplicates(["node"])), shingle, ratio))
+    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    rooted = cut(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+    return rows.select("doc_id", "node").join(cut(rooted.join(ids, "root").select("node", "component_id")), "node").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

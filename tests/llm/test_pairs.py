@@ -129,6 +129,52 @@ def test_similar_texts_keep_one(spark):
     assert op4.keep_one(df.limit(0)).count() == 0 and op4.find(df.limit(0)).count() == 0
 
 
+def slow_sets(texts, size=5):
+    out = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        out.append({tuple(w[i : i + size]) for i in range(len(w) - min(size, len(w)) + 1)} if w else set())
+    return out
+
+
+def slow_similar(texts):
+    sets = slow_sets(texts)
+    edges = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
+    return roots(len(texts), edges)
+
+
+def _near_texts(seed):
+    """Texts around a similarity of 0.8, some with a passage that is common, some with one shingle many times over."""
+    rng = random.Random(seed)
+    word = lambda: f"w{rng.randrange(4000)}"
+    common, texts = [word() for _ in range(30)], []
+    for k in range(40):
+        base = [word() for _ in range(rng.choice([3, 8, 60, 120]))] + (common if k % 3 else [])
+        for _ in range(rng.choice([1, 2, 6])):
+            copy = list(base)
+            for _ in range(rng.randrange(6)):
+                copy[rng.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    texts += [" ".join([word() for _ in range(50)] + common[:12] * 80) for _ in range(3)]
+    return [*texts, texts[0].upper(), "", None, " \n", "one", "One", "one two"]
+
+
+@pytest.mark.parametrize(("seed", "hot"), [(1, 64), (2, 3), (3, 1)])
+def test_similar_texts_are_verified(spark, monkeypatch, seed, hot):
+    """Groups are those of the exact similarity: the SimHash distance alone linked other texts too, and missed some."""
+    texts = _near_texts(seed)
+    monkeypatch.setattr(op4.set_links, "__defaults__", (hot,))
+    got = {r.doc_id: r.component_id for r in op4.find_similar(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert same(slow_similar(texts), [got[i] for i in range(len(texts))])
+    assert all(got[i] == min(j for j in got if got[j] == got[i]) for i in got)
+
+
+def test_a_repeated_passage_makes_no_copies(spark):
+    """Texts of different words around one short passage many times over all stay: their different shingles differ."""
+    rows = [(k, " ".join([f"t{k}.{i}" for i in range(90)] + [f"p{i}" for i in range(12)] * 80)) for k in range(4)]
+    assert op4.keep_one(spark.createDataFrame(rows, DOCS)).count() == 4
+
+
 def test_wide_tables_miss_little():
     for n in (10, 10**5, 10**8):
         k = max(0, int(np.ceil(np.log2(n / op4._WIDE_BUCKET))))
