@@ -82,8 +82,8 @@ SQL_LINES = f"""code_lines AS (
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(analysis_id, file_idx, path, content)``: a file of up to 40 lines for each of :func:`code_lines`."""
-    rows = code_lines(spark, sf_dir).where("line_no <= 40").groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
+    """``(analysis_id, file_idx, path, content)``: a file with every line for each of :func:`code_lines`."""
+    rows = code_lines(spark, sf_dir).groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("x"))
     text = F.array_join(F.transform("x", lambda r: r["line"]), "\n")
     path = F.concat(F.lit("src/f"), "file_id", pick(EXTENSIONS, F.col("file_id") % len(EXTENSIONS)))
     return rows.select((F.col("file_id") % 20).cast("string").alias("analysis_id"), F.col("file_id").cast("int").alias("file_idx"), path.alias("path"), text.alias("content"))
