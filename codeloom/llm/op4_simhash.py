@@ -235,7 +235,8 @@ def table_keys(lanes: list[Column], n: int, agree: float) -> Column:
     """(table, k bits) keys for wide fingerprints of which linked ones agree in each bit with ``agree``.
 
     ``k`` lets a table's buckets hold about ``_WIDE_BUCKET`` of ``n`` fingerprints; as many tables of
-    seeded bits are used as miss a link with a probability of at most ``_MISS``, whatever ``n`` is.
+    seeded bits are used as miss a pair that agrees in just this share of bits with a probability of at most ``_MISS``;
+    pairs that agree in fewer are missed more often, the more so the larger ``n`` is. The pipeline doesn't use them.
     """
     k = max(0, math.ceil(math.log2(max(n, 1) / _WIDE_BUCKET)))
     tables = 1 if k == 0 else math.ceil(math.log(_MISS) / math.log1p(-(agree**k)))
