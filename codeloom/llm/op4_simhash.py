@@ -376,15 +376,15 @@ def sketch(found: np.ndarray) -> np.ndarray:
     return np.packbits(np.bincount(found & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1, bitorder="little").view(np.int64)
 
 
-def nodes(docs: DataFrame, shingle: int) -> DataFrame:
-    """``(doc_id, node, n, sketch)`` of every row."""
+def nodes(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
+    """``(*keep, node, n, sketch)`` of every row."""
 
     def make(texts: list[str | None]) -> list[pa.Array]:
         sets = [shingle_set(t, shingle) for t in texts]
         ends, flat = np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH // 64), np.concatenate([np.empty(0, np.int64), *map(sketch, sets)])
         return [pa.array(list(map(_node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
 
-    return map_rows(docs, "text", [("node", T.LongType()), ("n", T.LongType()), ("sketch", T.ArrayType(T.LongType()))], make, keep=["doc_id"])
+    return map_rows(docs, "text", [("node", T.LongType()), ("n", T.LongType()), ("sketch", T.ArrayType(T.LongType()))], make, keep=keep)
 
 
 def _each_set(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
@@ -505,14 +505,20 @@ def set_links(docs: DataFrame, sketches: DataFrame, shingle: int, similarity: Fr
     return links.union(similar(rest.select("u", "v").distinct(), sketches, docs, shingle, similarity))
 
 
+def _similar_sets(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
+    """``(doc_id, mark, node)`` of every row, with a hash of its text, and ``(node, root)`` of the linked sets."""
+    ratio = Fraction(similarity).limit_denominator(1000)
+    found = nodes(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), shingle, ["doc_id", "mark"])
+    rows = cut(found)
+    return rows, components(set_links(docs, cut(rows.select("node", "n", "sketch").dropDuplicates(["node"])), shingle, ratio))
+
+
 def find_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
     """``(doc_id, component_id)`` for every row, linking texts whose different shingles are at least this similar.
 
     Similarity is Jaccard's, exact but for collisions of 64-bit hashes, and no pair of at least ``similarity`` is missed.
     """
-    ratio = Fraction(similarity).limit_denominator(1000)
-    rows = cut(nodes(docs.select("doc_id", "text"), shingle))
-    roots = components(set_links(docs, cut(rows.select("node", "n", "sketch").dropDuplicates(["node"])), shingle, ratio))
+    rows, roots = _similar_sets(docs, similarity, shingle)
     least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
     rooted = cut(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
@@ -520,14 +526,18 @@ def find_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of similar texts, that of the smallest ``doc_id``, its columns unchanged.
+    """One row of each group of similar texts, that of the smallest ``doc_id`` and hash of the text, its columns unchanged.
 
-    Of rows that repeat this ``doc_id`` one stays. Rows without a ``doc_id`` all stay, as nothing
-    tells which of them to keep.
+    Of rows that repeat both one stays; different texts under one ``doc_id`` are told apart. Rows without a
+    ``doc_id`` all stay, as nothing tells which of them to keep.
     """
-    chosen = find_similar(docs).where("doc_id = component_id").select(F.col("doc_id").alias(name := fresh(docs, "chosen"))).distinct()
-    known = docs.where(F.col("doc_id").isNotNull())
-    once = known.join(chosen, known["doc_id"] == chosen[name], "left_semi").dropDuplicates(["doc_id"])
+    rows, roots = _similar_sets(docs, SIMILARITY, 5)
+    least = rows.where(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("least"))
+    rooted = cut(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    chosen = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    chosen = chosen.select(F.col("least.doc_id").alias(name := fresh(docs, "chosen")), F.col("least.mark").alias(mark := fresh(docs, "mark")))
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn(text := fresh(docs, "text_mark"), F.xxhash64("text"))
+    once = known.join(chosen, (known["doc_id"] == chosen[name]) & (known[text] == chosen[mark]), "left_semi").dropDuplicates(["doc_id", text]).drop(text)
     return once.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

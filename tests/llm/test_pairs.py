@@ -181,6 +181,12 @@ def test_recall_does_not_fall_with_the_corpus(spark):
     assert got == {i: i - i % 2 if i < 600 else i for i, _ in rows}
 
 
+def test_different_texts_of_one_id_stay(spark):
+    rows = [(1, " ".join(f"a{i}" for i in range(60))), (1, " ".join(f"b{i}" for i in range(60))), (1, " ".join(f"b{i}" for i in range(60))), (2, " ".join(f"a{i}" for i in range(60)))]
+    got = op4.keep_one(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted(set(rows[:2]))
+
+
 def test_a_repeated_passage_makes_no_copies(spark):
     """Texts of different words around one short passage many times over all stay: their different shingles differ."""
     rows = [(k, " ".join([f"t{k}.{i}" for i in range(90)] + [f"p{i}" for i in range(12)] * 80)) for k in range(4)]
