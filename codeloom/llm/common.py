@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -24,16 +25,33 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; set a temporary one only where none is named."""
-    if spark.sparkContext.getCheckpointDir() is None:
+    """Use the shared checkpoint folder that ``spark.checkpoint.dir`` names.
+
+    Where none is named, a temporary folder does on one machine only; executors of a cluster can't read it, so there this raises.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="codeloom-"))
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="codeloom-"))
+
+
+def table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet to ``name``, a path in the shared checkpoint folder, and read again."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    df.write.parquet(path := f"{spark.sparkContext.getCheckpointDir()}/{name}")
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recomputation."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recomputation.
+
+    A table rather than ``checkpoint()``: that keeps the planner's size estimate, which joins multiply, so that after some
+    dozens of steps planning alone takes minutes; a table has the size of its files.
+    """
+    return table(df, f"cut-{uuid.uuid4().hex}")
 
 
 def words(text: str | None) -> list[bytes]:

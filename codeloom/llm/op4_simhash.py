@@ -10,9 +10,10 @@ first, so fingerprints known to be connected are never compared again and only a
 the task. Buckets over ``BUCKET`` fingerprints are dealt to tiles, each pair of chunks one task's work.
 
 :func:`find` has the 64-bit fingerprints over four words and radius 4. :func:`keep_one`, for pipelines,
-links texts of a similarity of at least 0.8 over five words. A SimHash distance only estimates a similarity, so
-it works on the sets of shingles: prefixes of the sets find the candidates and no pair is missed, and every link
-is verified by the exact similarity of the two sets.
+links texts of a similarity of at least 0.8 over five words. 256-bit SimHashes of the sets of different shingles,
+compared by the same bit-sliced buckets, propose links; a distance only estimates a similarity, so each is verified by
+the exact similarity of the two sets. What tables of seeded bits miss is found by an exact filter on prefixes of the
+sets, which looks only between texts that aren't linked yet: no pair is lost, at any size of the corpus.
 
 Defined cases: null and empty texts have fingerprint zero and are linked like any other; repeated
 rows share a component; a null ``doc_id`` takes part but never names a component (which is null if
@@ -27,6 +28,7 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,19 +46,25 @@ SEED = 42
 BLOCKS = (11, 11, 11, 11, 10, 10)
 #: A bucket of more fingerprints than this is compared in tiles by several tasks.
 BUCKET = 16384
-#: For sets of shingles: a shingle in more prefixes than this goes to the end of the order, in so many rounds and
-#: so many shingles a round at most (any order is exact); so many seeds choose the centres of buckets.
+#: For sets of shingles: the most frequent of those counted more often than this go to the end of the order (any order
+#: is exact); shingles are counted in lots of so many.
 HOT = 64
-HOT_ROUNDS = 1
 MOST_HOT = 200_000
-STARS = 8
-SKETCH = 1024
+COUNTED = 1 << 21
+#: Bits of a parity sketch for each shingle, and bits at least and at most.
+SKETCH = 2
+LEAST_SKETCH = 256
+MOST_SKETCH = 1 << 22
+#: For links proposed by SimHash: lanes of 64 bits, the radius (about the mean distance at 0.8) and the tables.
+LANES = 4
+WIDE_RADIUS = 40
+TABLES = 8
 #: Bits of the map of wanted sets at most, and of one of Spark's bit maps.
 MAP_BITS = 1 << 27
 _PAGE = 1 << 15
 _PIECE = 1 << 13
 _LOT = 256
-#: For wide fingerprints: fingerprints in a table's bucket on average, and the share of links missed.
+#: For wide fingerprints: fingerprints in a table's bucket on average, and the share of links missed by ``groups``.
 _WIDE_BUCKET = 1024
 _MISS = 0.005
 
@@ -83,11 +91,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, lanes: int = 1) -> np.
     size = min(shingle, len(words))
     starts = np.concatenate(([0], ends[:-size] + 1)).tolist()
     stops, digest = ends[size - 1 :].tolist(), xxhash.xxh64_intdigest
-    ones, n = np.zeros(64 * lanes, np.int64), len(stops)
-    for i in range(0, n, _PIECE):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : i + _PIECE], stops[i : i + _PIECE], strict=True)], np.uint64)
-        ones += np.unpackbits(_spread(h, lanes).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > n, bitorder="little").view(np.uint64)
+    return majority(np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops, strict=True)], np.uint64), lanes)
+
+
+def majority(h: np.ndarray, lanes: int) -> np.ndarray:
+    """The SimHash of hashes: the bits that are set in over half of them."""
+    ones = np.zeros(64 * lanes, np.int64)
+    for i in range(0, len(h), _PIECE):
+        ones += np.unpackbits(_spread(h[i : i + _PIECE], lanes).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)
 
 
 def fingerprints(docs: DataFrame, names: list[str], text: str = "text", shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
@@ -231,15 +243,16 @@ def block_keys(lanes: list[Column]) -> Column:
     return F.array(*[F.lit(t << 32).cast("long").bitwiseOR(F.shiftleft(blocks[i], 11)).bitwiseOR(blocks[j]) for t, (i, j) in pairs])
 
 
-def table_keys(lanes: list[Column], n: int, agree: float) -> Column:
+def table_keys(lanes: list[Column], n: int, agree: float, tables: int | None = None) -> Column:
     """(table, k bits) keys for wide fingerprints of which linked ones agree in each bit with ``agree``.
 
     ``k`` lets a table's buckets hold about ``_WIDE_BUCKET`` of ``n`` fingerprints; as many tables of
     seeded bits are used as miss a pair that agrees in just this share of bits with a probability of at most ``_MISS``;
-    pairs that agree in fewer are missed more often, the more so the larger ``n`` is. The pipeline doesn't use them.
+    pairs that agree in fewer are missed more often, the more so the larger ``n`` is. With ``tables``, there are just
+    so many, for callers that find the rest in another way.
     """
     k = max(0, math.ceil(math.log2(max(n, 1) / _WIDE_BUCKET)))
-    tables = 1 if k == 0 else math.ceil(math.log(_MISS) / math.log1p(-(agree**k)))
+    tables = 1 if k == 0 else tables or math.ceil(math.log(_MISS) / math.log1p(-(agree**k)))
     draw = np.random.default_rng(SEED)
     keys = []
     for t in range(tables):
@@ -369,22 +382,31 @@ def _node(found: np.ndarray) -> int:
 
 
 def sketch(found: np.ndarray) -> np.ndarray:
-    """A bit for each of ``SKETCH`` classes of shingles: whether their number is odd.
+    """A bit for each class of shingles: whether their number is odd. There are about ``SKETCH`` classes a shingle, a power of 2.
 
-    Sketches differ in at most as many bits as there are shingles in just one of the two sets.
+    Sketches of one size differ in at most as many bits as there are shingles in just one of the two sets, and one
+    folds to half its size by the exclusive-or of its halves.
     """
-    return np.packbits(np.bincount(found & (SKETCH - 1), minlength=SKETCH).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+    size = min(max(LEAST_SKETCH, 1 << (SKETCH * len(found) - 1).bit_length()), MOST_SKETCH) if len(found) else LEAST_SKETCH
+    return np.packbits(np.bincount(found & (size - 1), minlength=size).astype(np.uint8) & 1, bitorder="little").view(np.int64)
+
+
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    """Arrow lists of longs."""
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
 
 
 def nodes(docs: DataFrame, shingle: int, keep: list[str]) -> DataFrame:
-    """``(*keep, node, n, sketch)`` of every row."""
+    """``(*keep, node, n, sketch, print)`` of every row."""
 
     def make(texts: list[str | None]) -> list[pa.Array]:
         sets = [shingle_set(t, shingle) for t in texts]
-        ends, flat = np.arange(len(sets) + 1, dtype=np.int32) * (SKETCH // 64), np.concatenate([np.empty(0, np.int64), *map(sketch, sets)])
-        return [pa.array(list(map(_node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+        prints = [majority(x.view(np.uint64), LANES).view(np.int64) for x in sets]
+        return [pa.array(list(map(_node, sets)), pa.int64()), pa.array(list(map(len, sets)), pa.int64()), _lists(list(map(sketch, sets))), _lists(prints)]
 
-    return map_rows(docs, "text", [("node", T.LongType()), ("n", T.LongType()), ("sketch", T.ArrayType(T.LongType()))], make, keep=keep)
+    longs = T.ArrayType(T.LongType())
+    return map_rows(docs, "text", [("node", T.LongType()), ("n", T.LongType()), ("sketch", longs), ("print", longs)], make, keep=keep)
 
 
 def _each_set(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
@@ -403,10 +425,34 @@ def _each_set(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[tuple
                 yield np.array(list(fresh_sets), np.int64), np.array([len(x) for x in sets], np.int64), sets
 
 
+def frequent(docs: DataFrame, shingle: int) -> DataFrame:
+    """``(key, c)``: how many sets have a shingle, as far as two of a lot of ``COUNTED`` shingles do.
+
+    Where n lots hold a table, a shingle of some sqrt(n) sets or fewer may not show; so many can't make much work.
+    """
+
+    def count(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, c = np.unique(np.concatenate([np.empty(0, np.int64), *held]), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(key[c > 1]), pa.array(c[c > 1])], names=["key", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for _, n, sets in _each_set(batches, shingle):
+            held += sets
+            size += int(n.sum())
+            if size >= COUNTED:
+                yield count(held)
+                held, size = [], 0
+        yield count(held)
+
+    return docs.select("text").mapInArrow(run, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
 def prefixes(docs: DataFrame, shingle: int, similarity: Fraction, hot: dict[int, int]) -> DataFrame:
-    """``(key, node, n)``: of each set the first n - ceil(similarity n) + 1 shingles, ``hot`` ones last, by their count.
+    """``(key, node, n, pos)``: of each set the first n - ceil(similarity n) + 1 shingles, ``hot`` ones last, by their count.
 
     Two sets of at least ``similarity`` share one of these, whatever the order is, as long as it is one for all sets.
+    ``pos`` is a shingle's place in the order of its set, from 0.
     """
     known = np.array(sorted(hot), np.int64)
     counts = np.array([hot[k] for k in known.tolist()], np.int64)
@@ -423,86 +469,134 @@ def prefixes(docs: DataFrame, shingle: int, similarity: Fraction, hot: dict[int,
             place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
             first = place < (n + (-n * over) // under + 1)[row]
             key, row = flat[order][first], row[first]
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row]), pa.array(n[row])], names=["key", "node", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(node[row]), pa.array(n[row]), pa.array(place[first])], names=["key", "node", "n", "pos"])
+
+    return docs.select("text").mapInArrow(run, "key long, node long, n long, pos long")
+
+
+def may_fit(similarity: Fraction, n: str, pos: str, m: str, at: str) -> Column:
+    """Whether two sets of ``n`` and ``m`` shingles can be similar enough if the first that they share is at these places.
+
+    What comes before is in one set only. A pair need only pass at its first shared shingle, which it always does if it is
+    similar enough; at later ones the bound is stricter.
+    """
+    over, under = similarity.numerator, similarity.denominator
+    most = F.least(F.col(n) - F.col(pos), F.col(m) - F.col(at))
+    return most * (over + under) >= (F.col(n) + F.col(m)) * over
+
+
+def bit_map(hashes: DataFrame) -> np.ndarray:
+    """A bit map, of at most ``MAP_BITS`` bits, of the one column of longs; :func:`marked` looks a hash up."""
+    bits = min(MAP_BITS, max(_PAGE, 1 << (16 * hashes.count()).bit_length()))
+    at = F.pmod(F.col(hashes.columns[0]), F.lit(bits))
+    pages = hashes.select(F.floor(at / _PAGE).cast("int").alias("page"), (at % _PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("map"))
+    found = np.zeros(bits // 8, np.uint8)
+    for r in pages.collect():
+        found[r.page * _PAGE // 8 : (r.page + 1) * _PAGE // 8] = np.frombuffer(r.map, np.uint8)
+    return found
+
 
-    return docs.select("text").mapInArrow(run, "key long, node long, n long")
+def marked(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash may be in the map: never false for one that is."""
+    place = hashes % (8 * len(bits))
+    return (bits[place >> 3] >> (place & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def sets_of(docs: DataFrame, shingle: int, wanted: DataFrame) -> DataFrame:
     """``(node, n, set)`` for each ``node`` of ``wanted``.
 
-    A bit map of them, of at most ``MAP_BITS`` bits, is tried where the text lies; few other sets move.
+    A bit map of them is tried where the text lies; few other sets move.
     """
-    bits = min(MAP_BITS, max(_PAGE, 1 << (16 * wanted.count()).bit_length()))
-    at = F.pmod(F.col("node"), F.lit(bits))
-    pages = wanted.select(F.floor(at / _PAGE).cast("int").alias("page"), (at % _PAGE).alias("bit")).groupBy("page").agg(F.bitmap_construct_agg("bit").alias("map"))
-    marked = np.zeros(bits // 8, np.uint8)
-    for r in pages.collect():
-        marked[r.page * _PAGE // 8 : (r.page + 1) * _PAGE // 8] = np.frombuffer(r.map, np.uint8)
+    bits = bit_map(wanted.select("node"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, n, sets in _each_set(batches, shingle):
-            place = node % bits
-            keep = np.flatnonzero(marked[place >> 3] >> (place & 7) & 1)
+            keep = np.flatnonzero(marked(bits, node))
             if len(keep):
-                ends = np.concatenate(([0], np.cumsum(n[keep]))).astype(np.int32)
-                found = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([sets[k] for k in keep])))
-                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(n[keep]), found], names=["node", "n", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(node[keep]), pa.array(n[keep]), _lists([sets[k] for k in keep])], names=["node", "n", "set"])
 
     got = docs.select("text").mapInArrow(run, "node long, n long, set array<long>")
     return cut(got.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
 
+def _apart(batches: Iterator[pa.RecordBatch], similarity: Fraction) -> Iterator[pa.RecordBatch]:
+    """Of rows (u, v, n_a, n_b, a, b) the pairs (u, v) whose sketches don't rule the similarity out."""
+    over, under = similarity.numerator, similarity.denominator
+
+    def folded(x: np.ndarray, size: int) -> np.ndarray:
+        return np.bitwise_xor.reduce(x.reshape(-1, size), axis=0)
+
+    for batch in batches:
+        total = batch.column(2).to_numpy() + batch.column(3).to_numpy()
+        good = np.zeros(batch.num_rows, bool)
+        for k, (a, b) in enumerate(zip(batch.column(4), batch.column(5), strict=True)):
+            x, y = a.values.to_numpy(), b.values.to_numpy()
+            size = min(len(x), len(y))
+            differ = int(np.bitwise_count((folded(x, size) ^ folded(y, size)).view(np.uint64)).sum())
+            good[k] = differ * (over + under) <= int(total[k]) * (under - over)
+        at = pa.array(np.flatnonzero(good))
+        yield pa.RecordBatch.from_arrays([batch.column(k).take(at) for k in (0, 1)], names=["u", "v"])
+
+
 def similar(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, shingle: int, similarity: Fraction) -> DataFrame:
     """Those of ``pairs(u, v)`` whose sets have at least this Jaccard similarity, exactly.
 
-    Sketches that differ in too many bits rule most other pairs out, and never one that is similar enough.
+    Sketches that differ in too many bits rule nearly all other pairs out, and never one that is similar enough.
     """
     over, under = similarity.numerator, similarity.denominator
+    total, fits = F.col("n_a") + F.col("n_b"), F.least("n_a", "n_b") * under >= F.greatest("n_a", "n_b") * over
     side = lambda df, value, node, x, m: df.select(F.col("node").alias(node), F.col(value).alias(x), F.col("n").alias(m))
-    total, differ = F.col("n_a") + F.col("n_b"), F.zip_with("a", "b", lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    near_by = F.aggregate(differ, F.lit(0), lambda x, y: x + y) * (over + under) <= total * (under - over)
-    pairs = pairs.join(side(sketches, "sketch", "u", "a", "n_a"), "u").join(side(sketches, "sketch", "v", "b", "n_b"), "v").where(near_by)
-    pairs = cut(pairs.select("u", "v"))
+    pairs = pairs.join(side(sketches, "sketch", "u", "a", "n_a"), "u").join(side(sketches, "sketch", "v", "b", "n_b"), "v").where(fits)
+    pairs = cut(pairs.select("u", "v", "n_a", "n_b", "a", "b").mapInArrow(lambda batches: _apart(batches, similarity), "u long, v long"))
     sets = sets_of(docs, shingle, cut(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()))
     both = F.size(F.array_intersect("a", "b"))
     pairs = pairs.join(side(sets, "set", "u", "a", "n_a"), "u").join(side(sets, "set", "v", "b", "n_b"), "v")
     return cut(pairs.where(both * (over + under) >= total * over).select("u", "v"))
 
 
+def simhash_pairs(sketches: DataFrame, similarity: Fraction) -> DataFrame:
+    """Pairs ``(u, v)`` that connect what SimHashes within ``WIDE_RADIUS`` connect in ``TABLES`` tables of seeded bits."""
+    names = [f"s{k}" for k in range(LANES)]
+    prints = cut(sketches.where("n > 0").select("node", *[F.col("print")[k].alias(c) for k, c in enumerate(names)]))
+    keys = table_keys([F.col(c) for c in names], prints.count(), 1 - angle(float(similarity)), TABLES)
+    found = links(prints, names, "node", WIDE_RADIUS, keys)
+    return cut(found.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+
 def set_links(docs: DataFrame, sketches: DataFrame, shingle: int, similarity: Fraction, hot_from: int = HOT) -> DataFrame:
     """Verified links ``(u, v)`` that connect just what all pairs of at least ``similarity`` connect.
 
-    Shingles in more than ``hot_from`` prefixes go to the end of the order, by their count: a passage in a third of
-    all texts then is in few prefixes. In each bucket the sets are first compared with a few seeded members, which
-    joins nearly all of a dense group; after that, only pairs of different components are left to compare.
-    Sets are made from the texts again where they are needed, which takes less than to keep them.
+    Links that SimHashes propose join most; the prefixes of the sets are then searched for pairs of different
+    components, of a bucket's hub first, then of all that are left. Shingles of more than ``hot_from`` sets go to the end of the order, by their count: a passage in a
+    third of all texts then is in few prefixes. Sets are made from the texts again where they are needed, which takes
+    less than to keep them.
     """
-    hot: dict[int, int] = {}
-    for k in range(HOT_ROUNDS + 1):
-        shared = cut(prefixes(docs, shingle, similarity, hot).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
-        most = shared.where(F.col("c") > hot_from).orderBy(F.desc("c"), "key").limit(MOST_HOT)
-        new = {r.key: r.c for r in most.collect() if r.key not in hot} if k < HOT_ROUNDS else {}
-        if not new:
-            break
-        hot |= new
+    proposed = similar(simhash_pairs(sketches, similarity), sketches, docs, shingle, similarity)
+    roots = components(proposed)
+    most = frequent(docs, shingle).where(F.col("c") > hot_from).orderBy(F.desc("c"), "key").limit(MOST_HOT)
+    hot = {r.key: r.c for r in most.collect()}
+    shared = cut(prefixes(docs, shingle, similarity, hot).groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1"))
     keyed = cut(prefixes(docs, shingle, similarity, hot).join(shared.select("key"), "key").distinct())
-    over, under = similarity.numerator, similarity.denominator
-    fits = (F.least("n", "m") * under >= F.greatest("n", "m") * over) & (F.col("u") != F.col("v"))
-    ordered = (F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    # In each bucket, the member of the least seeded hash; buckets share few seeds, so a group has few of them.
-    seeded = F.xxhash64("node", F.pmod(F.col("key"), F.lit(STARS)))
-    centre = cut(keyed.groupBy("key").agg(F.min(F.struct(seeded, F.col("node").alias("v"), F.col("n").alias("m"))).alias("x")).select("key", "x.v", "x.m"))
-    stars = keyed.withColumnRenamed("node", "u").join(centre, "key").where(fits).select(*ordered).distinct()
-    links = similar(stars, sketches, docs, shingle, similarity)
-    roots = components(links)
-    named = keyed.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = cut(named.select("key", "node", "n", "root"))
+    # In each bucket the member of most links so far is compared with those of other components, which joins nearly all
+    # of what is left of a dense group: a group's origin has most links.
+    many = proposed.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
+    known = cut(roots.join(many, "node", "left"))
+    named = keyed.join(known, "node", "left")
+    named = cut(named.select("key", "node", "n", "pos", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links")))
+    hub = F.max(F.struct("links", "node", "n", "pos", "root")).alias("hub")
+    mixed = cut(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low <> high").select("key", "hub"))
+    named = cut(named.drop("links").join(mixed, "key"))
+    star = named.select(F.col("node").alias("u"), "n", "pos", "root", F.col("hub.node").alias("v"), F.col("hub.n").alias("m"), F.col("hub.pos").alias("at"), F.col("hub.root").alias("root_v"))
+    star = star.where((F.col("root") != F.col("root_v")) & may_fit(similarity, "n", "pos", "m", "at"))
+    star = star.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    proposed = proposed.union(similar(star, sketches, docs, shingle, similarity))
+    named = named.drop("root", "hub").join(components(proposed), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = cut(named.select("key", "node", "n", "pos", "root"))
     mixed = cut(named.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key"))
     named = cut(named.join(mixed, "key"))
-    other = named.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("root_v"))
-    rest = named.withColumnRenamed("node", "u").join(other, "key").where((F.col("u") > F.col("v")) & (F.col("root") != F.col("root_v")) & fits)
-    return links.union(similar(rest.select("u", "v").distinct(), sketches, docs, shingle, similarity))
+    other = named.select("key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("pos").alias("at"), F.col("root").alias("root_v"))
+    rest = named.withColumnRenamed("node", "u").join(other, "key").where((F.col("u") > F.col("v")) & (F.col("root") != F.col("root_v")) & may_fit(similarity, "n", "pos", "m", "at"))
+    return proposed.union(similar(rest.select("u", "v").distinct(), sketches, docs, shingle, similarity))
 
 
 def _similar_sets(docs: DataFrame, similarity: float, shingle: int) -> tuple[DataFrame, DataFrame]:
@@ -510,7 +604,8 @@ def _similar_sets(docs: DataFrame, similarity: float, shingle: int) -> tuple[Dat
     ratio = Fraction(similarity).limit_denominator(1000)
     found = nodes(docs.select("doc_id", "text", F.xxhash64("text").alias("mark")), shingle, ["doc_id", "mark"])
     rows = cut(found)
-    return rows, components(set_links(docs, cut(rows.select("node", "n", "sketch").dropDuplicates(["node"])), shingle, ratio))
+    sketches = cut(rows.select("node", "n", "sketch", "print").dropDuplicates(["node"]))
+    return rows.drop("sketch", "print"), components(set_links(docs, sketches, shingle, ratio))
 
 
 def find_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = 5) -> DataFrame:
@@ -532,13 +627,24 @@ def keep_one(docs: DataFrame) -> DataFrame:
     ``doc_id`` all stay, as nothing tells which of them to keep.
     """
     rows, roots = _similar_sets(docs, SIMILARITY, 5)
-    least = rows.where(F.col("doc_id").isNotNull()).groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("least"))
+    rows = rows.where(F.col("doc_id").isNotNull())
+    least = rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count(F.lit(1)).alias("rows"))
     rooted = cut(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    chosen = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    chosen = chosen.select(F.col("least.doc_id").alias(name := fresh(docs, "chosen")), F.col("least.mark").alias(mark := fresh(docs, "mark")))
-    known = docs.where(F.col("doc_id").isNotNull()).withColumn(text := fresh(docs, "text_mark"), F.xxhash64("text"))
-    once = known.join(chosen, (known["doc_id"] == chosen[name]) & (known[text] == chosen[mark]), "left_semi").dropDuplicates(["doc_id", text]).drop(text)
-    return once.unionByName(docs.where(F.col("doc_id").isNull()))
+    # Groups of one row need no look; of the others every row but the chosen one goes.
+    several = cut(rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("rows").alias("rows")).where("rows > 1"))
+    inside = cut(rooted.select("node", "root").join(several.select("root"), "root").select("node"))
+    grouped = cut(rows.join(inside, "node").select("doc_id", "mark").distinct())
+    lost = cut(grouped.join(several.select("least.doc_id", "least.mark"), ["doc_id", "mark"], "left_anti"))
+    bits = bit_map(grouped.select(F.xxhash64("doc_id", "mark")))
+    look = F.pandas_udf(lambda hashes: pd.Series(marked(bits, hashes.to_numpy())), "boolean")
+
+    mark, seen, lost_id = fresh(docs, "text_mark"), fresh(docs, "seen"), fresh(docs, "lost_id")
+    known = docs.where(F.col("doc_id").isNotNull()).withColumn(mark, F.xxhash64("text")).withColumn(seen, look(F.xxhash64("doc_id", mark)))
+    lost = lost.select(F.col("doc_id").alias(lost_id), F.col("mark").alias(f"{lost_id}_mark"))
+    # Only rows that the bit map marks move.
+    tried = known.where(F.col(seen)).join(lost, (F.col("doc_id") == F.col(lost_id)) & (F.col(mark) == F.col(f"{lost_id}_mark")), "left_anti")
+    tried = tried.dropDuplicates(["doc_id", mark])
+    return known.where(~F.col(seen)).unionByName(tried).drop(mark, seen).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
