@@ -319,3 +319,13 @@ def test_url_model(spark):
     names = [("www.casino-bets.example.org", "block"), ("cheap-pills.example.com", "block"), ("m.spam-links.example.org", "block"), ("library.example.org", "allow"), ("blog.thering.example.com", "allow"), ("history-books.example.com", "allow")]
     df = spark.createDataFrame([(i, f"https://{h}/en/{17 * i}") for i, (h, _) in enumerate(names)], "page_id long, url string")
     assert {names[r.page_id][0]: r.verdict for r in op9.judge(df).collect()} == dict(names)
+
+
+def test_url_names_never_seen(spark):
+    """Names in neither the labelled table nor the driver's pages; hosts and paths like those of the pages and unlike them."""
+    bad = "poker-slots casino-jackpots viagra-meds sex-videos adult-porn payday-cash loans-instant bets-winner ads-popup click-tracking spam-bulk replica-rolex torrent-warez crypto-profit pharmacy-pills".split()
+    good = "harbour-museum valley-library physics-institute mountain-trains bakery-recipes folk-orchestra northern-gazette botany-garden coding-tutorials ministry-education river-geography chess-academy tionland theraton ththmas".split()
+    assert not set(bad + good) & {*op9.UNWANTED, *op9.WANTED} and not any(n in ("ads-track", "spam-farm", "cheap-pills", "free-bets", "adult-x", "casino-win") for n in op9.UNWANTED)
+    rows = [(i, f"{u}{n}{v}", n) for i, n in enumerate(bad + good) for u, v in (("http://www.", ".com/"), ("https://m.", ".example.org/de/39547.html"), ("https://", ".example.com/en/7198#top"))]
+    verdicts = [(r.probability >= 0.5) == (r.page_id < len(bad)) for r in op9.judge(spark.createDataFrame(rows, "page_id long, url string, n string")).collect()]
+    assert sum(verdicts) >= 0.9 * len(rows)
