@@ -329,3 +329,104 @@ def test_url_names_never_seen(spark):
     rows = [(i, f"{u}{n}{v}", n) for i, n in enumerate(bad + good) for u, v in (("http://www.", ".com/"), ("https://m.", ".example.org/de/39547.html"), ("https://", ".example.com/en/7198#top"))]
     verdicts = [(r.probability >= 0.5) == (r.page_id < len(bad)) for r in op9.judge(spark.createDataFrame(rows, "page_id long, url string, n string")).collect()]
     assert sum(verdicts) >= 0.9 * len(rows)
+
+
+# --- secrets: the battery, the null of structured text, and the control of false discoveries --------------------------
+
+
+def slow_battery(token):
+    """chi-squared, runs and serial correlation of a token's places in its alphabet, from their textbook definitions."""
+    from math import erfc, sqrt
+
+    alphabet = next(a for _, p, a in op6._ALPHABETS if not p or re.search(p, token))
+    v = [alphabet.index(c) + 1 for c in token.rstrip("=") if c in alphabet]
+    n, k = len(v), len(alphabet)
+    if n < 16:
+        return 0.0
+    tail = lambda z: erfc(z / sqrt(2)) / 2
+    counts = Counter(v)
+    chi = sum((counts.get(x, 0) - n / k) ** 2 / (n / k) for x in range(1, k + 1))
+    d = k - 1
+    p_chi = tail(((chi / d) ** (1 / 3) - (1 - 2 / (9 * d))) / sqrt(2 / (9 * d)))
+    up = [x > k / 2 for x in v]
+    high, low = sum(up), n - sum(up)
+    runs = 1 + sum(a != b for a, b in zip(up, up[1:], strict=False))
+    if not high or not low:
+        p_runs = 0.5 ** (n - 1)
+    else:
+        mean = 1 + 2 * high * low / n
+        p_runs = 2 * tail(abs(runs - mean) / sqrt(max(2 * high * low * (2 * high * low - n) / (n * n * (n - 1)), 1e-12)))
+    m = sum(v) / n
+    total = sum((x - m) ** 2 for x in v)
+    r = sum((a - m) * (b - m) for a, b in zip(v, v[1:], strict=False)) / total if total else 1.0
+    return min(1.0, 3 * min(p_chi, p_runs, 2 * tail(abs(r + 1 / n) * sqrt(n))))
+
+
+def slow_log_p(token):
+    """The ratio of structured text to a uniform draw, as a common logarithm."""
+    from math import log
+
+    word, table = token.rstrip("="), op6.structured()
+    k = len(next(a for _, p, a in op6._ALPHABETS if not p or re.search(p, word)))
+    at = ["abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ".find(c) if c.isalpha() else 52 if c.isdigit() else 53 for c in word]
+    return min(0.0, sum(table[i * 54 + j] + log(k) for i, j in zip(at, at[1:], strict=False)) / log(10))
+
+
+_BASE62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+
+
+def _ordinary(rng, n):
+    """Names as they stand in code and logs, of words that the list of bigrams mostly lacks."""
+    words = "handler image module draft config service user review payment customer gateway thumbnail invoice kitchen rocket billing worker orchard pending summer overview harvest compiler syntax walker marble quarter ledger".split()
+    out = []
+    for _ in range(n):
+        a, b, c = (rng.choice(words) for _ in range(3))
+        out.append(rng.choice([f"{a}-{b}-{c}-{rng.randrange(1990, 2030)}", f"{a}_{b}_{c}_v{rng.randrange(20)}", f"{a.title()}{b.title()}{c.title()}{rng.randrange(64)}Impl", f"IMG_{rng.randrange(10**8):08d}_{rng.randrange(10**6)}_{a}", f"{a}/{b}/2021/05/{c}-page-{rng.randrange(99)}", f"{a}{b}{c}internationalization"]))
+    return [t for t in out if len(t) >= 20]
+
+
+def test_false_secrets_are_bounded(spark):
+    """Of 800 ordinary names with 100 random tokens at most 5 % are reported, and at least 90 of the tokens."""
+    rng = random.Random(12)
+    plain = _ordinary(rng, 1200)[:800]
+    drawn = ["".join(rng.choice(rng.choice([_BASE62, _BASE62 + "+/", _BASE62[26:], _BASE62[:52]])) for _ in range(rng.choice([24, 32, 40]))) for _ in range(100)]
+    df = spark.createDataFrame([(i, f"see {t} there") for i, t in enumerate(plain + drawn)], DOCS)
+    hits = {r.doc_id for r in op6.scan(df).collect() if any(x.kind == 3 for x in r.spans)}
+    assert len(plain) == 800 and len([i for i in hits if i < 800]) <= 40 and len([i for i in hits if i >= 800]) >= 90
+
+
+def test_battery_and_null_by_hand(spark):
+    rng = random.Random(13)
+    some = _ordinary(rng, 60) + ["".join(rng.choice(a) for _ in range(n)) for a in (_BASE62, "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", _BASE62 + "+/") for n in (20, 33, 64)] + ["a" * 30, "ab" * 20, "A1" * 15 + "==", "_" * 25 + "a1", "+-" * 12]
+    got = spark.createDataFrame([(t,) for t in some], "t string").select("t", op6.p_random(F.col("t")).alias("p"), op6.log_p(F.rtrim("t", F.lit("="))).alias("q")).collect()
+    for r in got:
+        assert r.p == pytest.approx(slow_battery(r.t), rel=1e-3, abs=2e-7), r.t
+        assert r.q == pytest.approx(slow_log_p(r.t), rel=1e-4, abs=1e-4), r.t
+
+
+def test_control_is_benjamini_and_hochberg(spark):
+    """What the histogram discovers lies between the exact control's discoveries with p-values a bin higher and as they are."""
+    rng = random.Random(14)
+    rows = [(k, 0, rng.choice([0.0, -16.0, -12 * rng.random(), -3 * rng.random()])) for k in range(3000)] + [(9000 + k, 4, -0.3 * rng.random()) for k in range(50)]
+    df = spark.createDataFrame(rows, "id int, c int, power double")
+    df = df.select("id", F.array(F.struct("c", op6._bin(F.col("power")).alias("b"))).alias("more"))
+    cut = op6.thresholds(df, "more")
+
+    def exact(shift):
+        ps = sorted(min(1.0, 10 ** (p + shift)) for _, c, p in rows if c == 0)
+        return max((k for k, p in enumerate(ps, 1) if p <= op6.Q * k / len(ps)), default=0)
+
+    found = df.where(F.col("more")[0]["b"] < cut[0]).where(F.col("more")[0]["c"] == 0).count()
+    assert exact(16 / op6.BINS) <= found <= exact(0) and found > 0 and cut[4] == 0
+
+
+def test_secret_columns_keep_their_names(spark):
+    df = spark.createDataFrame([(1, "token: abcdefgh", "mine", 7)], "doc_id long, text string, base string, Spans int")
+    got = op6.scan(df)
+    assert got.columns == ["doc_id", "text", "base", "Spans", "base_", "spans_"] and len(got.first()[4]) == 1 and got.first()[2:4] == ("mine", 7)
+
+
+def test_long_secret_text(spark):
+    text = "word " * 200_000 + "AKIA" + "Z9" * 10 + " x" * 100_000 + " " + "ab12" * 10
+    r = op6.scan(spark.createDataFrame([(1, text)], DOCS)).first()
+    assert [(x.start, x.kind, x.stop) for x in r.base] == slow_spans(text)
