@@ -5,12 +5,17 @@ security numbers, telephone numbers, and personal names after a courtesy title.
 the key and the entity only, so one entity has one surrogate in the whole corpus (coreference) without any
 shuffle or state.
 
-Numbers and addresses go through a format-preserving Feistel permutation: every digit becomes a
-digit, every letter a letter of its script and case, punctuation stays. A permutation has no collisions,
-so distinct entities of one form stay distinct everywhere. Valid check digits (Luhn, IBAN) stay
-valid, a private IPv4 address stays in its network. Names come from lists by gender and script; the lists
-are finite, so a document's names are checked against each other and against its other words, and
-a taken surrogate moves on to the next. Later bare mentions of a name's parts get the same surrogate.
+Numbers and addresses go through a format-preserving permutation, a Feistel network around a step to the next text of
+the form: every digit becomes a digit, every letter another of its alphabet and case (of its Unicode block, where no
+alphabet is listed), punctuation stays. A permutation has no collisions, so distinct entities of one form stay distinct
+everywhere, and none of this kind maps a text to itself. Valid check digits (Luhn, IBAN) stay valid, a private IPv4 address
+stays in its network.
+
+A part of a name has one surrogate whatever its document, title or place in the name. Names that are on the lists by gender
+and script change places on their list; others keep their script, length, capitals, last letter (which often tells the
+gender) and the places of vowels, by a permutation of all names that are on no list. Both are one to one, so distinct names
+stay distinct in the whole corpus. Only a surrogate that is another word of its document moves on to the next one there.
+Later bare mentions of a name's parts get the same surrogate. Names without a courtesy title aren't found.
 
 Defined cases: a null text stays null and an empty one empty; texts are processed whole; a document without
 entities is unchanged; repeated rows are replaced alike; other columns pass through (``n_chars`` is set
@@ -21,7 +26,9 @@ from __future__ import annotations
 
 import hmac
 import re
+import unicodedata
 from collections.abc import Callable
+from functools import cache
 from hashlib import sha256
 
 import pyarrow as pa
@@ -48,7 +55,26 @@ _ALPHABETS = (
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
-_PLACE = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
+_VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿаеёиоуыэюяαεηιουω"
+
+
+@cache
+def _place(c: str, named: bool = False) -> tuple[str, int] | None:
+    """The alphabet of a letter or digit, and its place there; ``named`` parts vowels from other letters."""
+    alphabet = next((a for a in _ALPHABETS if c in a), None)
+    if alphabet is None and (c.isalpha() or c.isdecimal()):
+        alphabet = _block(c)
+    if alphabet is not None and named:
+        alphabet = "".join(x for x in alphabet if (x.lower() in _VOWELS) == (c.lower() in _VOWELS))
+    return (alphabet, alphabet.index(c)) if alphabet else None
+
+
+def _block(c: str) -> str:
+    """The letters (or digits) of the character's kind around it: of all Han or Hangul, else of 128 code points."""
+    n = ord(c)
+    span = next((r for r in (range(0x4E00, 0xA000), range(0xAC00, 0xD7A4)) if n in r), range(n & ~127, (n | 127) + 1))
+    return "".join(x for x in map(chr, span) if unicodedata.category(x) == unicodedata.category(c))
+
 
 # Courtesy titles by gender, and names to choose surrogates from by gender and script.
 _TITLES = {
@@ -57,7 +83,7 @@ _TITLES = {
     "n": ("Dr", "Prof", "Mx"),
 }
 _GIVEN = {
-    ("m", "latin"): "Adam Albert Alan Bruno Carl Daniel David Edgar Emil Felix Frank George Henry Hugo Ivan Jack Jonas Karl Leon Louis Marc Martin Max Nils Oscar Otto Paul Peter Ralph Robert Simon Stefan Thomas Tim Victor Walter".split(),
+    ("m", "latin"): "Adam Albert Alan Bruno Carl Daniel David Edgar Emil Felix Frank George Henry Hugo Ivan Jack James John Jonas Karl Leon Louis Marc Martin Max Nils Oscar Otto Paul Peter Ralph Robert Simon Stefan Thomas Tim Victor Walter".split(),
     ("f", "latin"): "Ada Alice Anna Bella Carla Clara Daria Diana Edith Ella Emma Eva Fiona Flora Greta Hanna Helen Ida Irene Jana Julia Karin Lara Laura Lena Lucy Maria Martha Mia Nina Nora Olga Paula Rosa Sara Sofia Thea Vera".split(),
     ("n", "latin"): "Alex Andrea Charlie Dana Eden Jamie Jordan Kim Lee Morgan Nikola Robin Sascha Toni Vivian".split(),
     ("m", "cyrillic"): "Алексей Андрей Борис Виктор Глеб Денис Егор Иван Игорь Кирилл Максим Олег Павел Роман Семён Тимур".split(),
@@ -68,10 +94,15 @@ _GIVEN = {
     ("n", "greek"): "Χάρις Αλέξις".split(),
 }
 _FAMILY = {
-    "latin": "Abbott Arnold Barker Becker Bergmann Blanc Brandt Carter Castro Clark Costa Cruz Dietrich Dubois Ellis Fischer Fletcher Fontaine Garcia Graf Hansen Hart Hoffmann Jensen Keller Klein Lambert Lang Laurent Lindner Lopez Marin Mercer Meyer Moreau Navarro Novak Ortega Parker Perrin Reyes Richter Roche Romero Russo Sanders Schubert Serrano Stone Torres Vargas Vogel Wagner Weber Winter Ziegler".split(),
+    "latin": "Abbott Adams Anderson Arnold Baker Barker Becker Bergmann Blanc Brandt Brown Carter Castro Clark Costa Cruz Dietrich Dubois Ellis Fischer Fletcher Fontaine Garcia Graf Hansen Hart Hoffmann Jensen Johnson Jones Keller Klein Lambert Lang Laurent Lindner Lopez Marin Mercer Meyer Miller Moreau Müller Navarro Novak Ortega Parker Perrin Reyes Richter Roche Romero Russo Sanders Schubert Serrano Smith Stone Taylor Torres Vargas Vogel Wagner Weber Williams Wilson Winter Ziegler".split(),
     "cyrillic": "Беленко Гнатюк Дейнеко Живаго Карпенко Кравчук Лысенко Мельник Павленко Романенко Савченко Тараненко Франко Шевчук Юрченко Яценко".split(),
     "greek": "Αλεξίου Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Νικολάου Παπαδάκη Στεφάνου".split(),
 }
+#: Every listed name with the list that it changes places on: the first that has it.
+_LISTED: dict[str, str] = {}
+for _kind, _names in (*((f"given {g} {x}", ns) for (g, x), ns in _GIVEN.items()), *((f"family {x}", ns) for x, ns in _FAMILY.items())):
+    for _n in _names:
+        _LISTED.setdefault(_n, _kind)
 _GENDER = {t.lower(): g for g, ts in _TITLES.items() for t in ts}
 
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][\w'’-]*[^\W\d_]"
@@ -87,7 +118,7 @@ _NUMBERS = (
 _WITH_AT = re.compile("|".join((_EMAIL, *_NUMBERS)))
 _WITHOUT_AT = re.compile("|".join(_NUMBERS))
 #: What every numeric entity has; a text without it and without an @ is not searched further.
-_NUMERIC = re.compile(r"\d(?:[^\n\w]{0,2}\d){6}|\d{1,3}\.\d{1,3}\.\d|[A-Z]{2}\d\d[ A-Z0-9]")
+_NUMERIC = re.compile(r"\+\d|\d(?:[^\n\w]{0,2}\d){6}|\d{1,3}\.\d{1,3}\.\d|[A-Z]{2}\d\d[ A-Z0-9]")
 
 
 class Surrogates:
@@ -99,25 +130,34 @@ class Surrogates:
     def _draw(self, *parts: str) -> bytes:
         return hmac.new(self.key, "\0".join(parts).encode(), sha256).digest()
 
-    def permute(self, text: str, tweak: str, back: bool = False) -> str:
-        """A keyed permutation of the texts of this form: same length, each character in its alphabet."""
-        at = [i for i, c in enumerate(text) if c in _PLACE]
-        sizes = [len(_PLACE[text[i]][0]) for i in at]
-        x = [_PLACE[text[i]][1] for i in at]
-        form = "".join(_PLACE[c][0][0] if c in _PLACE else c for c in text)
+    def permute(self, text: str, tweak: str, back: bool = False, named: bool = False) -> str:
+        """A keyed permutation of the texts of this form, of which none stays: same length, each character in its alphabet."""
+        places = [_place(c, named) for c in text]
+        at = [i for i, p in enumerate(places) if p]
+        sizes, x = [len(places[i][0]) for i in at], [places[i][1] for i in at]
+        form = "".join(p[0][0] if p else c for p, c in zip(places, text, strict=True))
+        # Back to the key's own order, one step on in it, and forth again.
+        self._rounds(x, sizes, tweak, form, -1)
+        step = -1 if back else 1
+        for i, size in enumerate(sizes):
+            x[i] = (x[i] + step) % size
+            if x[i] != (size - 1 if back else 0):
+                break
+        self._rounds(x, sizes, tweak, form, 1)
+        out = list(text)
+        for i, v in zip(at, x, strict=True):
+            out[i] = places[i][0][v]
+        return "".join(out)
+
+    def _rounds(self, x: list[int], sizes: list[int], tweak: str, form: str, sign: int) -> None:
         half = len(x) // 2
         parts = (range(half, len(x)), range(half))
-        sign = -1 if back else 1
         for r in range(_ROUNDS)[::sign]:
             change, other = parts[r % 2], parts[1 - r % 2]
             told = ",".join(str(x[j]) for j in other)
             stream = b"".join(self._draw(tweak, form, str(r), told, str(b)) for b in range(len(change) // 8 + 1))
             for n, j in enumerate(change):
                 x[j] = (x[j] + sign * int.from_bytes(stream[4 * n : 4 * n + 4], "big")) % sizes[j]
-        out = list(text)
-        for i, v in zip(at, x, strict=True):
-            out[i] = _PLACE[text[i]][0][v]
-        return "".join(out)
 
     def email(self, text: str, back: bool = False) -> str:
         """Local part and domain are mapped apart, so people of one domain still share one; its last label stays."""
@@ -134,7 +174,7 @@ class Surrogates:
         net = n >> bits << bits
         low = n - net
         while True:
-            low = self._bits(low, bits, back)
+            low = self._bits((self._bits(low, bits, True) + (-1 if back else 1)) % (1 << bits), bits, False)
             if bits < 32 or _network_bits(low) == 32:
                 break
         out = net + low
@@ -180,6 +220,29 @@ class Surrogates:
             found = self.known[kind, text] = getattr(self, kind)(text)
         return found
 
+    def name(self, part: str) -> str:
+        """The surrogate of a part of a name, the same in every document."""
+        if part.isupper() and len(part) > 1 and (small := part.title()).upper() == part:
+            return self.name(small).upper()
+        if len(self.known) > 100_000:
+            self.known.clear()
+        if (found := self.known.get(("name", part))) is None:
+            found = self.known["name", part] = self._listed(part) if part in _LISTED else self._made_up(part)
+        return found
+
+    def _listed(self, part: str) -> str:
+        """The next name in the key's order of the list."""
+        kind = _LISTED[part]
+        order = sorted((n for n, k in _LISTED.items() if k == kind), key=lambda n: self._draw("name", kind, n))
+        return order[(order.index(part) + 1) % len(order)]
+
+    def _made_up(self, part: str) -> str:
+        """A name on no list: letters permuted, all but the last, until the result is on none either."""
+        pick = part
+        while pick == part or pick in _LISTED:
+            pick = self.permute(pick[:-1], f"name{pick[-1]}", named=True) + pick[-1]
+        return pick
+
     def names(self, found: list[tuple[str, list[str]]], taken: set[str]) -> dict[str, str]:
         """Surrogates for the parts of a document's names, given as (gender, parts) in order of appearance.
 
@@ -187,28 +250,15 @@ class Surrogates:
         """
         out: dict[str, str] = {}
         used: set[str] = set()
-        for gender, parts in sorted(found, key=lambda x: (x[1], x[0])):
-            for k, part in enumerate(parts):
-                if part in out:
-                    continue
-                script = _script(part)
-                pool = _FAMILY[script] if k == len(parts) - 1 else _GIVEN[gender, script]
-                kind = "family" if k == len(parts) - 1 else f"given {gender}"
-                start = int.from_bytes(self._draw("name", kind, script, part)[:8], "big")
-                tries = (pool[(start + i) % len(pool)] for i in range(len(pool)))
-                pick = next((p for p in tries if p not in used and p not in taken), None)
-                out[part] = pick if pick is not None else self._made_up(part, used | taken)
-                used.add(out[part])
+        for part in sorted({p for _, parts in found for p in parts}):
+            pick, tries = self.name(part), 0
+            while pick in used or pick in taken:
+                tries += 1
+                pick = self.name(pick) if tries < 50 else self._made_up(part + "a" * (tries - 49))
+            out[part] = pick
+            used.add(pick)
         return out
 
-    def _made_up(self, part: str, no: set[str]) -> str:
-        """For more names than the lists hold: letters permuted until the result is free."""
-        pick, tries = self.permute(part, "name"), 0
-        while pick in no:
-            tries += 1
-            pick = self.permute(pick, f"name{tries}") if tries < 50 else self.permute(part + "a" * (tries - 49), "name")
-        return pick
-
     def replace(self, text: str | None) -> tuple[str | None, list[int]]:
         """The text with surrogates, and how many entities of each of ``KINDS`` it had."""
         counts = dict.fromkeys(KINDS, 0)

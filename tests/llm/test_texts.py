@@ -430,3 +430,42 @@ def test_long_secret_text(spark):
     text = "word " * 200_000 + "AKIA" + "Z9" * 10 + " x" * 100_000 + " " + "ab12" * 10
     r = op6.scan(spark.createDataFrame([(1, text)], DOCS)).first()
     assert [(x.start, x.kind, x.stop) for x in r.base] == slow_spans(text)
+
+
+# --- personal data over many documents and scripts ----------------------------------------------------------------
+
+
+def test_one_name_one_surrogate_everywhere(spark):
+    """Over many documents: equal parts of names get equal surrogates whatever the title, distinct ones distinct ones."""
+    rng = random.Random(21)
+    made = {f"{a}{b}{c}" for a in ("Ba", "Do", "Ki", "Lu", "Ne", "Ro") for b in ("mal", "ner", "vis", "ton", "ber") for c in ("a", "o", "ski", "sen", "ert")}
+    names = sorted(made | set(op5._LISTED) | {"John", "Brown"})
+    rows = [(i, f"{rng.choice(['Mr', 'Mrs', 'Dr'])} {n} wrote.") for i, n in enumerate(names)] + [(10_000, "Mr John Brown wrote."), (10_001, "Dr Brown and Mr JOHN wrote.")]
+    got = {r.doc_id: r.text.split() for r in op5.clean(spark.createDataFrame(rows, DOCS)).collect()}
+    new = {n: got[i][1] for i, n in enumerate(names)}
+    assert len(set(new.values())) == len(names) and all(n != m for n, m in new.items())
+    assert got[10_000][1:3] == [new["John"], new["Brown"]] and got[10_001][1] == new["Brown"] and got[10_001][4] == new["John"].upper()
+    # Listed names stay on their list, so they keep gender and script; others keep their form.
+    assert all(op5._LISTED[new[n]] == op5._LISTED[n] for n in op5._LISTED)
+    assert all(len(new[n]) == len(n) and new[n][-1] == n[-1] and new[n] not in op5._LISTED for n in made)
+
+
+@pytest.mark.parametrize("text", ["李雷@例子.公司", "żółć@łódź.pl", "김철수@회사.kr", "иван@почта.рф", "ünï@exämple.de", "ab@x.io"])
+def test_letters_of_all_scripts_change(text):
+    s = op5.Surrogates(b"k")
+    new, counts = s.replace(f"write to {text} now")
+    out = new.split()[2]
+    assert counts[0] == 1 and out != text and s.email(out, True) == text and [len(x) for x in out.split("@")] == [len(x) for x in text.split("@")]
+    local, was = out.partition("@")[0], text.partition("@")[0]
+    assert local != was and all(op5._place(a)[0] == op5._place(b)[0] for a, b in zip(local, was, strict=True))
+
+
+def test_no_surrogate_is_its_entity():
+    s = op5.Surrogates(b"k")
+    assert all(s.permute(str(i), "t") != str(i) for i in range(10)) and len({s.permute(f"{i:02d}", "t") for i in range(100)}) == 100
+    assert all(s.ip(f"10.0.0.{i}") != f"10.0.0.{i}" for i in range(256))
+
+
+@pytest.mark.parametrize("text", ["+1 22 33", "+47 22 33", "call +1 22 33 now"])
+def test_short_phone_numbers_are_found_alone(text):
+    assert op5.Surrogates().replace(text)[1][op5.KINDS.index("phone")] == 1
