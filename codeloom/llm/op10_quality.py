@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_rows
+from .common import cut, fresh, map_rows
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -140,21 +140,17 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 50, prior: float = 0
 def judge(docs: DataFrame, text: str = "text", prefix: str = "q_", keep: list[str] | None = None) -> DataFrame:
     """``docs`` with the features, ``base_failed``, ``probability`` and ``kept``, all named with ``prefix``.
 
-    The corpus is read twice: once to count vote patterns (nothing but the counts is shuffled), once to
-    judge; neither pass moves a text.
+    The texts are read once: features and votes are written with the columns ``keep`` (all by default) and read again, to
+    count vote patterns and to judge.
     """
     while any(c.lower().startswith(prefix) for c in docs.columns):
         prefix += "_"
     names = [f"{prefix}{x}" for x in _FEATURES]
-    out = [(x, T.LongType()) for x in names]
-
-    def voted(df: DataFrame) -> DataFrame:
-        f = {k: F.col(f"`{x}`") for k, x in zip(_FEATURES, names, strict=True)}
-        return df.withColumn(f"{prefix}votes", F.array(*[x.cast("int") for x in votes(f)]))
-
-    counted = voted(map_rows(docs, text, out, _make, keep=[])).groupBy(f"{prefix}votes").agg(F.count(F.lit(1)).alias("n"))
+    df = map_rows(docs, text, [(x, T.LongType()) for x in names], _make, keep=keep)
+    f = {k: F.col(f"`{x}`") for k, x in zip(_FEATURES, names, strict=True)}
+    df = cut(df.withColumn(f"{prefix}votes", F.array(*[x.cast("int") for x in votes(f)])))
+    counted = df.groupBy(f"{prefix}votes").agg(F.count(F.lit(1)).alias("n"))
     base, ratio = fit({tuple(r[0]): r[1] for r in counted.collect()})
-    df = voted(map_rows(docs, text, out, _make, keep=keep))
     odds = F.lit(base)
     for j, row in enumerate(ratio):
         v = F.col(f"`{prefix}votes`")[j]

@@ -12,8 +12,9 @@ weight being how often it occurs. Words are runs of letters, digits and undersco
    give all items within the radius. Shingle sets of similarity 0.8 differ in about 10 bits of 64.
 4. Candidates are verified by their exact weighted similarity.
 
-The benchmark is a stated query set. It is taken in blocks of bounded items and characters, each block
-one pass over the documents, so what travels to executors never grows with it.
+The benchmark is a stated query set. It is taken in blocks of bounded items and characters, so what travels to
+executors never grows with it. Of several blocks each is one pass over the few documents that share a shingle with any
+item at all, which one pass with a bit map of bounded size finds first.
 
 Defined cases: null or empty texts and items have no words and never match; an item or document
 of fewer than five words is one shingle; a document shorter than an item is one window; repeated rows
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, map_rows
+from .common import cut, fresh, map_rows
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -41,6 +42,8 @@ RADIUS = 23
 #: Bounds on a block of the benchmark that is sent to executors at once.
 BLOCK_ITEMS = 1000
 BLOCK_CHARS = 4_000_000
+#: Bits of the map of all items' shingles, where there are several blocks.
+MAP_BITS = 1 << 27
 _WORD = re.compile(r"\w+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
@@ -184,16 +187,45 @@ class Scanner:
                     best[i] = (i, int(starts[row]), size, near)
 
 
+def n_blocks(benchmark: DataFrame, text: str = "text") -> int:
+    """How many blocks of bounded items and characters the benchmark takes."""
+    n, chars = benchmark.where(F.col(text).isNotNull()).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text)), F.lit(0))).first()
+    return max(-(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
+
+
 def blocks(benchmark: DataFrame, item_id: str = "item_id", text: str = "text") -> Iterator[list[Row]]:
     """The benchmark's items, block by block, each of bounded size (a longer single item is a block's part)."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null")
-    n, chars = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
-    parts = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
-    for part in range(parts if n else 0):
+    parts = n_blocks(benchmark, text)
+    for part in range(parts):
         mine = F.pmod(F.xxhash64("text", F.col("item_id").cast("string")), F.lit(parts)) == part
         yield sorted(items.where(mine).collect(), key=lambda r: (r[0] is not None, r[0], r[1]))
 
 
+def shares(benchmark: DataFrame, docs: DataFrame, text: str, flag: str) -> DataFrame:
+    """``docs`` with ``flag``: whether a document may share a shingle with an item; false only if it shares none."""
+    bits, widths, hashes = np.zeros(MAP_BITS // 8, np.uint8), set(), _Hashes()
+    for items in blocks(benchmark):
+        for r in items:
+            h = hashes.of(tokens(r[1]))
+            if len(h):
+                widths.add(width := min(SHINGLE, len(h)))
+                at = _shingle_hashes(h, width) & np.uint64(MAP_BITS - 1)
+                np.bitwise_or.at(bits, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def one(found: np.ndarray) -> bool:
+        for width in widths:
+            at = _shingle_hashes(found, width) & np.uint64(MAP_BITS - 1)
+            if (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).any():
+                return True
+        return False
+
+    def make(lot: list[str | None], known: _Hashes = _Hashes()) -> list[pa.Array]:  # noqa: B008  one memory a task
+        return [pa.array([one(known.of(tokens(t))) for t in lot], pa.bool_())]
+
+    return map_rows(docs, text, [(flag, T.BooleanType())], make)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, item_id, first_word, n_words, similarity)`` of every contaminated document and item."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
@@ -202,6 +234,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
     arrow = pa.list_(pa.struct([("i", pa.int32()), ("first_word", pa.int64()), ("n_words", pa.int64()), ("similarity", pa.float64())]))
     names = ["doc_id", "item_id", "first_word", "n_words", "similarity"]
     out = None
+    if n_blocks(benchmark) > 1:
+        src = cut(shares(benchmark, src, "text", "shares").where("shares").drop("shares"))
     for items in blocks(benchmark):
         texts, ids = [r[1] for r in items], [r[0] for r in items]
 
@@ -222,6 +256,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", doc_id: str
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that no item contaminates, with their columns unchanged; no text is shuffled."""
     flag, names = fresh(docs, "leaks"), docs.columns
+    plain = [F.col(f"`{c}`") for c in names]
+    clean = None
+    if n_blocks(benchmark) > 1:
+        marked = cut(shares(benchmark, docs, "text", flag))
+        clean, docs = marked.where(~F.col(f"`{flag}`")).select(*plain), marked.where(F.col(f"`{flag}`")).select(*plain)
     for items in blocks(benchmark):
         texts = [r[1] for r in items]
 
@@ -230,8 +269,8 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 kept.append(Scanner(texts))
             return [pa.array([bool(x) for x in kept[0].scan(lot)], pa.bool_())]
 
-        docs = map_rows(docs, "text", [(flag, T.BooleanType())], make).where(~F.col(f"`{flag}`")).select(*[F.col(f"`{c}`") for c in names])
-    return docs
+        docs = map_rows(docs, "text", [(flag, T.BooleanType())], make).where(~F.col(f"`{flag}`")).select(*plain)
+    return docs if clean is None else clean.unionByName(docs)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -218,23 +218,26 @@ def sample(docs: DataFrame, labels: DataFrame, docs_a_class: int = TRAIN_DOCS, c
     """The training texts and labels, and the share of toxic ones among all labels open to training.
 
     At most ``docs_a_class`` documents a class, chosen by hash, and of these as many as have ``chars``
-    characters together; only ids and lengths, then the chosen texts, come to the driver.
+    characters together; only ids and lengths, then the chosen texts, come to the driver. Of several texts under one
+    id the shortest counts.
     """
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     counts = dict(usable.groupBy("toxic").count().collect())
     lots = [usable.where(F.col("toxic") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(docs_a_class) for c in (0, 1)]
     chosen = F.broadcast(lots[0].unionByName(lots[1]))
-    found = docs.select("doc_id", "text").join(chosen, "doc_id")
-    sizes = found.select("doc_id", "toxic", F.coalesce(F.length("text"), F.lit(0)), F.xxhash64("doc_id")).collect()
-    room, ids = {0: chars, 1: chars}, []
-    for doc_id, toxic, n, _ in sorted(set(map(tuple, sizes)), key=lambda r: (r[3], r[0], r[2])):
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(chosen, "doc_id")
+    mark = F.struct(F.length("text").alias("n"), F.xxhash64("text").alias("mark"))
+    # One text an id, the shortest, so no more rows than ids are chosen ever come to the driver.
+    sizes = found.groupBy("doc_id", "toxic").agg(F.min(mark).alias("x"), F.max(F.xxhash64("doc_id")).alias("order")).select("doc_id", "toxic", "x.n", "x.mark", "order")
+    room, picks = {0: chars, 1: chars}, []
+    for doc_id, toxic, n, mark, _ in sorted(map(tuple, sizes.collect()), key=lambda r: (r[4], r[0])):
         if n <= room[toxic]:
             room[toxic] -= n
-            ids.append((doc_id,))
-    picked = docs.sparkSession.createDataFrame(ids, docs.select("doc_id").schema) if ids else None
-    rows = found.join(F.broadcast(picked.distinct()), "doc_id", "left_semi").collect() if picked is not None else []
-    rows = sorted({(r["doc_id"], r["text"] or "", r["toxic"]) for r in rows})
+            picks.append((doc_id, mark))
+    picked = docs.sparkSession.createDataFrame(picks, T.StructType([docs.schema["doc_id"], T.StructField("mark", T.LongType())])) if picks else None
+    rows = found.withColumn("mark", F.xxhash64("text")).join(F.broadcast(picked), ["doc_id", "mark"], "left_semi").dropDuplicates(["doc_id", "mark"]).collect() if picked is not None else []
+    rows = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows)
     n = sum(counts.values())
     return [r[1] for r in rows], [r[2] for r in rows], counts.get(1, 0) / n if n else 0.0
 

@@ -8,8 +8,8 @@ proper prefix is a snapshot, and an anti-join drops it; of equal conversations t
 
 Order and rolling hashes take two levels, blocks of turns and turns of a block, so a conversation with a
 third of all rows is spread over tasks; so is its rendering, in parts of at most ``PART`` turns (part 0, 1, ...
-are concatenated; nearly every conversation has just part 0). Hashes move first; texts move once, those of
-maximal conversations only.
+are concatenated; nearly every conversation has just part 0). A block of many turns (without a number, or of one number)
+is parted further by turn and hash. Hashes move first; texts move once, those of maximal conversations only.
 
 Defined cases: turns go by ``turn`` (null first), ties by a hash of role and text; a repeated row is one turn;
 null roles and texts count as empty; rows with a null ``conv_id`` are one conversation; the
@@ -21,9 +21,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: Turns of a block (by turn number) and of a rendered part.
 BLOCK = 256
 PART = 256
+#: A block of more turns than this is parted by turn and hash.
+SPLIT = 4096
 
 
 def _long(text: Column, at: int) -> Column:
@@ -35,27 +39,35 @@ def turns(chats: DataFrame) -> DataFrame:
     """``(conv_id, turn, h, pos, p1, p2, n)``: every distinct turn with its place and rolling prefix hash."""
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     keys = chats.select("conv_id", "turn", F.md5(F.concat(F.length(role), F.lit(":"), role, text)).alias("h")).distinct()
-    keys = keys.withColumn("block", F.floor(F.col("turn") / BLOCK))
-    inside = Window.partitionBy("conv_id", "block").orderBy(F.col("turn").asc_nulls_first(), "h")
-    so_far = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = keys.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("k"))
+    keys = cut(keys.withColumn("block", F.floor(F.col("turn") / BLOCK)))
+    large = keys.groupBy("conv_id", "block").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > SPLIT)
+    large = cut(large.select(F.col("conv_id").alias("c"), F.col("block").alias("b"), F.lit(True).alias("large")))
+    # In the order of turn and hash: three digits of the turn within its block, then of the hash.
+    finer = F.concat(F.lpad(F.coalesce(F.col("turn") - F.col("block") * BLOCK, F.lit(0)).cast("string"), 3, "0"), F.substring("h", 1, 3))
+    keys = keys.join(large, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")), "left")
+    keys = keys.select("conv_id", "turn", "h", "block", F.when(F.col("large"), finer).otherwise("").alias("sub"))
+    by = ("conv_id", "block", "sub")
+    inside = Window.partitionBy(*by).orderBy(F.col("turn").asc_nulls_first(), "h")
+    so_far = Window.partitionBy("conv_id").orderBy(F.col("block").asc_nulls_first(), "sub").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = keys.groupBy(*by).agg(F.count(F.lit(1)).alias("k"))
     sizes = sizes.select(
         F.col("conv_id").alias("c"),
         F.col("block").alias("b"),
+        F.col("sub").alias("s"),
         F.coalesce(F.sum("k").over(so_far), F.lit(0)).alias("before"),
         F.sum("k").over(Window.partitionBy("conv_id")).alias("n"),
     )
-    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b"))
-    placed = keys.withColumn("row", F.row_number().over(inside)).join(sizes, same).drop("c", "b")
+    same = F.col("conv_id").eqNullSafe(F.col("c")) & F.col("block").eqNullSafe(F.col("b")) & (F.col("sub") == F.col("s"))
+    placed = keys.withColumn("row", F.row_number().over(inside)).join(cut(sizes), same).drop("c", "b", "s")
     placed = placed.withColumn("pos", F.col("before") + F.col("row"))
     mixed = F.md5(F.concat_ws(":", "pos", "h"))
-    placed = placed.withColumn("x1", _long(mixed, 1)).withColumn("x2", _long(mixed, 16))
-    totals = placed.groupBy("conv_id", "block").agg(F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
+    placed = cut(placed.withColumn("x1", _long(mixed, 1)).withColumn("x2", _long(mixed, 16)))
+    totals = placed.groupBy(*by).agg(F.bit_xor("x1").alias("x1"), F.bit_xor("x2").alias("x2"))
     zero = F.lit(0).cast("long")
     totals = totals.select(
-        F.col("conv_id").alias("c"), F.col("block").alias("b"), *[F.coalesce(F.bit_xor(x).over(so_far), zero).alias(f"{x}_before") for x in ("x1", "x2")]
+        F.col("conv_id").alias("c"), F.col("block").alias("b"), F.col("sub").alias("s"), *[F.coalesce(F.bit_xor(x).over(so_far), zero).alias(f"{x}_before") for x in ("x1", "x2")]
     )
-    rolled = placed.join(totals, same).drop("c", "b")
+    rolled = placed.join(cut(totals), same).drop("c", "b", "s")
     for x, p in (("x1", "p1"), ("x2", "p2")):
         rolling = F.bit_xor(x).over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
         rolled = rolled.withColumn(p, rolling.bitwiseXOR(F.col(f"{x}_before")))
@@ -82,7 +94,7 @@ def render(role: Column, text: Column) -> Column:
 def collapse(chats: DataFrame, part: int = PART) -> DataFrame:
     """``(conv_id, part, n_turns, rendered)`` of the maximal conversations; ``n_turns`` of the whole conversation."""
     chats = chats.select("conv_id", "turn", "role", "text")
-    placed = turns(chats)
+    placed = cut(turns(chats))
     kept = maximal(placed).withColumnRenamed("conv_id", "k")
     placed = placed.join(kept, F.col("conv_id").eqNullSafe(F.col("k")), "left_semi")
     placed = placed.select(F.col("conv_id").alias("c"), F.col("turn").alias("t"), F.col("h").alias("g"), "pos", "n")

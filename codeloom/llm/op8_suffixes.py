@@ -26,13 +26,15 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ensure_checkpoints, map_rows
+from .common import map_rows, table
+from .op4_simhash import bit_map, marked
 
 WORDS = 50
 START = 24
@@ -121,15 +123,17 @@ def _suffixes(texts: list[str | None], kept: list = []) -> list[pa.Array]:  # no
 
 
 def _table(df: DataFrame, base: str, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read again."""
-    df.write.parquet(path := f"{base}/{name}")
-    return df.sparkSession.read.parquet(path)
+    return table(df, f"{base}/{name}")
 
 
-def _extend(docs: DataFrame, ends: DataFrame) -> DataFrame:
-    """``(window, h, reach, o, low, high)``: the windows around the suffixes ``ends(row, h, reach, first, many, low, high)``."""
-    asked = ends.groupBy("row").agg(F.collect_list(F.struct("first", "many", "h", "reach", "low", "high")).alias("asked"))
-    joined = docs.join(asked, "row").select("text", "asked", F.transform("asked", lambda x: F.struct(x["first"], x["many"])).alias("places"))
+def _extend(docs: DataFrame, ends: DataFrame, base: str) -> DataFrame:
+    """``(window, h, reach, o, low, high)``: the windows around the suffixes ``ends(doc_id, row, h, reach, first, many, low, high)``."""
+    asked = table(ends.groupBy("doc_id", "row").agg(F.collect_list(F.struct("first", "many", "h", "reach", "low", "high")).alias("asked")), f"{base}/asked")
+    # Only texts that the bit map marks move.
+    bits = bit_map(asked.select(F.xxhash64("doc_id", "row")))
+    look = F.pandas_udf(lambda hashes: pd.Series(marked(bits, hashes.to_numpy())), "boolean")
+    few = docs.where(look(F.xxhash64("doc_id", "row"))).join(asked.select("doc_id", "row"), ["doc_id", "row"], "left_semi").dropDuplicates(["doc_id", "row"])
+    joined = few.join(asked, ["doc_id", "row"]).select("text", "asked", F.transform("asked", lambda x: F.struct(x["first"], x["many"])).alias("places"))
     out = T.StructType([T.StructField("asked", joined.schema["asked"].dataType), T.StructField("windows", T.ArrayType(T.ArrayType(T.LongType())))])
 
     def run(batches):  # noqa: ANN001, ANN202
@@ -151,11 +155,9 @@ def _extend(docs: DataFrame, ends: DataFrame) -> DataFrame:
 
 def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, first_word, n_words)`` of every longest run of words covered by repeated windows of ``WORDS``."""
-    spark = docs.sparkSession
-    ensure_checkpoints(spark)
-    base = f"{spark.sparkContext.getCheckpointDir()}/suffixes-{uuid.uuid4().hex}"
+    base = f"suffixes-{uuid.uuid4().hex}"
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    src = src.withColumn("row", F.xxhash64("doc_id", "text"))
+    src = src.withColumn("row", F.xxhash64("text"))
     kind = _struct(("h", T.LongType()), ("reach", T.LongType()), ("first", T.IntegerType()), ("many", T.IntegerType()))
     made = map_rows(src, "text", [("found", kind)], _suffixes, keep=["doc_id", "row"])
     anchors = _table(made.select("doc_id", "row", F.inline("found")), base, "anchors")
@@ -170,35 +172,26 @@ def passages(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
         F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min(F.struct("doc_id", "row", "first", "many")).alias("one")
     )
     reaches = _table(reaches, base, "reaches")
-    settled = reaches.where("low <> high").select("h", "reach", F.lit(None).cast("array<int>").alias("offsets"))
+    settled = reaches.where("low <> high").select("h", "reach", F.lit(None).cast("int").alias("o_from"), F.lit(None).cast("int").alias("o_to"))
     # 3. Starts with several reaches: every reach that isn't settled is extended, against one of each settled one.
     several = reaches.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("low") == F.col("high")).alias("open")).where("n > 1 and open > 0").select("h")
-    ends = reaches.join(several, "h", "left_semi").select("h", "reach", "low", "high", "one.row", "one.first", "one.many")
-    windows = _table(_extend(src.dropDuplicates(["row"]).select("row", "text"), ends), base, "windows")
+    ends = reaches.join(several, "h", "left_semi").select("h", "reach", "low", "high", "one.doc_id", "one.row", "one.first", "one.many")
+    windows = _table(_extend(src, ends, base), base, "windows")
     again = windows.groupBy("window").agg(F.min("low").alias("l"), F.max("high").alias("m")).where("l <> m").select("window")
     again = _table(again, base, "again")
     opened = windows.where("low = high").join(again, "window", "left_semi")
-    opened = opened.groupBy("h", "reach").agg(F.array_sort(F.collect_set("o")).alias("offsets"))
+    # Windows of one suffix lie less than a window apart, so the repeated ones cover a single run of words.
+    opened = opened.groupBy("h", "reach").agg(F.min("o").alias("o_from"), F.max("o").alias("o_to"))
 
     spread = _table(settled.unionByName(opened), base, "spread")
-    found = shared.join(spread, ["h", "reach"])
-    spans = F.when(F.col("offsets").isNull(), F.array(F.struct(F.col("first").alias("a"), (F.col("first") + F.col("many") + WORDS).alias("b")))).otherwise(
-        F.transform("offsets", lambda o: F.struct((F.col("first") + o).alias("a"), (F.col("first") + o + WORDS).alias("b")))
-    )
-    by_doc = found.select("doc_id", "row", spans.alias("spans")).groupBy("doc_id", "row").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans"))
-    empty = F.array().cast("array<struct<a:int,b:int>>")
-
-    def merge(acc, x):  # noqa: ANN001, ANN202
-        """Grow the open span, or close it and open the next; closed ones are appended once each."""
-        grown = F.struct(acc["a"].alias("a"), F.greatest(acc["b"], x["b"]).alias("b"), acc["done"].alias("done"))
-        closed = F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["b"].alias("b")))
-        opened = F.struct(x["a"].alias("a"), x["b"].alias("b"), closed.alias("done"))
-        return F.when(x["a"] <= acc["b"], grown).otherwise(opened)
-
-    first = F.struct(F.col("spans")[0]["a"].alias("a"), F.col("spans")[0]["b"].alias("b"), empty.alias("done"))
-    merged = F.aggregate("spans", first, merge, lambda acc: F.array_append(acc["done"], F.struct(acc["a"].alias("a"), acc["b"].alias("b"))))
-    out = by_doc.select("doc_id", F.explode(merged).alias("x"))
-    return out.select("doc_id", F.col("x.a").cast("long").alias("first_word"), (F.col("x.b") - F.col("x.a")).cast("long").alias("n_words"))
+    begin, end = F.col("first") + F.coalesce("o_from", F.lit(0)), F.col("first") + F.coalesce("o_to", F.col("many")) + WORDS
+    found = shared.join(spread, ["h", "reach"]).select("doc_id", "row", begin.alias("a"), end.alias("b")).distinct()
+    # Runs that touch or overlap become one: a run is opened where none before it reaches its first word.
+    by_doc = Window.partitionBy("doc_id", "row").orderBy("a", "b")
+    opens = F.coalesce(F.col("a") > F.max("b").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    numbered = found.withColumn("opens", opens.cast("int")).withColumn("run", F.sum("opens").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = numbered.groupBy("doc_id", "row", "run").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return runs.select("doc_id", F.col("a").cast("long").alias("first_word"), (F.col("b") - F.col("a")).cast("long").alias("n_words"))
 
 
 def remove_repeats(text_words: list[str], spans: list[tuple[int, int]]) -> list[str]:

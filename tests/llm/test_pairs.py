@@ -366,3 +366,71 @@ def test_chats_sql(spark):
     con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
     ours = sorted((r.conv_id, r.part, r.n_turns, r.rendered) for r in op3.collapse(spark.createDataFrame(rows, CHATS)).collect())
     assert ours == sorted(con.execute(f"SELECT conv_id, part, n_turns, rendered FROM ({op3.ORACLE_SQL})").fetchall())
+
+
+# --- ties, long texts, several blocks, empty tables and clashing names -------------------------------------------------
+
+
+@pytest.mark.parametrize("split", [4096, 2])
+def test_chats_of_tied_and_null_turns(spark, monkeypatch, split):
+    """Turns of one number, or of none, go by the hash of role and text, as in the SQL; large blocks are parted."""
+    monkeypatch.setattr(op3, "SPLIT", split)
+    rng = random.Random(split)
+    rows = [(c, rng.choice([0, 0, 1, 300, None]), rng.choice(["user", "assistant"]), f"t{rng.randrange(6)}") for c in range(8) for _ in range(12)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE conversations (conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR)")
+    con.executemany("INSERT INTO conversations VALUES (?, ?, ?, ?)", rows)
+    ours = sorted((r.conv_id, r.part, r.n_turns, r.rendered) for r in op3.collapse(spark.createDataFrame(rows, CHATS)).collect())
+    assert ours == sorted(con.execute(f"SELECT conv_id, part, n_turns, rendered FROM ({op3.ORACLE_SQL})").fetchall())
+
+
+def test_long_texts(spark):
+    """A text of 30,000 words among short ones, for every operator that compares texts."""
+    words = [f"w{i}" for i in range(30_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:29_990] + ["x"] * 10)), (3, " ".join(words[100:160])), (4, "short one")]
+    df = spark.createDataFrame(rows, DOCS)
+    assert sorted(r.doc_id for r in op4.keep_one(df).collect()) == [1, 3, 4]
+    assert len({r.fingerprint for r in op4.find(df).collect()}) >= 3
+    assert {tuple(r) for r in op8.passages(df).collect()} == slow_passages(rows)
+    bench = spark.createDataFrame([(7, " ".join(words[20_000:20_040]))], "item_id int, text string")
+    assert {r.doc_id for r in op1.leaks(df, bench).collect()} == {1, 2}
+    long_chat = spark.createDataFrame([(1, k, "user", "y " * 5_000) for k in range(3)], CHATS)
+    assert len(op3.collapse(long_chat).first().rendered) > 30_000
+
+
+def test_many_candidates_by_several_tables(spark, monkeypatch):
+    """With tables of many bits (as for 5,000 texts and more) SimHash misses links; the exact search brings all of them."""
+    monkeypatch.setattr(op4, "_WIDE_BUCKET", 2)
+    monkeypatch.setattr(op4, "TABLES", 2)
+    texts = _near_texts(7)
+    got = {r.doc_id: r.component_id for r in op4.find_similar(spark.createDataFrame(list(enumerate(texts)), DOCS)).collect()}
+    assert same(slow_similar(texts), [got[i] for i in range(len(texts))])
+
+
+def test_five_thousand_texts(spark):
+    """6,000 texts, so that tables have bits (k > 0): all 1,000 pairs planted around 0.8 are judged as by brute force."""
+    rng, rows, want = random.Random(3), [], {}
+    for k in range(1000):
+        base = [f"b{k}.{i}" for i in range(100)]
+        copy = list(base)
+        for e in range(rng.randrange(2, 6)):
+            copy[10 + 19 * e] = f"e{k}.{e}"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(copy))]
+        a, b = slow_sets([rows[-2][1], rows[-1][1]])
+        want |= {2 * k: 2 * k, 2 * k + 1: 2 * k if 5 * len(a & b) >= 4 * len(a | b) else 2 * k + 1}
+    rows += [(2000 + k, " ".join(f"f{k}.{i}" for i in range(40))) for k in range(4000)]
+    got = {r.doc_id: r.component_id for r in op4.find_similar(spark.createDataFrame(rows, DOCS)).collect()}
+    assert 0.2 < sum(want[2 * k + 1] == 2 * k for k in range(1000)) / 1000 < 0.9
+    assert got == want | {2000 + k: 2000 + k for k in range(4000)}
+
+
+def test_words_for_sketches():
+    """Sketches never differ in more bits than there are shingles in just one set, also after folding."""
+    rng = np.random.default_rng(5)
+    for n, m in ((50, 50), (300, 200), (5000, 4200)):
+        both = rng.integers(-(2**62), 2**62, min(n, m) // 2)
+        a, b = (np.unique(np.concatenate([both, rng.integers(-(2**62), 2**62, k - len(both))])) for k in (n, m))
+        x, y = op4.sketch(a), op4.sketch(b)
+        size = min(len(x), len(y))
+        x, y = (np.bitwise_xor.reduce(v.reshape(-1, size), axis=0).view(np.uint64) for v in (x, y))
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(a, b))
