@@ -80,7 +80,8 @@ def summary(code_lines: DataFrame, key: str = "file_id", python: Column | None =
 def file_scan(files: DataFrame, content: str = "content", language: str = "language") -> DataFrame:
     """``files`` with ``security_findings``, ``secrets_found``, ``risk_summary``, ``security_gate_passed``; nothing is shuffled.
 
-    Complexity and maintainability are null: they come from tools that may be missing (SCN-5, SCN-7).
+    Complexity comes from the functions of a parsed file (``ast``), and is null without any (SCN-7, AGG-9); the
+    maintainability index is null, as where its tool is missing (SCN-5).
     """
 
     def on_lines(make) -> Column:  # noqa: ANN001
@@ -111,7 +112,7 @@ def file_scan(files: DataFrame, content: str = "content", language: str = "langu
     return out.withColumns(
         {
             "security_gate_passed": (F.col("risk_summary.high") == 0) & (F.col("risk_summary.secrets") == 0),
-            "complexity_before": F.lit(None).cast("struct<avg_cyclomatic:double,max_cyclomatic:double,function_count:int>"),
+            "complexity_before": complexity(F.transform("ast.functions", lambda f: f["complexity"])) if "ast" in files.columns else F.lit(None).cast("struct<avg_cyclomatic:double,max_cyclomatic:double,function_count:int>"),
             "maintainability_index": F.lit(None).cast("double"),
         }
     )

@@ -1,7 +1,9 @@
 """Structure of source files: functions, classes, imports, chunks (AST-*, IMP-1, CHK-1 to CHK-3, FN-1, FN-2, AGG-10, JOIN-9, JOIN-10).
 
-Python is parsed by the standard library's ``ast`` in a pandas UDF. Text that it can't parse (Python 2 above all)
-and other languages get a reading by line patterns: names, imports, and extents by indentation or braces.
+Python is parsed by the standard library's ``ast`` in a pandas UDF. Text that it can't parse (Python 2 above all) and Ruby
+get a reading by line patterns with extents by indentation. Languages with braces are read with comments and strings
+blanked out: headers of functions and classes are found by pattern, their extents by matching brackets, and decisions,
+calls, visibility and marks inside them.
 """
 
 from __future__ import annotations
@@ -84,19 +86,166 @@ def _parse_python(content: str) -> dict:
 
 _PATTERNS = {
     "python": (r"^(\s*)(?:async\s+)?def\s+(\w+)", r"^(\s*)class\s+(\w+)", r"^\s*(?:import\s+([\w.]+)|from\s+([\w.]+)\s+import)"),
-    "javascript": (r"^(\s*)(?:export\s+)?(?:async\s+)?(?:function\s+(\w+)|(?:const|let|var)\s+(\w+)\s*=\s*(?:async\s*)?(?:function|\([^)]*\)\s*=>))", r"^(\s*)(?:export\s+)?class\s+(\w+)", r"import\s.*?from\s+['\"]([^'\"]+)['\"]|require\s*\(\s*['\"]([^'\"]+)['\"]"),
-    "java": (r"^(\s*)(?:(?:public|private|protected|static|final|synchronized)\s+)+[\w<>\[\], ]+\s+(\w+)\s*\([^;]*$", r"^(\s*)(?:\w+\s+)*(?:class|interface|enum)\s+(\w+)", r"^\s*import\s+(?:static\s+)?([\w.]+)"),
-    "go": (r"^(\s*)func\s+(?:\([^)]*\)\s*)?(\w+)", r"^(\s*)type\s+(\w+)\s+struct", r"^\s*(?:import\s+)?\"([\w./-]+)\"\s*$"),
-    "ruby": (r"^(\s*)def\s+([\w.?!]+)", r"^(\s*)class\s+(\w+)", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]"),
-    "rust": (r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?fn\s+(\w+)", r"^(\s*)(?:pub\s+)?struct\s+(\w+)", r"^\s*use\s+([\w:]+)"),
-    "php": (r"^(\s*)(?:(?:public|private|protected|static)\s+)*function\s+(\w+)", r"^(\s*)(?:abstract\s+|final\s+)?class\s+(\w+)", r"^\s*use\s+([\w\\]+)"),
-    "c_sharp": (r"^(\s*)(?:(?:public|private|protected|internal|static|async|override|virtual)\s+)+[\w<>\[\], ]+\s+(\w+)\s*\([^;]*$", r"^(\s*)(?:\w+\s+)*class\s+(\w+)", r"^\s*using\s+([\w.]+)"),
-    "c": (r"^(\s*)[\w*]+(?:\s+[\w*]+)*\s+\**(\w+)\s*\([^;]*\)\s*\{?\s*$", r"^(\s*)(?:typedef\s+)?struct\s+(\w+)", r"^\s*#include\s*[<\"]([^>\"]+)[>\"]"),
+    "ruby": (r"^(\s*)def\s+(?:self\.)?([\w.?!]+)", r"^(\s*)(?:class|module)\s+(\w+)", r"^\s*require(?:_relative)?\s+['\"]([^'\"]+)['\"]"),
 }
-_ALIASES = {"typescript": "javascript", "cpp": "c", "kotlin": "java", "swift": "java", "scala": "java"}
-_CALL = re.compile(r"\b([A-Za-z_][\w.]*)\s*\(")
+_CALL = re.compile(r"(?<![\w$.])(?<!function )(?<!func )(?<!fun )(?<!def )(?<!fn )([A-Za-z_$][\w$]*(?:(?:\.|::|->)[A-Za-z_$][\w$]*)*)\s*\(")
 _BRANCH = re.compile(r"\b(?:if|elif|for|while|case|catch|except|switch)\b|&&|\|\||\?")
-_NO_CALL = {"if", "for", "while", "switch", "catch", "return", "function", "def", "class", "print", "elif", "except", "func", "fn"}
+_NO_CALL = {"if", "for", "while", "switch", "catch", "return", "function", "def", "class", "print", "elif", "except", "func", "fn", "fun", "foreach", "match", "when", "sizeof", "async", "new", "throw", "using", "lock", "fixed", "guard", "else", "do", "try", "with", "await", "and", "or", "not", "unless", "until"}
+
+_MODIFIERS = r"(?P<mods>(?:(?:public|private|protected|internal|static|final|abstract|sealed|override|virtual|async|synchronized|native|default|strictfp|extern|unsafe|partial|readonly|new)\s+)*)"
+_JS_METHOD = r"^[ \t]*(?:(?:public|private|protected|static|async|get|set|readonly|override|abstract)\s+)*\*?\s*(?P<name>#?[\w$]+)\s*(?:<[^>{}()]*>)?\s*(?=\()"
+_JS = (
+    (r"\bfunction\s*\*?\s*(?P<name>[\w$]+)\s*(?:<[^>{}()]*>)?\s*(?=\()", "nested"),
+    (r"\b(?:const|let|var)\s+(?P<name>[\w$]+)\s*(?::[^=\n;]+)?=\s*(?:async\s+)?(?:function\b\s*\*?\s*[\w$]*\s*(?=\()|(?=\([^;{}]*?\)\s*(?::[^={}\n;]+)?=>)|(?=[\w$]+\s*=>))", "any"),
+    (_JS_METHOD, "member body"),
+    (r"^[ \t]*(?:(?:public|private|protected|static|readonly)\s+)*(?P<name>#?[\w$]+)\s*=\s*(?:async\s+)?(?:(?=\([^;{}]*?\)\s*=>)|(?=[\w$]+\s*=>))", "member"),
+)
+_JAVA = (
+    (rf"^[ \t]*(?:@\w+(?:\([^()]*\))?\s+)*{_MODIFIERS}(?:<[^>{{}}]*>\s*)?(?P<type>[\w.]+(?:<[^(){{}};=]*>)?(?:\[\])*\??)\s+(?P<name>\w+)\s*(?:<[^>{{}}()]*>)?\s*(?=\()", "typed"),
+    (rf"^[ \t]*(?:@\w+(?:\([^()]*\))?\s+)*{_MODIFIERS}(?P<name>\w+)\s*(?=\()", "constructor"),
+)
+#: By language: headers of functions (pattern, what it asks for), of classes, and imports.
+_BRACES = {
+    "javascript": (_JS, r"\bclass\s+(?P<name>[\w$]+)", r"\bimport\s+(?P<what>[^;'\"()]*?)\s*from\s*(?P<q>['\"])(?P<module>[^'\"\n]+)['\"]|\bimport\s*['\"](?P<bare>[^'\"\n]+)['\"]|\brequire\s*\(\s*['\"](?P<required>[^'\"\n]+)['\"]"),
+    "java": (_JAVA, r"(?:\b(?:class|interface|enum|record)|@interface)\s+(?P<name>\w+)", r"^\s*import\s+(?:static\s+)?(?P<module>\w+(?:\.\w+)*(?:\.\*)?)"),
+    "c_sharp": (_JAVA, r"\b(?:class|interface|struct|enum|record)\s+(?P<name>\w+)", r"^\s*using\s+(?:static\s+)?(?:(?P<alias>\w+)\s*=\s*)?(?P<module>[\w.]+)\s*;"),
+    "go": (((r"^func\s+(?:\([^)]*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]]*\])?(?=\()", "any"),), r"^\s*type\s+(?P<name>\w+)\s+\w+", r"^\s*(?:import\s+)?(?:(?P<alias>[\w.]+)\s+)?\"(?P<module>[\w./-]+)\"\s*$"),
+    "rust": (((r"\bfn\s+(?P<name>\w+)\s*(?:<[^(){}]*>)?\s*(?=\()", "any"),), r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(?:(?:struct|enum|trait)\s+(?P<name>\w+)|impl(?:<[^{}]*?>)?\s+(?:[\w:<>, ]+?\s+for\s+)?(?P<of>\w+))", r"^\s*(?:pub\s+)?use\s+(?P<module>[\w:]+?)(?:::\{(?P<what>[^}]*)\})?(?:\s+as\s+(?P<alias>\w+))?\s*;|^\s*extern\s+crate\s+(?P<bare>\w+)"),
+    "c": (((r"^[ \t]*(?P<type>(?:[A-Za-z_][\w]*[\s*&]+)+)(?P<name>\w+)\s*(?=\()", "body"),), r"\b(?:struct|union|enum)\s+(?P<name>\w+)\s*(?=\{)", r"^\s*#\s*include\s*[<\"](?P<module>[^>\"\n]+)[>\"]"),
+    "cpp": (((r"^[ \t]*(?P<type>(?:[A-Za-z_][\w:]*(?:<[^(){};]*>)?[\s*&]+)*)(?P<name>(?:\w+::)*~?\w+|(?:\w+::)*operator\s*[^\s\w(]{1,3})\s*(?=\()", "owned body"),), r"\b(?:class|struct|namespace)\s+(?P<name>\w+)(?=[^;(){}=]*\{)", r"^\s*#\s*include\s*[<\"](?P<module>[^>\"\n]+)[>\"]|^\s*using\s+(?:namespace\s+)?(?P<bare>[\w:]+)\s*;"),
+    "kotlin": (((r"\bfun\s+(?:<[^>]*>\s*)?(?:[\w<>?, ]+\.)?(?P<name>\w+)\s*(?=\()", "any"),), r"\b(?:class|interface|object)\s+(?P<name>\w+)", r"^\s*import\s+(?P<module>[\w.]+(?:\.\*)?)(?:\s+as\s+(?P<alias>\w+))?"),
+    "swift": (((r"\bfunc\s+(?P<name>\w+)\s*(?:<[^>]*>)?\s*(?=\()", "any"), (r"\b(?P<name>init)\??\s*(?=\()", "member body")), r"\b(?:class|struct|enum|protocol|extension|actor)\s+(?P<name>\w+)(?=[^;(){}=]*\{)", r"^[ \t]*import[ \t]+(?:\w+[ \t]+)?(?P<module>[\w.]+)"),
+    "scala": (((r"\bdef\s+(?P<name>[\w$]+)", "any"),), r"\b(?:class|object|trait)\s+(?P<name>\w+)", r"^\s*import\s+(?P<module>[\w.]+?)(?:\.\{(?P<what>[^}]*)\})?\s*$"),
+    "php": (((r"\bfunction\s+&?\s*(?P<name>\w+)\s*(?=\()", "any"),), r"^\s*(?:(?:abstract|final|readonly)\s+)*(?:class|interface|trait|enum)\s+(?P<name>\w+)", r"^\s*use\s+(?P<module>[\w\\]+)(?:\s+as\s+(?P<alias>\w+))?\s*;|\b(?:require|include)(?:_once)?\s*\(?\s*['\"](?P<bare>[^'\"\n]+)['\"]"),
+}
+_BRACES["typescript"] = _BRACES["javascript"]
+#: Words before a bracket that aren't the name of a function.
+_NO_NAME = {"if", "for", "while", "switch", "catch", "return", "function", "else", "do", "try", "sizeof", "foreach", "elif", "await", "throw", "typeof", "synchronized", "when"}
+#: What begins a header's line but is no type: such a match is a statement.
+_NO_TYPE = {"return", "new", "throw", "else", "await", "yield", "case", "goto", "delete", "using", "import", "package", "typeof", "in", "is", "not", "namespace"}
+_OPEN_TO_ALL = {"rust", "kotlin", "swift", "scala", "php"}
+
+
+def _pattern(words: str, more: str = "") -> re.Pattern:
+    return re.compile(rf"\b(?:{'|'.join(words.split())})\b{more}")
+
+
+_TERNARY = r"|\?(?![.?:\]>,)=])"
+_C_LIKE = "if else for while do case"
+#: Decisions by language, one each.
+_DECIDES = {
+    "javascript": _pattern(f"{_C_LIKE} catch", _TERNARY), "typescript": _pattern("if for while catch", _TERNARY), "java": _pattern(f"{_C_LIKE} catch default", _TERNARY),
+    "go": _pattern("if else for range select"), "rust": _pattern("if else match for while loop", "|=>"), "c": _pattern(_C_LIKE, _TERNARY), "cpp": _pattern(f"{_C_LIKE} try catch", _TERNARY),
+    "c_sharp": _pattern(f"{_C_LIKE} foreach catch", _TERNARY), "kotlin": _pattern("if else for while do catch", "|->"), "swift": _pattern("if else for while guard case catch"),
+    "scala": _pattern("if else for while do case catch"), "php": _pattern("if else elseif for foreach while do case catch", _TERNARY),
+}
+_BLANK = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
+_BLANK_HASH = re.compile(_BLANK.pattern + r"|\#(?!\[)[^\n]*", re.S)
+#: In Rust an apostrophe mostly begins a lifetime.
+_BLANK_RUST = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\])*\"|'(?:\\.[^']*|[^'\\\n])'", re.S)
+
+
+def _blanked(content: str, language: str) -> str:
+    """The text with comments and strings as spaces, line by line as long as before."""
+    pattern = _BLANK_RUST if language == "rust" else _BLANK_HASH if language == "php" else _BLANK
+    return pattern.sub(lambda m: re.sub(r"[^\n]", " ", m.group()), content)
+
+
+def _brackets(code: str) -> dict[int, int]:
+    """Where each opening round or curly bracket closes."""
+    out, held = {}, {"(": [], "{": []}
+    for m in re.finditer(r"[(){}]", code):
+        c = m.group()
+        if c in held:
+            held[c].append(m.start())
+        elif held["(" if c == ")" else "{"]:
+            out[held["(" if c == ")" else "{"].pop()] = m.start()
+    return out
+
+
+def _body(code: str, closes: dict[int, int], at: int) -> tuple[int, bool]:
+    """The last place of what a header that ends at ``at`` begins, and whether it is a body in braces."""
+    if at < len(code) and code[at] == "(":
+        at = closes.get(at, at) + 1
+    stop = re.compile(r"[{;}]|=(?!=)").search(code, at)
+    if stop and stop.group() == "{":
+        return closes.get(stop.start(), len(code) - 1), True
+    if stop and stop.group() == "=":
+        # An expression, of which a body in braces may be a part.
+        line = code.find("\n", stop.end())
+        line = len(code) if line < 0 else line
+        brace = code.find("{", stop.end(), line)
+        return (closes.get(brace, line - 1), False) if brace >= 0 else (line - 1, False)
+    return (stop.start() if stop and stop.group() == ";" else max(at - 1, 0)), False
+
+
+def _marks(source: list[str], line: int) -> list[str]:
+    """Annotations and attributes on the lines right above."""
+    k = line - 2
+    while k >= 0 and re.match(r"\s*(?:@\w|#\[|\[\w)", source[k]):
+        k -= 1
+    return [x.strip() for x in source[k + 1 : line - 1]]
+
+
+def _parse_braces(content: str, language: str) -> dict:
+    functions_of, class_of, import_of = _BRACES[language]
+    code, source = _blanked(content, language), content.splitlines()
+    closes = _brackets(code)
+    line = lambda at: content.count("\n", 0, at) + 1
+    classes = []
+    for m in re.finditer(class_of, code, re.M):
+        stop = re.compile(r"[{;}]|\n\s*\n").search(code, m.end())
+        end = closes.get(stop.start(), len(code) - 1) if stop and stop.group() == "{" else m.end()
+        name = m["name"] or m.groupdict().get("of")
+        classes.append((name, m.start(), end, m.group().strip()))
+    found: dict[int, tuple] = {}
+    for pattern, asks in functions_of:
+        for m in re.finditer(pattern, code, re.M):
+            at, name = m.start("name"), m["name"]
+            head, groups = name.rpartition("::")[2], m.groupdict()
+            if at in found or head in _NO_NAME or (groups.get("type") or "").split(" ")[0].strip("*& ") in _NO_TYPE:
+                continue
+            owner = next((c for c, a, b, _ in reversed(classes) if a < at <= b), None)
+            end, braces = _body(code, closes, m.end())
+            if "body" in asks and not braces or "member" in asks and owner is None or asks == "constructor" and (name != owner or not braces):
+                continue
+            if asks == "typed" and (not braces and owner is None or re.fullmatch(_MODIFIERS, f"{groups['type']} ")):
+                continue
+            if "owned" in asks and not (groups.get("type") or "").strip() and "::" not in name and owner != head.lstrip("~"):
+                continue
+            found[at] = (name, end, owner or (name.rpartition("::")[0] or None), groups.get("mods") or "", asks)
+    functions, spans = [], []
+    for at, (name, end, owner, mods, asks) in sorted(found.items()):
+        inside = next(((a, b) for a, b in reversed(spans) if a < at <= b), None)
+        within = inside and not any(inside[0] < a < at <= b for _, a, b, _ in classes)
+        # Functions inside functions count only where a name is given to them, and local ones of some languages.
+        if within and (asks in ("nested", "member", "member body", "typed") and language != "c_sharp"):
+            continue
+        spans.append((at, end))
+        body = code[at : end + 1]
+        start, last = line(at), line(min(end, max(len(content) - 1, 0)))
+        public = name[:1].isupper() if language == "go" else "public" in mods.split() if language in ("java", "c_sharp") else True if language in _OPEN_TO_ALL else not name.rpartition("::")[2].startswith(("_", "#"))
+        calls = [c for c in _CALL.findall(body) if c not in _NO_CALL and c != name and len(c) < 100]
+        whole = 1 + len(_DECIDES[language].findall(body)) - len(re.findall(r"\}\s*while\b", body)) * ("do" in _DECIDES[language].pattern)
+        functions.append(_function(name, start, last, source, calls=calls, complexity=max(whole, 1), is_public=public, decorators=_marks(source, start), **{"class": owner}))
+    imports = []
+    for m in re.finditer(import_of, content, re.M):
+        g = m.groupdict()
+        module = next((g[k] for k in ("module", "bare", "required") if g.get(k)), None)
+        # Not inside a comment or string: there the first letter is blanked out.
+        first = m.start() + len(m.group()) - len(m.group().lstrip())
+        if module and (not code[first].isspace() or language == "go" and content[first] == '"'):
+            what = g.get("what") or ""
+            alias = g.get("alias") or (x[1] if (x := re.search(r"\*\s+as\s+([\w$]+)", what)) else None)
+            names = [x for x in re.findall(r"(?<!as )[\w$]+", re.sub(r"\s+as\s+[\w$]+", "", what)) if x != "type"]
+            imports.append(_import(module, line(first), m.group(), language, names, alias))
+    shown = []
+    for name, a, end, header in classes:
+        methods = [f["name"] for f in functions if f["class"] == name]
+        text = source[line(a) - 1] if source else ""
+        public = "public" in text if language in ("java", "c_sharp") else not name.startswith("_")
+        shown.append(_class(name, line(a if code[a] != "\n" else a + 1), line(min(end, max(len(content) - 1, 0))), methods, public, _marks(source, line(a))))
+    return {"functions": functions, "classes": shown, "imports": imports, "has_parse_errors": False, "error_node_count": 0, "raw_ast_node_count": 0, "fallback_mode": True}
 
 
 def _extent(source: list[str], at: int, indent: int, by_indent: bool) -> int:
@@ -119,7 +268,7 @@ def _extent(source: list[str], at: int, indent: int, by_indent: bool) -> int:
 
 
 def _parse_lines(content: str, language: str, errors: bool) -> dict:
-    known = _PATTERNS.get(_ALIASES.get(language, language))
+    known = _PATTERNS.get(language)
     empty = {"functions": [], "classes": [], "imports": [], "has_parse_errors": errors, "error_node_count": int(errors), "raw_ast_node_count": 0, "fallback_mode": True}
     if known is None:
         return empty
@@ -133,7 +282,7 @@ def _parse_lines(content: str, language: str, errors: bool) -> dict:
             end = _extent(source, k, len(m[1]), flat)
             body = "\n".join(source[k:end])
             owner = next((c for c, a, b in reversed(classes) if a <= k + 1 <= b), None)
-            public = name[:1].isupper() if language == "go" else "public" in line if language in ("java", "c_sharp") else not name.startswith("_")
+            public = not name.startswith("_")
             calls = [c for c in _CALL.findall(body) if c not in _NO_CALL and len(c) < 100]
             functions.append(_function(name, k + 1, end, source, calls=calls, complexity=1 + len(_BRANCH.findall(body)), is_public=public, **{"class": owner}))
         for m in imp.finditer(line):
@@ -153,6 +302,8 @@ def parse_source(content: str | None, language: str | None) -> dict:
             return _parse_python(content)
         except (SyntaxError, ValueError, RecursionError, MemoryError):
             return _parse_lines(content, language, True)
+    if language in _BRACES:
+        return _parse_braces(content, language)
     return _parse_lines(content, language or "", False)
 
 

@@ -2,9 +2,10 @@
 
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
-from codeloom.operators import agents, graph, structure, testruns
+from codeloom.operators import agents, graph, scan, structure, testruns
 
 PY = "import os, sys as s\nfrom .m import a, b\n\n@dec\ndef f(x):\n    if x and y:\n        return g(x)\n    return f(0)\n\nclass C:\n    def _m(self):\n        return requests.get('u')\n"
 
@@ -103,3 +104,133 @@ def test_agents(spark):
     text = "\n".join(f"l{i}" for i in range(1, 11))
     r = spark.range(1).select(agents.snippet(F.lit(text), F.array(F.lit(5))).alias("s"), agents.real_line(F.lit(text), F.lit("l7\nl8")).alias("n"), agents.shift_lines(F.array(F.lit(1)), F.lit(300)).alias("o")).first()
     assert r.s.split("\n") == ["3: l3", "4: l4", "5: l5", "6: l6", "7: l7", "8: l8"] and r.n == 7 and r.o == [301]
+
+
+SOURCES = {
+"javascript":"""import React, {useState as us, b} from 'react'
+import * as fs from "fs";
+const x = require('path');
+// function no() {}
+class A extends B {
+  #priv = 1;
+  constructor(a) { super(a); }
+  async hello(x) {
+    if (x) { return this.go(x); } else { for (const y of x) {} }
+  }
+  static get z() { return 1 }
+  handle = (e) => { run(e) }
+  _hid() { return x ? 1 : 2; }
+}
+export const add = (a, b) => a + b;
+const inc = x => x + 1;
+const f2 = async function named(a) {
+  function inner() { return 1 }
+  return inner();
+}
+function* gen() { yield 1 }
+export default function main(a) { if (a) { go("}"); } }
+""",
+"java":"""package a;
+import java.util.List;
+import static org.x.Y.*;
+public class Foo extends Bar {
+  private int x = 3;
+  public Foo(int a) { this.x = a; }
+  @Override
+  public String toString() { return "x{"; }
+  void plain(List<String> a) throws Exception {
+    if (a.isEmpty()) { return; } else { while (true) { call(); } }
+    return foo(x);
+  }
+  static <T> Map<String, T> gen(T t) { return t != null ? m : n; }
+  abstract void abs();
+}
+interface I { void one(); int two(String s); }
+enum E { A, B }
+""",
+"cpp":"""#include <vector>
+using namespace std;
+namespace n {
+class Foo : public Bar {
+ public:
+  Foo(int a) : x(a) {}
+  ~Foo() {}
+  int get() const { return x; }
+  void decl();
+};
+}
+void Foo::bar(int a) {
+  if (a > 0) { other(a); } else { do { a--; } while (a); }
+}
+std::vector<int> make(const std::string& s) {
+  return {};
+}
+int main(int argc, char** argv) { return bar(); }
+""",
+"c":"struct point { int x; };\nstatic int *add(int a,\n  int b) {\n  return a ? sum(a, b) : 0;\n}\nint decl(int);\nvoid go(void)\n{\n  if (x) y();\n}\n",
+"go":'package m\nimport (\n  "fmt"\n  al "net/http"\n)\ntype S struct {\n  a int\n}\nfunc (s *S) Hello(a int) (int, error) {\n  for _, x := range y { fmt.Println(x) }\n  return 1, nil\n}\nfunc low() {}\n',
+"rust":"use std::collections::{HashMap, HashSet};\nuse a::b as c;\nextern crate d;\n#[derive(Debug)]\npub struct P<'a> { x: &'a str }\nimpl<'a> P<'a> {\n  pub fn new(x: &'a str) -> Self { P { x } }\n  fn _h(&self) -> i32 { match self.x { \"a\" => 1, _ => 2 } }\n}\ntrait T { fn f(&self); }\n",
+"kotlin":"import a.b.C as D\nclass K(val a: Int) {\n  fun hi(x: Int): Int {\n    return if (x > 1) go(x) else 2\n  }\n  fun one() = 1\n}\nfun String.ext(): Int = 3\n",
+"swift":"import Foundation\nstruct S {\n  init(a: Int) { self.a = a }\n  func go(_ x: Int) -> Int {\n    guard x > 1 else { return 0 }\n    return call(x)\n  }\n}\nfunc top() {}\n",
+"scala":"import a.b.{C, D}\nobject O {\n  def f(x: Int): Int = {\n    if (x > 1) g(x) else 2\n  }\n  def h = 3\n}\n",
+"php":"<?php\nuse A\\B;\n# function no() {}\nabstract class C {\n  public function go($x) {\n    foreach ($x as $y) { run($y); }\n  }\n  private static function _p() {}\n}\nfunction top() { return \"function q() {}\"; }\n",
+"c_sharp":"using System;\nusing X = A.B;\n[Serializable]\npublic class K : B {\n  public K(int a) : base(a) { }\n  [Test]\n  public async Task<int> Go(string s) {\n    foreach (var x in s) { await Run(x); }\n    return s == null ? 1 : 2;\n  }\n  int Short(int a) => a + 1;\n  private void P() { }\n}\n",
+"typescript":"import type { A } from './a';\nexport interface I { go(a: string): void; }\n@Comp({x: 1})\nexport class S<T> {\n  constructor(private a: A) {}\n  public async run(x: number): Promise<void> {\n    if (x) { await this.a.go(x); }\n  }\n}\nexport const h = async (a: string): Promise<void> => {\n  go(a);\n};\n",
+"ruby":"require 'json'\nmodule M\n  class C\n    def go(x)\n      run(x) if x\n    end\n    def self.s\n    end\n  end\nend\n",
+}
+
+#: By language: (name, class, first line, last line, complexity, public) of the functions, (name, first, last) of the classes, modules.
+PARSED = {
+    "javascript": (
+        [("constructor", "A", 7, 7, 1, True), ("hello", "A", 8, 10, 4, True), ("z", "A", 11, 11, 1, True), ("handle", "A", 12, 12, 1, True), ("_hid", "A", 13, 13, 2, False),
+         ("add", None, 15, 15, 1, True), ("inc", None, 16, 16, 1, True), ("f2", None, 17, 20, 1, True), ("gen", None, 21, 21, 1, True), ("main", None, 22, 22, 2, True)],
+        [("A", 5, 14)], ["react", "fs", "path"],
+    ),
+    "typescript": ([("constructor", "S", 5, 5, 1, True), ("run", "S", 6, 8, 2, True), ("h", None, 10, 12, 1, True)], [("S", 4, 9)], ["./a"]),
+    "java": (
+        [("Foo", "Foo", 6, 6, 1, True), ("toString", "Foo", 8, 8, 1, True), ("plain", "Foo", 9, 12, 4, False), ("gen", "Foo", 13, 13, 2, False), ("abs", "Foo", 14, 14, 1, False)],
+        [("Foo", 4, 15), ("I", 16, 16), ("E", 17, 17)], ["java.util.List", "org.x.Y.*"],
+    ),
+    "cpp": (
+        [("Foo", "Foo", 6, 6, 1, True), ("~Foo", "Foo", 7, 7, 1, True), ("get", "Foo", 8, 8, 1, True), ("Foo::bar", "Foo", 12, 14, 4, True), ("make", None, 15, 17, 1, True), ("main", None, 18, 18, 1, True)],
+        [("n", 3, 11), ("Foo", 4, 10)], ["vector", "std"],
+    ),
+    "c": ([("add", None, 2, 5, 2, True), ("go", None, 7, 10, 2, True)], [("point", 1, 1)], []),
+    "go": ([("Hello", None, 9, 12, 3, True), ("low", None, 13, 13, 1, False)], [("S", 6, 8)], ["fmt", "net/http"]),
+    "rust": ([("new", "P", 7, 7, 1, True), ("_h", "P", 8, 8, 4, True), ("f", "T", 10, 10, 1, True)], [("P", 5, 5), ("P", 6, 9), ("T", 10, 10)], ["std::collections", "a::b", "d"]),
+    "kotlin": ([("hi", "K", 3, 5, 3, True), ("one", "K", 6, 6, 1, True), ("ext", None, 8, 8, 1, True)], [("K", 2, 7)], ["a.b.C"]),
+    "swift": ([("init", "S", 3, 3, 1, True), ("go", "S", 4, 7, 3, True), ("top", None, 9, 9, 1, True)], [("S", 2, 8)], ["Foundation"]),
+    "scala": ([("f", "O", 3, 5, 3, True), ("h", "O", 6, 6, 1, True)], [("O", 2, 7)], ["a.b"]),
+    "php": ([("go", "C", 5, 7, 2, True), ("_p", "C", 8, 8, 1, True), ("top", None, 10, 10, 1, True)], [("C", 3, 9)], ["A\\B"]),
+    "c_sharp": ([("K", "K", 5, 5, 1, True), ("Go", "K", 7, 10, 3, True), ("Short", "K", 11, 11, 1, False), ("P", "K", 12, 12, 1, False)], [("K", 4, 13)], ["System", "A.B"]),
+    "ruby": ([("go", "C", 4, 5, 2, True), ("s", "C", 7, 7, 1, True)], [("M", 2, 9), ("C", 3, 8)], ["json"]),
+}
+
+
+@pytest.mark.parametrize("language", sorted(PARSED))
+def test_structure_by_hand(language):
+    p, (functions, classes, modules) = structure.parse_source(SOURCES[language], language), PARSED[language]
+    assert [(f["name"], f["class"], f["start_line"], f["end_line"], f["complexity"], f["is_public"]) for f in p["functions"]] == functions
+    assert [(c["name"], c["start_line"], c["end_line"]) for c in p["classes"]] == classes and [i["module"] for i in p["imports"]] == modules
+
+
+def test_structure_details():
+    by = lambda k: structure.parse_source(SOURCES[k], k)
+    js, rust, cs = by("javascript"), by("rust"), by("c_sharp")
+    assert [(i["alias"], i["names"]) for i in js["imports"]] == [(None, ["React", "useState", "b"]), ("fs", []), (None, [])]
+    assert [f["calls"] for f in js["functions"]][1:5] == [["this.go"], [], ["run"], []] and js["classes"][0]["methods"] == ["constructor", "hello", "z", "handle", "_hid"]
+    assert [(i["alias"], i["names"]) for i in rust["imports"]] == [(None, ["HashMap", "HashSet"]), ("c", []), (None, [])] and rust["classes"][0]["decorators"] == ["#[derive(Debug)]"]
+    assert by("go")["imports"][1]["alias"] == "al" and cs["functions"][1]["decorators"] == ["[Test]"] and by("java")["functions"][1]["decorators"] == ["@Override"]
+
+
+@pytest.mark.parametrize("language", [*sorted(PARSED), "python"])
+@pytest.mark.parametrize("content", ["", "{", "}}}", "((((", "class", "function (", "'", "/*", "x = {", "a" * 5000 + "(", "f(" * 2000, "import", "\x00{é"])
+def test_structure_of_broken_text(language, content):
+    p = structure.parse_source(content, language)
+    assert all(f["end_line"] >= f["start_line"] >= 1 for f in p["functions"])
+
+
+def test_complexity_of_a_run(spark):
+    files = spark.createDataFrame([(SOURCES["javascript"], "JavaScript"), ("x", "Unknown")], "content string, language string")
+    a, b = structure.parse(files).transform(scan.file_scan).select("complexity_before").collect()
+    assert (a[0].avg_cyclomatic, a[0].max_cyclomatic, a[0].function_count) == (1.5, 4.0, 10) and b[0] is None
