@@ -22,6 +22,8 @@ without words has the target 0; repeated rows are documents of their own with li
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,10 +97,11 @@ def _key(doc_id: Column, seed: int) -> Column:
 
 
 def mix(
-    docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = SEED, shard_docs: int = SHARD_DOCS, blocks: int = BLOCKS
+    docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = SEED, shard_docs: int = SHARD_DOCS, blocks: int = BLOCKS, keep: Sequence[str] = ()
 ) -> DataFrame:
-    """``(doc_id, source, size, source_size, target, taken)`` for every document."""
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size")))
+    """``(doc_id, source, size, source_size, target, taken)`` for every document, then its columns ``keep``."""
+    kept = [F.col(f"`{c}`").alias(f"_keep{k}") for k, c in enumerate(keep)]
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *kept))
     goal = targets(sized)
     everything = Window.partitionBy()
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
@@ -131,7 +134,8 @@ def mix(
     # Blocks past the last one wrap around to the shard's first.
     wrapped = overlap(F.lit(0), (F.col("offset") + rest - F.col("n")) * F.col("block"))
     taken = whole * F.col("size") + overlap(low, F.least(high, F.col("n") * F.col("block"))) + wrapped
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    last = [F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)]
+    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *last)
 
 
 ORACLE_SQL = f"""

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from codeloom.llm import registry
 
@@ -39,3 +41,27 @@ def test_stages(spark, tmp_path):
 def test_registry():
     assert sorted(registry.QUERIES) == sorted(f"op{n}_{x}" for n, x in ((1, "decontaminate"), (2, "toxicity"), (3, "chat"), (4, "simhash"), (5, "pii"), (6, "secrets"), (7, "mixing"), (8, "suffixes"), (9, "urls"), (10, "quality")))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
+
+
+def test_empty_tables_and_clashing_columns(spark, tmp_path):
+    """No documents give no rows of the same schema; columns named like the stages' own pass through."""
+    _tables(spark, tmp_path / "full")
+    full = spark.read.parquet(str(tmp_path / "full" / "documents.parquet"))
+    (tmp_path / "none").mkdir()
+    full.limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    spark.read.parquet(str(tmp_path / "full" / "benchmark.parquet")).write.parquet(str(tmp_path / "none" / "benchmark.parquet"))
+    empty = corpus_pipeline.run(spark, str(tmp_path / "none"))
+    assert empty.count() == 0
+    docs = full.limit(30).withColumns({c: F.lit(c) for c in ("q_kept", "leaks", "node", "chosen", "seen", "replaced", "n_email", "text_mark", "lost_id", "print")})
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path / "full"))
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert rows and all(r.q_kept == "q_kept" and r.lost_id == "lost_id" and r.n_email == "n_email" for r in rows)
+
+
+def test_the_result_has_cleaned_texts(spark, tmp_path):
+    _tables(spark, tmp_path)
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert all(r.text and r.lang == "en" and r["size"] == len(r.text.split()) for r in got) and not any("a.1@mail2" in r.text for r in got)
