@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet to the
 shared checkpoint folder and read again as the next stage's documents, so a lost executor costs tasks of
-one stage only.
+one stage only. An empty table goes through all of them; further columns pass through all but the last.
 """
 
 from __future__ import annotations
@@ -17,28 +17,31 @@ from codeloom.llm.common import ensure_checkpoints
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep. Null and empty texts go; repeated rows are judged alike."""
     return op10_quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates: the smallest doc_id, of equal ones the smallest hash of the text.
+
+    Rows without a doc_id all stay, as do different texts under one doc_id; of rows that repeat both one stays.
+    """
     return op4_simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark. Null and empty texts or items match nothing."""
     return op1_decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with surrogates for personal data."""
+    """Documents with surrogates for personal data, null and empty texts as they are; n_chars is set anew."""
     return op5_pii.clean(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
-    return op7_mixing.mix(docs)
+    """How many words of each document the mix takes, with its text and language. Null sources are one source."""
+    return op7_mixing.mix(docs, keep=["text", "lang"])
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
