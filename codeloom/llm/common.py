@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,13 +46,35 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cut(df: DataFrame) -> DataFrame:
+#: Tables of the scratch scopes that are open, innermost last.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope whose tables by :func:`cut` are deleted at its end, but for those to be kept.
+
+    What leaves the scope mustn't be worked out from a deleted table any more: cut it with ``keep``.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder, so lost executors cost no recomputation.
 
     A table rather than ``checkpoint()``: that keeps the planner's size estimate, which joins multiply, so that after some
     dozens of steps planning alone takes minutes; a table has the size of its files.
     """
-    return table(df, f"cut-{uuid.uuid4().hex}")
+    out = table(df, name := f"cut-{uuid.uuid4().hex}")
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}")
+    return out
 
 
 def words(text: str | None) -> list[bytes]:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, fresh, map_rows
+from .common import cut, fresh, map_rows, scratch
 from .components import components
 
 SHINGLE = 4
@@ -359,9 +359,10 @@ def angle(similarity: float) -> float:
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``(doc_id, fingerprint, component_id)`` for every row: links at ``RADIUS`` of 64 bits, none missed."""
     src = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    prints = cut(fingerprints(src, ["fp"], keep=["doc_id"]))
-    got = prints.join(groups(prints, ["fp"], RADIUS), "fp")
-    return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    with scratch(docs.sparkSession):
+        prints = cut(fingerprints(src, ["fp"], keep=["doc_id"]))
+        got = prints.join(groups(prints, ["fp"], RADIUS), "fp")
+        return cut(got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"), keep=True)
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -613,11 +614,13 @@ def find_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int =
 
     Similarity is Jaccard's, exact but for collisions of 64-bit hashes, and no pair of at least ``similarity`` is missed.
     """
-    rows, roots = _similar_sets(docs, similarity, shingle)
-    least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    rooted = cut(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    return rows.select("doc_id", "node").join(cut(rooted.join(ids, "root").select("node", "component_id")), "node").select("doc_id", "component_id")
+    with scratch(docs.sparkSession):
+        rows, roots = _similar_sets(docs, similarity, shingle)
+        least = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+        rooted = cut(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        ids = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
+        named = cut(rooted.join(ids, "root").select("node", "component_id"))
+        return cut(rows.select("doc_id", "node").join(named, "node").select("doc_id", "component_id"), keep=True)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -626,16 +629,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of rows that repeat both one stays; different texts under one ``doc_id`` are told apart. Rows without a
     ``doc_id`` all stay, as nothing tells which of them to keep.
     """
-    rows, roots = _similar_sets(docs, SIMILARITY, 5)
-    rows = rows.where(F.col("doc_id").isNotNull())
-    least = rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count(F.lit(1)).alias("rows"))
-    rooted = cut(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    # Groups of one row need no look; of the others every row but the chosen one goes.
-    several = cut(rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("rows").alias("rows")).where("rows > 1"))
-    inside = cut(rooted.select("node", "root").join(several.select("root"), "root").select("node"))
-    grouped = cut(rows.join(inside, "node").select("doc_id", "mark").distinct())
-    lost = cut(grouped.join(several.select("least.doc_id", "least.mark"), ["doc_id", "mark"], "left_anti"))
-    bits = bit_map(grouped.select(F.xxhash64("doc_id", "mark")))
+    with scratch(docs.sparkSession):
+        rows, roots = _similar_sets(docs, SIMILARITY, 5)
+        rows = rows.where(F.col("doc_id").isNotNull())
+        least = rows.groupBy("node").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count(F.lit(1)).alias("rows"))
+        rooted = cut(least.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+        # Groups of one row need no look; of the others every row but the chosen one goes.
+        several = cut(rooted.groupBy("root").agg(F.min("least").alias("least"), F.sum("rows").alias("rows")).where("rows > 1"))
+        inside = cut(rooted.select("node", "root").join(several.select("root"), "root").select("node"))
+        grouped = cut(rows.join(inside, "node").select("doc_id", "mark").distinct())
+        lost = cut(grouped.join(several.select("least.doc_id", "least.mark"), ["doc_id", "mark"], "left_anti"), keep=True)
+        bits = bit_map(grouped.select(F.xxhash64("doc_id", "mark")))
     look = F.pandas_udf(lambda hashes: pd.Series(marked(bits, hashes.to_numpy())), "boolean")
 
     mark, seen, lost_id = fresh(docs, "text_mark"), fresh(docs, "seen"), fresh(docs, "lost_id")

@@ -101,7 +101,8 @@ def mix(
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` for every document, then its columns ``keep``."""
     kept = [F.col(f"`{c}`").alias(f"_keep{k}") for k, c in enumerate(keep)]
-    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *kept))
+    wide = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *kept)
+    sized = cut(wide.select("doc_id", "source", "size"))
     goal = targets(sized)
     everything = Window.partitionBy()
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
@@ -111,7 +112,7 @@ def mix(
     goal = apportion(goal, "target", "seats", [], ["source"], "quota")
     goal = cut(goal.withColumn("shards", F.ceil(F.col("n_docs") / shard_docs).cast("long")))
 
-    keyed = sized.withColumn("_key", _key(F.col("doc_id"), seed))
+    keyed = (wide if keep else sized).withColumn("_key", _key(F.col("doc_id"), seed))
     keyed = keyed.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     keyed = keyed.withColumn("shard", F.pmod(_hex(F.col("_key"), 1), F.col("shards")))
     shards = keyed.groupBy("_source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"), F.first("block").alias("block"))
