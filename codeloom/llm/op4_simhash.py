@@ -50,7 +50,7 @@ BUCKET = 16384
 #: is exact); shingles are counted in lots of so many.
 HOT = 64
 MOST_HOT = 200_000
-COUNTED = 1 << 21
+COUNTED = 1 << 19
 #: Bits of a parity sketch for each shingle, and bits at least and at most.
 SKETCH = 2
 LEAST_SKETCH = 256
