@@ -199,10 +199,10 @@ def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""WITH {_TREE} SELECT repo, ord, path, CAST(row_number() OVER (PARTITION BY repo ORDER BY ord) AS INTEGER) AS file_idx FROM tree
 WHERE type = 'blob' AND lower(regexp_extract(path, '[^/.](\\.[^./]+)$', 1)) IN ({_SUPPORTED}) AND coalesce(size, 0) <= 512000 AND NOT ({_EXCLUDED})
-QUALIFY file_idx <= 50""")
+QUALIFY file_idx <= {rules.MAX_REPO_FILES}""")
 def repo_file_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of each repository that are read (SRC-2), 50 at most so that the cap is met."""
-    return sources.repo_files(_tree(spark, sf_dir), most=50).select("repo", "ord", "path", "file_idx")
+    """The files of each repository that are read (SRC-2), as many as a repository may have."""
+    return sources.repo_files(_tree(spark, sf_dir)).select("repo", "ord", "path", "file_idx")
 
 
 @_query(f"""WITH {_TREE} SELECT repo, ord, path, count(*) OVER (PARTITION BY repo) AS total_files FROM tree

@@ -92,7 +92,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL_FILES = f"""{SQL_LINES}, files AS (
   SELECT CAST(file_id % 20 AS VARCHAR) AS analysis_id, CAST(file_id AS INTEGER) AS file_idx,
     concat('src/f', file_id, {sql_pick(EXTENSIONS, f"file_id % {len(EXTENSIONS)}")}) AS path, string_agg(line, chr(10) ORDER BY line_no) AS content
-  FROM code_lines WHERE line_no <= 40 GROUP BY file_id)"""
+  FROM code_lines GROUP BY file_id)"""
 
 
 def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -183,3 +183,13 @@ def test_scalars(spark):
     ).first()
     assert (r.n, r.f, r.k, r.t, r["all"], r.none, r.s, r.e) == (-2, "2.0", 2, ["y"], ["x", "y"], [], "2024-01-02 03:04:05", datetime(2024, 1, 1, 1, 30))
     assert scalars.together(spark.range(2).select("id"), spark.range(1).select("id", F.lit(1).alias("x"))).count() == 3
+
+
+def test_files_of_a_repository_are_capped(spark):
+    from codeloom.catalog import _tree
+    from codeloom.sources import files as sources
+
+    tree = _tree(spark, "/root/testdata/sf0.001")
+    whole = sources.repo_files(tree).groupBy("repo").count().collect()
+    few = {r.repo: r["count"] for r in sources.repo_files(tree, most=3).groupBy("repo").count().collect()}
+    assert few == {r.repo: min(r["count"], 3) for r in whole}
