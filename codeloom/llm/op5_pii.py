@@ -14,8 +14,9 @@ stays in its network.
 A part of a name has one surrogate whatever its document, title or place in the name. Names that are on the lists by gender
 and script change places on their list; others keep their script, length, capitals, last letter (which often tells the
 gender) and the places of vowels, by a permutation of all names that are on no list. Both are one to one, so distinct names
-stay distinct in the whole corpus. Only a surrogate that is another word of its document moves on to the next one there.
-Later bare mentions of a name's parts get the same surrogate. Names without a courtesy title aren't found.
+stay distinct in the whole corpus. Where a surrogate is another word of the document already, that word is taken for a name
+too and gets its own surrogate. Later bare mentions of a name's parts get the same surrogate; numerals after names (III) stay.
+Names without a courtesy title aren't found.
 
 Defined cases: a null text stays null and an empty one empty; texts are processed whole; a document without
 entities is unchanged; repeated rows are replaced alike; other columns pass through (``n_chars`` is set
@@ -28,7 +29,6 @@ import hmac
 import re
 import unicodedata
 from collections.abc import Callable
-from functools import cache
 from hashlib import sha256
 
 import pyarrow as pa
@@ -55,17 +55,21 @@ _ALPHABETS = (
     "αβγδεζηθικλμνξοπρστυφχψω",
     "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ",
 )
+# In names, letters with marks change places with those of the same languages only.
+_MARKED = ("äöü", "ÄÖÜ", "áéíóú", "ÁÉÍÓÚ", "àèùâêîôûëï", "ÀÈÙÂÊÎÔÛËÏ", "åæø", "ÅÆØ", "çñ", "ÇÑ")
 _VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüýÿаеёиоуыэюяαεηιουω"
 
 
-@cache
 def _place(c: str, named: bool = False) -> tuple[str, int] | None:
-    """The alphabet of a letter or digit, and its place there; ``named`` parts vowels from other letters."""
+    """The alphabet of a letter or digit, and its place there; in names, vowels and letters with marks have their own."""
+    if named and (marked := next((a for a in _MARKED if c in a), None)):
+        return marked, marked.index(c)
     alphabet = next((a for a in _ALPHABETS if c in a), None)
     if alphabet is None and (c.isalpha() or c.isdecimal()):
         alphabet = _block(c)
     if alphabet is not None and named:
-        alphabet = "".join(x for x in alphabet if (x.lower() in _VOWELS) == (c.lower() in _VOWELS))
+        own = "".join(_MARKED)
+        alphabet = "".join(x for x in alphabet if (x.lower() in _VOWELS) == (c.lower() in _VOWELS) and x not in own)
     return (alphabet, alphabet.index(c)) if alphabet else None
 
 
@@ -107,6 +111,8 @@ _GENDER = {t.lower(): g for g, ts in _TITLES.items() for t in ts}
 
 _CAPITAL = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][\w'’-]*[^\W\d_]"
 _NAME = re.compile(rf"(?<!\w)({'|'.join(sorted((t for ts in _TITLES.values() for t in ts), key=len, reverse=True))})(\.[ \t]*|[ \t]+)({_CAPITAL}(?:[ \t]{_CAPITAL}){{0,2}})")
+#: What follows a name as a number stays.
+_NUMERAL = re.compile(r"[IVX]{2,5}")
 _EMAIL = r"(?P<email>(?<![\w.%+-])[\w.%+-]++@[\w-]+(?:\.[\w-]+)+)"
 _NUMBERS = (
     r"(?P<ip>(?<!\w)(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d))",
@@ -125,14 +131,23 @@ class Surrogates:
     """The keyed mapping; one is built in each task from the key alone."""
 
     def __init__(self, key: bytes = KEY):
-        self.key, self.known = key, {}
+        self.key, self.known, self.places = key, {}, {}
+
+    def _place(self, c: str, named: bool) -> tuple[str, int] | None:
+        """:func:`_place`, kept by letter: alphabets of ten thousands of letters are made once a task."""
+        if (c, named) not in self.places:
+            if len(self.places) > 5_000:
+                self.places.clear()
+            found = _place(c, named)
+            self.places[c, named] = found and (self.places.setdefault(found[0], found[0]), found[1])
+        return self.places[c, named]
 
     def _draw(self, *parts: str) -> bytes:
         return hmac.new(self.key, "\0".join(parts).encode(), sha256).digest()
 
     def permute(self, text: str, tweak: str, back: bool = False, named: bool = False) -> str:
         """A keyed permutation of the texts of this form, of which none stays: same length, each character in its alphabet."""
-        places = [_place(c, named) for c in text]
+        places = [self._place(c, named) for c in text]
         at = [i for i, p in enumerate(places) if p]
         sizes, x = [len(places[i][0]) for i in at], [places[i][1] for i in at]
         form = "".join(p[0][0] if p else c for p, c in zip(places, text, strict=True))
@@ -246,17 +261,16 @@ class Surrogates:
     def names(self, found: list[tuple[str, list[str]]], taken: set[str]) -> dict[str, str]:
         """Surrogates for the parts of a document's names, given as (gender, parts) in order of appearance.
 
-        Each part has one surrogate, no two the same one, and none is another word of the document.
+        Each part has the one surrogate that it has everywhere. Where that is another word of the document (``taken``), the word
+        is taken for a name too and gets its own, and so on: mappings are one to one, so nothing comes to be called alike.
         """
         out: dict[str, str] = {}
-        used: set[str] = set()
-        for part in sorted({p for _, parts in found for p in parts}):
-            pick, tries = self.name(part), 0
-            while pick in used or pick in taken:
-                tries += 1
-                pick = self.name(pick) if tries < 50 else self._made_up(part + "a" * (tries - 49))
-            out[part] = pick
-            used.add(pick)
+        left = sorted({p for _, parts in found for p in parts if not _NUMERAL.fullmatch(p)})
+        while left:
+            part = left.pop()
+            out[part] = self.name(part)
+            if out[part] in taken and out[part] not in out:
+                left.append(out[part])
         return out
 
     def replace(self, text: str | None) -> tuple[str | None, list[int]]:
@@ -272,11 +286,10 @@ class Surrogates:
         if "@" in text or _NUMERIC.search(text):
             text = (_WITH_AT if "@" in text else _WITHOUT_AT).sub(one, text)
         if named := [(_GENDER[m[1].lower()], re.split(r"[ \t]+", m[3])) for m in _NAME.finditer(text)]:
-            parts = {p for _, ps in named for p in ps}
             new = self.names(named, set(re.findall(r"\w[\w'’-]*", text)))
             counts["name"] = len(named)
-            mention = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(parts, key=len, reverse=True)))})(?!\w)")
-            text = mention.sub(lambda m: new[m.group()], text)
+            mention = re.compile(rf"(?<!\w)(?:{'|'.join(map(re.escape, sorted(new, key=len, reverse=True)))})(?!\w)")
+            text = mention.sub(lambda m: new[m.group()], text) if new else text
         return text, list(counts.values())
 
 
