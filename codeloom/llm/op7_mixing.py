@@ -12,12 +12,13 @@ Highest quotients need no list of all quotients: with ``H`` seats for ``S`` part
 last winning divisor lies between V / (H + S / 2) and V / (H - S / 2), so every party is sure of the seats
 that the larger divisor gives and only about 2 S quotients are ranked for the rest.
 
-Only (doc_id, source, size) moves, never a text. Tables of sources and shards are aggregated first; a
-source with a third of all rows is cut into shards by hash before anything is ordered.
+Only (key, source, size) is ordered, never a text. Tables of sources and shards are aggregated first; a source with a third
+of all rows is cut into shards by a hash of id and text before anything is ordered, so a null or repeated ``doc_id`` is spread
+like others. Rows that repeat id, text and source are one entry with a count; what is taken goes back to the rows by one join.
 
 Defined cases: a null text has no words; a null source is a source of its own, sorted last; a source
-without words has the target 0; repeated rows are documents of their own with like ``taken``; a null
-``doc_id`` is ordered by its hash like any other; an empty table gives an empty result.
+without words has the target 0; repeated rows are documents of their own with the same ``taken``; a null
+``doc_id`` is ordered by its hash like any other; columns in ``keep`` may have any name; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -92,17 +93,18 @@ def _hex(text: Column, at: int, n: int = 12) -> Column:
     return F.conv(F.substring(text, at, n), 16, 10).cast("long")
 
 
-def _key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def _key(doc_id: Column, text: Column, seed: int) -> Column:
+    """What a row is ordered and dealt by: rows that repeat neither id nor text go apart, and equal rows can be counted first."""
+    parts = [F.coalesce(c.cast("string"), F.lit("null")) for c in (doc_id, F.md5(text))]
+    return F.md5(F.concat(F.lit(f"{seed}:"), parts[0], F.lit(":"), parts[1]))
 
 
 def mix(
     docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", seed: int = SEED, shard_docs: int = SHARD_DOCS, blocks: int = BLOCKS, keep: Sequence[str] = ()
 ) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken)`` for every document, then its columns ``keep``."""
-    kept = [F.col(f"`{c}`").alias(f"_keep{k}") for k, c in enumerate(keep)]
-    wide = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), *kept)
-    sized = cut(wide.select("doc_id", "source", "size"))
+    key = _key(F.col(doc_id), F.col(text), seed)
+    sized = cut(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), key.alias("_key")))
     goal = targets(sized)
     everything = Window.partitionBy()
     least = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
@@ -112,7 +114,8 @@ def mix(
     goal = apportion(goal, "target", "seats", [], ["source"], "quota")
     goal = cut(goal.withColumn("shards", F.ceil(F.col("n_docs") / shard_docs).cast("long")))
 
-    keyed = (wide if keep else sized).withColumn("_key", _key(F.col("doc_id"), seed))
+    # Rows that repeat id, text and source are one entry, counted before anything moves.
+    keyed = sized.groupBy("_key", "source").agg(F.first("size").alias("one"), F.count(F.lit(1)).alias("copies")).withColumn("size", F.col("one") * F.col("copies"))
     keyed = keyed.join(goal.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source")))
     keyed = keyed.withColumn("shard", F.pmod(_hex(F.col("_key"), 1), F.col("shards")))
     shards = keyed.groupBy("_source", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"), F.first("block").alias("block"))
@@ -122,7 +125,7 @@ def mix(
     shards = shards.select(F.col("_source").alias("_own"), F.col("shard").alias("_shard"), "shard_size", n.alias("n"), F.least(F.col("take"), MOST * n).alias("take"), offset.alias("offset"))
 
     placed = keyed.join(shards, F.col("_source").eqNullSafe(F.col("_own")) & (F.col("shard") == F.col("_shard")))
-    line = Window.partitionBy("_own", "_shard").orderBy("_key", "doc_id", "size")
+    line = Window.partitionBy("_own", "_shard").orderBy("_key")
     placed = placed.withColumn("start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size"))
     placed = placed.withColumn("stop", F.col("start") + F.col("size"))
     whole, rest = F.expr("take div n"), F.expr("take % n")
@@ -135,13 +138,25 @@ def mix(
     # Blocks past the last one wrap around to the shard's first.
     wrapped = overlap(F.lit(0), (F.col("offset") + rest - F.col("n")) * F.col("block"))
     taken = whole * F.col("size") + overlap(low, F.least(high, F.col("n") * F.col("block"))) + wrapped
+    # Copies share what is taken of their entry, to the nearest word.
+    each = F.floor((2 * taken + F.col("copies")) / (2 * F.col("copies"))).cast("long")
+    plan = placed.select(F.col("_key").alias("_its"), F.col("source").alias("_from"), "source_size", "target", F.col("one").alias("_size"), each.alias("taken"))
+    if not keep:
+        rows = sized.select("_key", "doc_id", "source", "size")
+    else:
+        rows = docs.select(key.alias("_key"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *[F.col(f"`{c}`").alias(f"_keep{k}") for k, c in enumerate(keep)])
+        plan = plan.withColumnRenamed("_size", "size")
+    got = rows.join(plan, (F.col("_key") == F.col("_its")) & F.col("source").eqNullSafe(F.col("_from")))
     last = [F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)]
-    return placed.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *last)
+    return got.select("doc_id", "source", "size", "source_size", "target", "taken", *last)
 
 
 ORACLE_SQL = f"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size,
+    md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(md5(text), 'null')) AS key FROM documents
+), entries AS (
+  SELECT key, source, CAST(any_value(size) * count(*) AS BIGINT) AS size, count(*) AS copies FROM sized GROUP BY key, source
 ), by_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM sized GROUP BY source
 ), weighed AS (
@@ -162,9 +177,8 @@ WITH sized AS (
       FROM (SELECT *, sum(target) OVER () AS whole FROM blocked) WHERE target > 0)
   ) WHERE place <= seats GROUP BY source
 ), keyed AS (
-  SELECT s.*, b.source_size, b.target, b.block, coalesce(q.quota, 0) AS quota, md5('{SEED}:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')) AS key,
-    CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(s.doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) % b.shards AS shard
-  FROM sized s JOIN blocked b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
+  SELECT s.*, b.source_size, b.target, b.block, coalesce(q.quota, 0) AS quota, CAST('0x' || substr(s.key, 1, 12) AS BIGINT) % b.shards AS shard
+  FROM entries s JOIN blocked b ON s.source IS NOT DISTINCT FROM b.source LEFT JOIN quotas q ON s.source IS NOT DISTINCT FROM q.source
 ), shard_sizes AS (
   SELECT source, shard, CAST(sum(size) AS BIGINT) AS shard_size, any_value(quota) AS quota, any_value(block) AS block FROM keyed GROUP BY ALL
 ), takes AS (
@@ -178,13 +192,13 @@ WITH sized AS (
   FROM shard_sizes z LEFT JOIN takes t ON z.source IS NOT DISTINCT FROM t.source AND z.shard = t.shard
 ), placed AS (
   SELECT k.*, p.n, least(p.wanted, 2 * p.n) // p.n AS whole, least(p.wanted, 2 * p.n) % p.n AS rest, p.seeded % p.n AS first,
-    CAST(sum(k.size) OVER (PARTITION BY k.source, k.shard ORDER BY k.key, k.doc_id, k.size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
+    CAST(sum(k.size) OVER (PARTITION BY k.source, k.shard ORDER BY k.key ROWS UNBOUNDED PRECEDING) AS BIGINT) AS stop
   FROM keyed k JOIN shard_plan p ON k.source IS NOT DISTINCT FROM p.source AND k.shard = p.shard
 )
-SELECT doc_id, source, size, source_size, target, CAST(whole * size
-    + greatest(0, least(stop, least(first + rest, n) * block) - greatest(stop - size, first * block))
-    + greatest(0, least(stop, (first + rest - n) * block) - (stop - size)) AS BIGINT) AS taken
-FROM placed
+SELECT d.doc_id, d.source, d.size, p.source_size, p.target, CAST((2 * (whole * p.size
+    + greatest(0, least(stop, least(first + rest, n) * block) - greatest(stop - p.size, first * block))
+    + greatest(0, least(stop, (first + rest - n) * block) - (stop - p.size))) + copies) // (2 * copies) AS BIGINT) AS taken
+FROM placed p JOIN sized d ON d.key = p.key AND d.source IS NOT DISTINCT FROM p.source
 """
 
 

@@ -469,3 +469,27 @@ def test_no_surrogate_is_its_entity():
 @pytest.mark.parametrize("text", ["+1 22 33", "+47 22 33", "call +1 22 33 now"])
 def test_short_phone_numbers_are_found_alone(text):
     assert op5.Surrogates().replace(text)[1][op5.KINDS.index("phone")] == 1
+
+
+def test_mix_without_ids(spark):
+    """A third of all rows without an id, and one id a fifth: no shard has more than a few of them, and equal rows get the same."""
+    rng = random.Random(12)
+    rows = [(None if i % 3 == 0 else 5 if i % 5 == 0 else i, " ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(1, 60))), f"s{i % 2}") for i in range(3000)]
+    rows += [(None, "the same text", "s0")] * 700 + [(None, None, None)] * 30
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = op7.mix(df, shard_docs=50, keep=["text"]).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in got) == Counter(rows)
+    size, taken = Counter(), Counter()
+    for r in got:
+        assert r["size"] == len((r.text or "").split()) and 0 <= r.taken <= 2 * r["size"]
+        size[r.source], taken[r.source] = size[r.source] + r["size"], taken[r.source] + r.taken
+    assert len({r.taken for r in got if r.text == "the same text"}) == 1
+    want = slow_targets(size)
+    assert all(abs(taken[s] - want[s]) <= max(0.05 * want[s], 40) for s in size)
+    shard = df.select(op7._key(F.col("doc_id"), F.col("text"), 7).alias("k")).distinct().select((op7._hex(F.col("k"), 1) % 70).alias("s")).groupBy("s").count().collect()
+    assert max(r["count"] for r in shard) < 0.05 * len(rows)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR, source VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
+    theirs = con.execute(f"SELECT doc_id, source, size, source_size, target, taken FROM ({op7.ORACLE_SQL})").fetchall()
+    assert Counter((r.doc_id, r.source, r["size"], r.source_size, r.target, r.taken) for r in op7.mix(df).collect()) == Counter(theirs)
