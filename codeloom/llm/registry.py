@@ -18,6 +18,10 @@ from .op7_mixing import op7_mixing
 from .op8_suffixes import op8_suffixes
 from .op9_urls import op9_urls
 from .op10_quality import op10_quality
+from .op12_audit import ORACLE_SQL as OP12_SQL
+from .op12_audit import op12_audit
+from .op13_fim import ORACLE_SQL as OP13_SQL
+from .op13_fim import op13_fim
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -32,9 +36,13 @@ QUERIES: dict[str, Query] = {
     "op8_suffixes": op8_suffixes,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
+    "op12_audit": op12_audit,
+    "op13_fim": op13_fim,
 }
 
 ORACLES: dict[str, str] = {
     "op3_chat": OP3_SQL,
     "op7_mixing": OP7_SQL,
+    "op12_audit": OP12_SQL,
+    "op13_fim": OP13_SQL,
 }
