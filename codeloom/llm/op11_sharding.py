@@ -165,6 +165,63 @@ def with_shards(docs: DataFrame, text: str = "text", shards: int = SHARDS) -> Da
     return got.select(*[F.col(f"`{c}`") for c in docs.columns], shard)
 
 
+_FILL = "struct_pack(used := 1::BIGINT, fill := 0::BIGINT)"
+ORACLE_SQL = f"""
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i : list_reduce(range(8), lambda c, k : xor(c >> 1, (c & 1) * 3988292384), i)) AS t
+), texts AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(text, '')) AS digest,
+    xor(list_reduce(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h : CAST('0x' || h AS BIGINT)),
+      lambda c, x : xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) AS text_crc32
+  FROM documents, crc_table
+), celled AS (
+  SELECT *, CAST('0x' || substr(digest, 1, 4) AS INTEGER) // {65536 // CELLS} AS cell FROM texts
+), cells AS (
+  SELECT cell, CAST(sum(size) AS BIGINT) AS size, count(*) AS n FROM celled GROUP BY cell
+), largest AS (
+  SELECT cell, size, row_number() OVER (ORDER BY size DESC, cell) AS place,
+    (SELECT sum(size) FROM cells) - coalesce(sum(size) OVER (ORDER BY size DESC, cell ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest FROM cells
+), alone AS (
+  SELECT cell, CAST(place - 1 AS INTEGER) AS shard FROM largest
+  WHERE place < {SHARDS} AND place < coalesce((SELECT min(place) FROM largest WHERE size * ({SHARDS} + 1 - place) <= rest), 1000000)
+), line AS (
+  SELECT list(size ORDER BY cell) AS sizes, CAST(sum(size) AS BIGINT) AS whole, max(size) AS top, {SHARDS} - (SELECT count(*) FROM alone) AS shards
+  FROM cells WHERE cell NOT IN (SELECT cell FROM alone)
+), search AS (
+  SELECT greatest(CAST(ceil(whole / shards) AS BIGINT), top) AS low, greatest(CAST(ceil(whole / shards) AS BIGINT), top) + top AS high FROM line
+  UNION ALL
+  SELECT CASE WHEN ok THEN low ELSE middle + 1 END, CASE WHEN ok THEN middle ELSE high END FROM (
+    SELECT low, high, (low + high) // 2 AS middle, list_reduce(sizes, lambda s, x : CASE WHEN s.fill + x > (low + high) // 2
+      THEN struct_pack(used := s.used + 1, fill := x) ELSE struct_pack(used := s.used, fill := s.fill + x) END, {_FILL}).used <= shards AS ok
+    FROM search, line WHERE low < high)
+), capacity AS (
+  SELECT min(high) AS c FROM search
+), behind AS (
+  SELECT list_reduce(list_reverse(sizes), lambda s, x : CASE WHEN s.fill + x > c
+    THEN struct_pack(fill := x, at := s.at - 1, starts := list_append(s.starts, s.at)) ELSE struct_pack(fill := s.fill + x, at := s.at - 1, starts := s.starts) END,
+    struct_pack(fill := 0::BIGINT, at := len(sizes)::BIGINT, starts := []::BIGINT[])).starts AS starts FROM line, capacity
+), cuts AS (
+  SELECT list_reduce(sizes, lambda s, x : CASE WHEN s.fill + x > c OR (s.fill > 0 AND len(s.cuts) + 1 < shards AND coalesce(starts[shards - len(s.cuts) - 1], 0) <= s.at
+      AND (2 * s.fill + x) * (shards - len(s.cuts)) > 2 * (whole - s.done))
+    THEN struct_pack(fill := x, done := s.done + s.fill, at := s.at + 1, cuts := list_append(s.cuts, s.at))
+    ELSE struct_pack(fill := s.fill + x, done := s.done, at := s.at + 1, cuts := s.cuts) END,
+    struct_pack(fill := 0::BIGINT, done := 0::BIGINT, at := 0::BIGINT, cuts := []::BIGINT[])).cuts AS cuts FROM line, capacity, behind
+), sharded AS (
+  SELECT cell, n, CAST({SHARDS} - shards + len(list_filter(cuts, lambda x : x <= i)) AS INTEGER) AS shard
+  FROM (SELECT cell, n, row_number() OVER (ORDER BY cell) - 1 AS i FROM cells WHERE cell NOT IN (SELECT cell FROM alone)), cuts, line
+  UNION ALL SELECT cell, n, shard FROM alone JOIN cells USING (cell)
+), numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY digest, doc_id) - 1 AS copy FROM celled
+), dealt AS (
+  SELECT d.*, shard, CAST('0x' || substr(md5(concat(digest, ':', coalesce(CAST(doc_id AS VARCHAR), 'null'), ':', copy // {BUCKET})), 1, 12) AS BIGINT)
+    % greatest(1, CAST(ceil(n / {BUCKET}) AS BIGINT)) AS bucket
+  FROM numbered d JOIN sharded USING (cell)
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY cell, bucket, digest, doc_id NULLS FIRST, copy) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM dealt
+"""
+
+
 def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, digest, shard and slot."""
     return assign(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))

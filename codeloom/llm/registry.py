@@ -18,6 +18,8 @@ from .op7_mixing import op7_mixing
 from .op8_suffixes import op8_suffixes
 from .op9_urls import op9_urls
 from .op10_quality import op10_quality
+from .op11_sharding import ORACLE_SQL as OP11_SQL
+from .op11_sharding import op11_sharding
 from .op12_audit import ORACLE_SQL as OP12_SQL
 from .op12_audit import op12_audit
 from .op13_fim import ORACLE_SQL as OP13_SQL
@@ -36,6 +38,7 @@ QUERIES: dict[str, Query] = {
     "op8_suffixes": op8_suffixes,
     "op9_urls": op9_urls,
     "op10_quality": op10_quality,
+    "op11_sharding": op11_sharding,
     "op12_audit": op12_audit,
     "op13_fim": op13_fim,
 }
@@ -43,6 +46,7 @@ QUERIES: dict[str, Query] = {
 ORACLES: dict[str, str] = {
     "op3_chat": OP3_SQL,
     "op7_mixing": OP7_SQL,
+    "op11_sharding": OP11_SQL,
     "op12_audit": OP12_SQL,
     "op13_fim": OP13_SQL,
 }
