@@ -39,7 +39,7 @@ def test_stages(spark, tmp_path):
 
 
 def test_registry():
-    assert sorted(registry.QUERIES) == sorted(f"op{n}_{x}" for n, x in ((1, "decontaminate"), (2, "toxicity"), (3, "chat"), (4, "simhash"), (5, "pii"), (6, "secrets"), (7, "mixing"), (8, "suffixes"), (9, "urls"), (10, "quality")))
+    assert sorted(registry.QUERIES) == sorted(f"op{n}_{x}" for n, x in ((1, "decontaminate"), (2, "toxicity"), (3, "chat"), (4, "simhash"), (5, "pii"), (6, "secrets"), (7, "mixing"), (8, "suffixes"), (9, "urls"), (10, "quality"), (11, "sharding"), (12, "audit"), (13, "fim")))
     assert set(registry.ORACLES) <= set(registry.QUERIES)
 
 
