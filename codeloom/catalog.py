@@ -6,8 +6,6 @@ and says the rest independently.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,24 +15,11 @@ from .functions.text import lines, n_lines
 from .operators import accounts, agents, edits, graph, history, language, matching, risk, rollup, scan, structure, testruns
 from .plans import analysis, fixtures
 from .plans.fixtures import quote, sql_values
+from .registry import ORACLES, QUERIES  # noqa: F401
+from .registry import query as _query
 from .sources import files as sources
 from .streaming import trace
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def _query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return add
-
-
 def _re(text: str, regex: str, flags: str = "") -> str:
     return f"regexp_matches({text}, {quote(f'(?{flags}){regex}' if flags else regex)})"
 
@@ -638,3 +623,6 @@ def analysis_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of every changed file (PRJ-8, AGT-14)."""
     done = analysis.analyse(fixtures.files(spark, sf_dir))["files"]
     return analysis.evidence(done, "2024-01-01T00:00:00").select("analysis_id", "file_idx", "report.executive_summary", "report.full_markdown")
+
+
+from . import catalog_code, catalog_state  # noqa: E402, F401

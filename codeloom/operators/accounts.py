@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .history import PLACEHOLDER, real_address
+from .identity import account_id
 
 
 def best_email(emails: DataFrame, key: str = "login") -> DataFrame:
@@ -48,7 +49,10 @@ def match_github(users: DataFrame, logins: DataFrame) -> DataFrame:
 
 
 def upsert_users(users: DataFrame, matched: DataFrame) -> DataFrame:
-    """Users after Google logins matched by :func:`match_google`: those matched updated, new ones added."""
+    """Users after Google logins matched by :func:`match_google`: those matched updated, one new one an address.
+
+    Where order matters within the batch, see :mod:`.identity`.
+    """
     ups = matched.where("user_id is not null").select(F.col("user_id").alias("id"), F.col("email").alias("_email"), F.col("picture").alias("_photo"))
     merged = users.join(ups.dropDuplicates(["id"]), "id", "left")
     old = merged.select(
@@ -58,7 +62,8 @@ def upsert_users(users: DataFrame, matched: DataFrame) -> DataFrame:
             for c in users.columns
         ]
     )
-    new = matched.where("how = 'new'").select(F.uuid().alias("id"), "email", F.coalesce("name", "email").alias("name"), F.col("picture").alias("photo_url"), F.lit("google").alias("auth_provider"))
+    one = matched.where("how = 'new'").groupBy("email").agg(F.min(F.struct(F.coalesce("name", "email").alias("name"), F.col("picture").alias("photo_url"))).alias("u"))
+    new = one.select(account_id(F.col("email")).alias("id"), "email", "u.name", "u.photo_url", F.lit("google").alias("auth_provider"))
     return old.unionByName(new, allowMissingColumns=True)
 
 

@@ -19,18 +19,27 @@ def _unfenced(raw: Column) -> Column:
     return strip(F.regexp_replace(raw, r"```(?:json)?", ""))
 
 
+def strict_json(text: Column) -> Column:
+    """A text as a variant if the whole of it is one JSON value; Spark's own parser ignores what comes after the first.
+
+    Put before a mark in a list, it must be the list's first element and the mark the second.
+    """
+    both = F.try_parse_json(F.concat(F.lit("["), text, F.lit(', "␟"]')))
+    return let(both, lambda v: F.when(F.try_variant_get(v, "$[1]", "string") == "␟", F.try_variant_get(v, "$[0]", "variant")))
+
+
 def json_list(raw: Column, keys: tuple[str, ...] = ("issues", "patterns", "results", "findings"), element: str = schemas.ISSUE) -> Column:
     """A list from a model's answer: the list itself, the first list under one of ``keys``, or the longest ``[...]`` (AGT-3, AGT-4)."""
     text = _unfenced(raw)
     kind = f"array<{element}>"
 
     def read(x: Column) -> Column:
-        whole = F.try_parse_json(x)
+        whole = strict_json(x)
         is_list = F.substring(x, 1, 1) == "["
         options = [F.when(is_list & whole.isNotNull(), F.try_variant_get(whole, "$", kind))]
         options += [F.when(~is_list, F.try_variant_get(whole, f"$.{k}", kind)) for k in keys]
         inner = F.regexp_extract(x, r"(?s)\[.*\]", 0)
-        return F.coalesce(*options, F.try_variant_get(F.try_parse_json(F.nullif(inner, F.lit(""))), "$", kind))
+        return F.coalesce(*options, F.try_variant_get(strict_json(F.nullif(inner, F.lit(""))), "$", kind))
 
     return read(text)
 
@@ -38,12 +47,28 @@ def json_list(raw: Column, keys: tuple[str, ...] = ("issues", "patterns", "resul
 def json_object(raw: Column, needs: str) -> Column:
     """An object from a model's answer as a variant: whole if it has ``needs``, else the longest ``{...}`` (AGT-5, AGT-6)."""
     text = _unfenced(raw)
-    whole = F.try_parse_json(text)
-    inner = F.try_parse_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
+    whole = strict_json(text)
+    inner = strict_json(F.nullif(F.regexp_extract(text, r"(?s)\{.*\}", 0), F.lit("")))
     has = (F.substring(text, 1, 1) == "{") & F.try_variant_get(whole, f"$.{needs}", "variant").isNotNull()
     return F.when(has, whole).otherwise(inner)
 
 
+def read_answers(answers: DataFrame, raw: str, keys: tuple[str, ...] = ("issues", "patterns", "results", "findings"), element: str = schemas.ISSUE) -> DataFrame:
+    """``answers`` with ``items``, the list of :func:`json_list`, and ``problem``, which tells apart what is none (JSN-1, AGT-3).
+
+    A text is parsed once, to a variant, and once more only where the whole is no JSON.
+    """
+    text = _unfenced(F.col(raw))
+    inner = F.nullif(F.regexp_extract("_text", r"(?s)\[.*\]", 0), F.lit(""))
+    got = answers.withColumn("_text", text).withColumn("_whole", strict_json(F.col("_text")))
+    kind = f"array<{element}>"
+    lists = [F.try_variant_get("_whole", "$", kind), *[F.try_variant_get("_whole", f"$.{k}", kind) for k in keys]]
+    got = got.withColumn("_inner", F.when(F.coalesce(*lists).isNull(), strict_json(inner)))
+    got = got.withColumn("items", F.coalesce(*lists, F.try_variant_get("_inner", "$", kind)))
+    problem = F.when(F.col("items").isNotNull(), None).when(F.col(raw).isNull(), "no answer").when(F.col("_whole").isNotNull() | F.col("_inner").isNotNull(), "no list").otherwise("no JSON")
+    return got.withColumn("problem", problem).drop("_text", "_whole", "_inner")
+
+
 def shift_lines(issue_lines: Column, offset: Column) -> Column:
     """Line numbers of a chunk as those of the file (AGT-2)."""
     return F.when(offset > 0, F.transform(issue_lines, lambda n: n + offset)).otherwise(issue_lines)

@@ -20,16 +20,11 @@ def in_order(changes: Column) -> Column:
     return F.array_sort(changes, compare)
 
 
-def places(text: Column, part: Column) -> Column:
-    """All places (from 0) of a part, overlapping ones too, in order."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length(text) - F.length(part), F.lit(0)))
-    return F.filter(starts, lambda i: F.substring(text, i + 1, F.length(part)) == part)
-
-
 def chosen_place(text: Column, part: Column, line_start: Column) -> Column:
     """Place of the occurrence that a line number means, null if the number is none of the text's (EDIT-2, SRT-6).
 
-    The first at or after the line's start, else the nearest, the earlier of two as near.
+    The first at or after the line's start, else the nearest. That is the last one then, as all lie before: looked for from the
+    end, so the work is linear in the text.
     """
     rows = pieces(text)
     before = F.slice(rows, F.lit(1), F.greatest(line_start - 1, F.lit(0)))
@@ -37,8 +32,8 @@ def chosen_place(text: Column, part: Column, line_start: Column) -> Column:
 
     def choose(offset: Column) -> Column:
         after = F.call_function("locate", part, text, offset + 1)
-        nearest = F.element_at(F.array_sort(F.transform(places(text, part), lambda p: F.struct(F.abs(p - offset).alias("d"), p.alias("p")))), 1)["p"]
-        return F.when(after > 0, after - 1).otherwise(nearest)
+        from_end = F.call_function("locate", F.reverse(part), F.reverse(text))
+        return F.when(after > 0, after - 1).when(from_end > 0, F.length(text) - from_end + 1 - F.length(part))
 
     good = line_start.isNotNull() & (line_start > 0) & (line_start <= F.size(rows))
     return F.when(good, let(start, choose))

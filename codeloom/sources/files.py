@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import hmac
-from hashlib import sha256
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -75,14 +71,24 @@ def repo_name(url: Column) -> Column:
     return F.concat_ws("/", F.try_element_at(parts, F.lit(-2)), F.try_element_at(parts, F.lit(-1)))
 
 
-def signed(body: Column, signature: Column, secret: bytes) -> Column:
-    """Whether a body has this HMAC-SHA256 signature; Spark has no such function."""
+def hmac_sha256(body: Column, secret: bytes | Column) -> Column:
+    """HMAC-SHA256 in lower-case hex, in the JVM; the secret may be a binary column (one a sender)."""
+    secret = F.lit(secret) if isinstance(secret, bytes) else secret
+    key = F.when(F.length(secret) > 64, F.unhex(F.sha2(secret, 256))).otherwise(secret)
+    digits = F.rpad(F.hex(key), 128, "0")
+
+    def pad(mask: int) -> Column:
+        byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int").bitwiseXOR(F.lit(mask))
+        return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.lpad(F.hex(byte(i)), 2, "0")), ""))
+
+    inner = F.sha2(F.concat(pad(0x36), body.cast("binary")), 256)
+    return F.sha2(F.concat(pad(0x5C), F.unhex(inner)), 256)
 
-    def check(bodies: pd.Series, marks: pd.Series) -> pd.Series:
-        made = bodies.map(lambda b: "sha256=" + hmac.new(secret, (b or "").encode(), sha256).hexdigest())
-        return pd.Series([hmac.compare_digest(a, b or "") for a, b in zip(made, marks, strict=True)])
 
-    return F.pandas_udf(check, "boolean")(body, signature)
+def signed(body: Column, signature: Column, secret: bytes | Column) -> Column:
+    """Whether a body has this signature, ``sha256=`` and its HMAC; a null body is empty, a null signature is none."""
+    made = F.concat(F.lit("sha256="), hmac_sha256(F.coalesce(body, F.lit("")), secret))
+    return F.coalesce(made == signature, F.lit(False))
 
 
 def webhooks(events: DataFrame) -> DataFrame:

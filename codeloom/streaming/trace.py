@@ -93,6 +93,29 @@ def stream_durations(trace: DataFrame, delay: str = "10 minutes", wait_ms: int =
     return layer.groupBy(*KEYS).applyInPandasWithState(step, _PAIRS, "held string", "append", "EventTimeTimeout")
 
 
+def numbered(trace: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """Layer events with ``nth``, their place in their layer, as a producer counts them."""
+    layer = trace.where(F.col("type").isin("layer_start", "layer_end"))
+    return layer.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("ts", "seq")).cast("long"))
+
+
+def join_durations(trace: DataFrame, delay: str = "10 minutes", longest: str = "1 day", keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """:func:`durations` as a join of the stream of starts with the stream of ends (STR-2, STR-3), for batches too.
+
+    ``trace`` has ``nth`` of :func:`numbered`: a start and the end just after it carry consecutive numbers, so both sides are spread by
+    all of their key. The state stays in the JVM and is bounded: a start waits ``longest`` for its end, an end ``delay`` for its start.
+    """
+    starts = trace.where("type = 'layer_start'").select(*[F.col(k).alias(f"_{k}") for k in keys], (F.col("nth") + 1).alias("_nth"), F.col("ts").alias("started"))
+    ends = trace.where("type = 'layer_end'").select(*keys, "status", "nth", F.col("ts").alias("ended"))
+    if trace.isStreaming:
+        starts, ends = starts.withWatermark("started", delay), ends.withWatermark("ended", delay)
+    same = [F.col(f"_{k}") == F.col(k) for k in keys]
+    near = (F.col("ended") >= F.col("started")) & (F.col("ended") <= F.col("started") + F.expr(f"INTERVAL '{longest}'"))
+    both = starts.join(ends, [*same, F.col("_nth") == F.col("nth"), near])
+    ms = F.floor((F.unix_micros("ended") - F.unix_micros("started")) / 1000).cast("long")
+    return both.select(*keys, "status", "started", "ended", ms.alias("duration_ms"))
+
+
 def fan_out(trace: DataFrame, sinks: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):  # noqa: ANN201
     """Hand every micro-batch to ``sinks`` (STR-3, SNK-8); ``every`` is the poll interval (STR-5), all there is and stop without it."""
     writer = trace.writeStream.foreachBatch(sinks).option("checkpointLocation", checkpoint)
