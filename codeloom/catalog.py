@@ -625,4 +625,4 @@ def analysis_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analysis.evidence(done, "2024-01-01T00:00:00").select("analysis_id", "file_idx", "report.executive_summary", "report.full_markdown")
 
 
-from . import catalog_code, catalog_state  # noqa: E402, F401
+from . import catalog_code, catalog_plain, catalog_state  # noqa: E402, F401
