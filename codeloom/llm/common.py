@@ -46,6 +46,17 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that go to a Python worker at a time. Spark's 10,000 long texts are tens of megabytes on both sides of each task.
+BATCH_ROWS = 1_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Send Python workers at most ``BATCH_ROWS`` rows at a time from now on; a session that wants fewer keeps its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) <= 0 or int(spark.conf.get(name)) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 #: Tables of the scratch scopes that are open, innermost last.
 _SCOPES: list[list[str]] = []
 
