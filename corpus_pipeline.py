@@ -13,11 +13,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import op1_decontaminate, op4_simhash, op5_pii, op7_mixing, op10_quality
-from codeloom.llm.common import ensure_checkpoints
+from codeloom.llm.common import ensure_checkpoints, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep. Null and empty texts go; repeated rows are judged alike."""
+    small_batches(spark)
     return op10_quality.keep_good(docs)
 
 
@@ -26,21 +27,25 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows without a doc_id all stay, as do different texts under one doc_id; of rows that repeat both one stays.
     """
+    small_batches(spark)
     return op4_simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark. Null and empty texts or items match nothing."""
+    small_batches(spark)
     return op1_decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with surrogates for personal data, null and empty texts as they are; n_chars is set anew."""
+    small_batches(spark)
     return op5_pii.clean(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """How many words of each document the mix takes, with its text and language. Null sources are one source."""
+    small_batches(spark)
     return op7_mixing.mix(docs, keep=["text", "lang"])
 
 
