@@ -129,7 +129,7 @@ def _spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT CAST(p.file_id AS INTEGER) AS file_idx, CAST(chunk AS INTEGER) AS chunk, any_value(start_line)::INTEGER AS start_line, md5(string_agg(line, chr(10) ORDER BY k, line_no)) AS digest
 FROM packed p JOIN code_lines l ON l.file_id = p.file_id AND l.line_no BETWEEN a AND b GROUP BY p.file_id, chunk""")
 def packed_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Functions packed into chunks of at most ten lines, found by line patterns (CHK-2)."""
+    """Functions packed into chunks of at most ten lines, found by line patterns (CHK-2, SRT-3)."""
     got = _spans(spark, sf_dir).select("file_idx", F.posexplode(structure.reader_chunks(F.col("content"), F.col("functions"), _SIZE)).alias("chunk", "c"))
     return got.select("file_idx", "chunk", "c.start_line", F.md5("c.code").alias("digest"))
 

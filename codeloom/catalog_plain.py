@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog, rules, schemas
 from .functions import scalars
-from .operators import agents, edits, graph, history, risk, rollup, scan, structure, testruns
+from .operators import agents, edits, graph, history, language, risk, rollup, scan, structure, testruns
 from .plans import fixtures
-from .plans.fixtures import quote, sql_pick
+from .plans.fixtures import sql_pick
 from .registry import query
+from .sources import files as sources
 
 # --- views --------------------------------------------------------------------------------------------------------
 
@@ -253,3 +255,75 @@ def risk_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.lit(None).cast("string")
     got = by.select(k, risk.evidence(called, F.array(F.when(k % 2 == 0, "requests").otherwise("mathx")), F.col("c"), none, none, none).alias("e"))
     return got.select("analysis_id", F.size("e.changes").alias("n"), F.col("e.functions_with_calls").alias("calling"), "e.io_imports", F.transform("e.changes", lambda c: c["old_code_preview"]).alias("previews"))
+
+
+# --- scans and rules by language ----------------------------------------------------------------------------------
+
+_NAMED = f"{fixtures.SQL_FILES}, named AS (SELECT file_idx, content, {catalog._LANGUAGE} AS language FROM files)"
+
+
+@query(f"""WITH {_NAMED}, keyed AS (SELECT n.*, coalesce(k.lang_key, lower(language)) AS own, string_split(content, chr(10)) AS l FROM named n LEFT JOIN {catalog._KEYS} k(name, lang_key) ON k.name = language)
+SELECT file_idx, CAST(row_number() OVER (PARTITION BY file_idx ORDER BY rule_ord) - 1 AS INTEGER) AS ord, pattern AS issue_type,
+  CAST(list_filter(list_transform(range(1, len(l) + 1), lambda i : CASE WHEN contains(l[i], legacy) THEN i END), lambda i : i IS NOT NULL) AS INTEGER[]) AS affected_lines, 'Use ' || trim(modern) AS modernization_hint
+FROM keyed JOIN {catalog._GOLDEN} g(lang_key, rule_ord, legacy, modern, pattern) ON g.lang_key = own AND legacy <> modern AND contains(content, legacy)""")
+def rule_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues that the golden rules find in files, with their lines (AGT-1)."""
+    f = agents.rule_issues(language.detect(fixtures.files(spark, sf_dir)))
+    return f.select("file_idx", F.posexplode("issues").alias("ord", "i")).select("file_idx", "ord", "i.issue_type", "i.affected_lines", "i.modernization_hint")
+
+
+@query(f"""WITH {_NAMED}, l AS (SELECT file_idx, language, unnest(string_split(content, chr(10))) AS line FROM named), hits AS (
+  SELECT file_idx, severity FROM l JOIN {catalog._PYTHON} r(rule_ord, regex, severity, issue) ON language = 'Python' AND regexp_matches(line, regex)
+  UNION ALL SELECT file_idx, severity FROM l JOIN {catalog._GENERIC} r(rule_ord, regex, severity, issue) ON language <> 'Python' AND regexp_matches(line, regex)),
+n AS (SELECT file_idx, count_if(severity = 'HIGH') AS high, count_if(severity = 'MEDIUM') AS medium, count_if(severity = 'LOW') AS low FROM hits GROUP BY file_idx),
+s AS (SELECT file_idx, count(*) AS secrets FROM l JOIN {catalog._SECRETS} r(rule_ord, regex) ON regexp_matches(line, regex) GROUP BY file_idx)
+SELECT f.file_idx, CASE WHEN n.file_idx IS NOT NULL THEN CASE WHEN language = 'Python' THEN 'heuristic_python' ELSE 'heuristic' END END AS tool, coalesce(high, 0)::INTEGER AS high, coalesce(medium, 0)::INTEGER AS medium,
+  coalesce(low, 0)::INTEGER AS low, coalesce(secrets, 0)::INTEGER AS secrets, coalesce(high, 0) = 0 AND coalesce(secrets, 0) = 0 AS gate_passed, CAST(NULL AS DOUBLE) AS maintainability_index
+FROM named f LEFT JOIN n ON n.file_idx = f.file_idx LEFT JOIN s ON s.file_idx = f.file_idx""")
+def file_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole files scanned by the rules of their language (SCN-4 to SCN-7); what needs a missing tool is null."""
+    f = scan.file_scan(language.detect(fixtures.files(spark, sf_dir)))
+    names = ("high", "medium", "low", "secrets")
+    return f.select("file_idx", F.get("security_findings", F.lit(0))["tool"].alias("tool"), *[F.col(f"risk_summary.{n}") for n in names], F.col("security_gate_passed").alias("gate_passed"), "maintainability_index")
+
+
+@query("""SELECT p_partkey, CAST(list_transform(range(CAST(ceil(p_partkey % 13 / 5) AS BIGINT)), lambda i : least(5, p_partkey % 13 - 5 * i)) AS INTEGER[]) AS sizes, ['C++', 'C#', 'Python', 'JavaScript'][p_partkey % 4 + 1] AS language,
+  ['cpp', 'c_sharp', 'python', 'javascript'][p_partkey % 4 + 1] AS parser FROM part""")
+def issue_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Issues in batches of five, and the key of a language's parser (AGT-7, LNG-6)."""
+    k = F.col("p_partkey")
+    issue = F.from_json(F.lit("{}"), schemas.ISSUE.removeprefix("struct<").removesuffix(">").replace("\n", " ").replace(":", " "))
+    lang = fixtures.pick(("C++", "C#", "Python", "JavaScript"), k % 4)
+    sizes = F.transform(agents.batches(F.array_repeat(issue, (k % 13).cast("int"))), F.size)
+    return fixtures.read(spark, sf_dir, "part").select(k, sizes.alias("sizes"), lang.alias("language"), language.parser_key(lang).alias("parser"))
+
+
+@query(f"""WITH {catalog._TREE} SELECT repo, ord, path, CAST(row_number() OVER (PARTITION BY repo ORDER BY ord) AS INTEGER) AS file_idx FROM tree
+WHERE type = 'blob' AND lower(regexp_extract(path, '[^/.](\\.[^./]+)$', 1)) IN ({catalog._SUPPORTED}) AND coalesce(size, 0) <= 512000 AND NOT ({catalog._EXCLUDED}) AND (repo <> '1' OR ord % 3 = 0)
+QUALIFY file_idx <= {rules.MAX_REPO_FILES}""")
+def selected_repo_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that are read where one repository has a selection (JOIN-13)."""
+    tree = catalog._tree(spark, sf_dir)
+    chosen = tree.where("repo = '1' AND ord % 3 = 0").select("repo", "path")
+    return sources.repo_files(tree, chosen).select("repo", "ord", "path", "file_idx")
+
+
+@query(f"""WITH {fixtures.SQL_ANALYSES} SELECT id, user_id FROM analyses WHERE language = 'Go' AND status = 'complete'""")
+def rows_of_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of given keys (SRC-8)."""
+    return sources.by_key(fixtures.analyses(spark, sf_dir), language="Go", status="complete").select("id", "user_id")
+
+
+@query(f"""WITH {_FUNCTIONS}, files AS (SELECT DISTINCT p_partkey % 40 AS file FROM part), gone AS (
+  SELECT file, list_sort(list(name)) AS missing FROM (SELECT DISTINCT file, name FROM fs EXCEPT SELECT DISTINCT file, name FROM fs WHERE ord % 5 > 0) GROUP BY file),
+sums AS (SELECT file, sum(CASE WHEN ord % 5 > 0 THEN complexity + 1 ELSE 0 END) - sum(complexity) AS delta FROM fs GROUP BY file)
+SELECT f.file, missing IS NULL AND f.file % 4 <= f.file % 3 AS valid, coalesce(missing, []::VARCHAR[]) AS missing_functions, CASE WHEN f.file % 2 = 0 THEN [concat('import b', f.file)] ELSE []::VARCHAR[] END AS new_imports,
+  CAST(f.file % 4 - f.file % 3 AS INTEGER) AS new_errors, CAST(coalesce(delta, 0) AS INTEGER) AS complexity_delta FROM files f LEFT JOIN gone g ON g.file = f.file LEFT JOIN sums s ON s.file = f.file""")
+def strict_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two parse records compared: lost functions, new imports, new errors, complexity (EDIT-6)."""
+    k = F.col("file")
+    kept = F.transform(F.filter("functions", lambda f: f["ord"] % 5 > 0), lambda f: f.withField("complexity", f["complexity"] + 1))
+    record = lambda fs, errors, more: F.struct(fs.alias("functions"), errors.cast("int").alias("error_node_count"), F.transform(more, lambda m: F.struct(m.alias("raw"))).alias("imports"))
+    one = F.array(F.lit("import a"))
+    after = F.when(k % 2 == 0, F.concat(one, F.array(F.concat(F.lit("import b"), k)))).otherwise(one)
+    return _functions(spark, sf_dir).select(k, edits.validate_strict(record(F.col("functions"), k % 3, one), record(kept, k % 4, after)).alias("v")).select("file", "v.*")

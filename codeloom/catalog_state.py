@@ -14,7 +14,6 @@ from . import rules
 from .operators import identity
 from .operators.history import PLACEHOLDER
 from .plans import fixtures
-from .plans.fixtures import quote
 from .registry import query
 from .sources import files as sources
 from .sources.tables import Table, shared_folder

@@ -7,24 +7,26 @@ from pyspark.sql import functions as F
 
 from ..functions.text import barrier
 from ..operators import agents, edits, language, matching, report, risk, rollup, scan, structure, testruns
+from ..sources.tables import written
 
 
 def layers(files: DataFrame) -> DataFrame:
     """``files(analysis_id, file_idx, path, content)`` through all layers; nothing but the last aggregations shuffles.
 
-    A file of unknown language or without issues stops where it does in a run: its later columns are null (FLT-10).
+    A file of unknown language or without issues stops where it does in a run: its later columns are null (FLT-10). Rows are written
+    after the costly layers, as each would otherwise be planned, and partly worked out, again for every layer and result after it.
     """
     df = language.detect(files)
     known = F.col("language") != "Unknown"
-    df = scan.file_scan(structure.parse(df))
+    df = written(scan.file_scan(structure.parse(df)), "scanned")
     df = agents.rule_issues(df)
     df = df.withColumn("issues", F.when(known, F.col("issues")))
-    df = agents.rule_changes(df)
+    df = written(agents.rule_changes(df), "proposed")
     going = known & (F.size("issues") > 0)
     df = df.withColumn("changes", F.when(going, F.col("changes")))
     validated = F.filter("changes", lambda c: c["status"] == "validated")
     df = edits.modernise(df.withColumn("_valid", validated), changes="_valid")
-    df = df.withColumn("diff_result", F.when(going, F.col("diff_result")))
+    df = written(df.withColumn("diff_result", F.when(going, F.col("diff_result"))), "edited")
     modified = F.coalesce("diff_result.modified_file", "content")
     df = df.withColumn("_after", F.struct(F.col("path"), modified.alias("content"), F.col("language")))
     df = df.withColumn("modified_ast", barrier(F.pandas_udf(structure._parse_batch, dict(df.dtypes)["ast"]))(modified, language.parser_key(F.col("language"))))
@@ -32,7 +34,7 @@ def layers(files: DataFrame) -> DataFrame:
     df = df.withColumn("test_result", F.when(going, testruns.run(F.col("language"), F.col("content"), modified)))
     df = df.withColumn("validated_changes", testruns.unless_regression(F.col("changes"), F.col("test_result.regression_detected")))
     df = df.withColumn("risk_result", F.when(going, risk.assess(F.col("changes"), F.col("test_result.regression_detected"))))
-    return df.drop("_valid", "_after")
+    return written(df.drop("_valid", "_after"), "done")
 
 
 def evaluated(done: DataFrame, golden: DataFrame) -> DataFrame:

@@ -39,6 +39,12 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again: what follows neither plans nor works it out anew."""
+    df.write.parquet(path := f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}")
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class _Files:
     """The few file operations that a manifest needs, on any store that Spark reads."""
 
