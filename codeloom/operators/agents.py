@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -74,24 +75,29 @@ def shift_lines(issue_lines: Column, offset: Column) -> Column:
     return F.when(offset > 0, F.transform(issue_lines, lambda n: n + offset)).otherwise(issue_lines)
 
 
+_RULES = "array<struct<legacy:string,modern:string,pattern:string>>"
+
+
+def _rules() -> Column:
+    """The golden rules by language as one literal, which is read once however many files there are."""
+    table = {k: [dict(zip(("legacy", "modern", "pattern"), r, strict=True)) for r in rs] for k, rs in rules.GOLDEN.items()}
+    return F.from_json(F.lit(json.dumps(table)), f"map<string,{_RULES}>")
+
+
 def rule_issues(files: DataFrame, content: str = "content", language: str = "language") -> DataFrame:
     """``files`` with ``issues`` by rules, the default reader (AGT-1): a golden rule whose legacy text occurs, with its lines."""
-    empty = F.array().cast(f"array<{schemas.ISSUE}>")
-    rows = lines(F.col(content))
+    rows, own = lines(F.col(content)), F.try_element_at(_rules(), rule_key(F.col(language)))
 
-    def one(legacy: str, modern: str, pattern: str) -> Column:
-        at = F.filter(F.transform(rows, lambda x, i: F.when(F.contains(x, F.lit(legacy)), i + 1)), lambda n: n.isNotNull())
+    def one(r: Column) -> Column:
+        at = F.filter(F.transform(rows, lambda x, i: F.when(F.contains(x, r["legacy"]), i + 1)), lambda n: n.isNotNull())
         issue = F.struct(
-            F.lit(pattern).alias("issue_type"), F.lit(f"Legacy {pattern.replace('_', ' ')}").alias("description"), at.alias("affected_lines"), F.lit(2).alias("priority"),
-            F.lit("low").alias("estimated_impact"), F.lit(f"Use {modern.strip()}").alias("modernization_hint"), F.lit(True).alias("safe_to_auto_fix"),
+            r["pattern"].alias("issue_type"), F.concat(F.lit("Legacy "), F.replace(r["pattern"], F.lit("_"), F.lit(" "))).alias("description"), at.alias("affected_lines"), F.lit(2).alias("priority"),
+            F.lit("low").alias("estimated_impact"), F.concat(F.lit("Use "), strip(r["modern"])).alias("modernization_hint"), F.lit(True).alias("safe_to_auto_fix"),
         )
-        return F.when(F.contains(F.col(content), F.lit(legacy)), issue)
+        return F.when(F.contains(F.col(content), r["legacy"]) & (r["legacy"] != r["modern"]), issue)
 
-    out = empty
-    for key, table in rules.GOLDEN.items():
-        fits = F.filter(F.array(*[one(*r) for r in table if r[0] != r[1]]), lambda x: x.isNotNull())
-        out = F.when(rule_key(F.col(language)) == key, fits.cast(f"array<{schemas.ISSUE}>")).otherwise(out)
-    return files.withColumn("issues", out)
+    found = F.filter(F.transform(F.coalesce(own, F.array().cast(_RULES)), one), lambda x: x.isNotNull())
+    return files.withColumn("issues", found.cast(f"array<{schemas.ISSUE}>"))
 
 
 def rule_changes(files: DataFrame, content: str = "content", language: str = "language") -> DataFrame:
@@ -99,19 +105,15 @@ def rule_changes(files: DataFrame, content: str = "content", language: str = "la
 
     Issues that aren't safe become changes for people (AGT-7); those without lines get line 0.
     """
-    rows = lines(F.col(content))
+    rows, every = lines(F.col(content)), F.flatten(F.map_values(_rules()))
     kind = f"array<{schemas.EDIT}>"
 
     def fixed(issue: Column, i: Column) -> Column:
         first = F.coalesce(F.try_element_at(issue["affected_lines"], F.lit(1)), F.lit(0))
         last = F.coalesce(F.try_element_at(issue["affected_lines"], F.lit(-1)), F.lit(0))
         line = F.try_element_at(rows, F.when(first > 0, first))
-        new = line
-        for table in rules.GOLDEN.values():
-            for legacy, modern, pattern in table:
-                if legacy != modern:
-                    hit = (issue["issue_type"] == pattern) & F.contains(line, F.lit(legacy))
-                    new = F.when(hit, F.replace(line, F.lit(legacy), F.lit(modern))).otherwise(new)
+        hits = lambda r: (issue["issue_type"] == r["pattern"]) & (r["legacy"] != r["modern"]) & F.contains(line, r["legacy"])
+        new = F.aggregate(every, line, lambda was, r: F.when(hits(r), F.replace(line, r["legacy"], r["modern"])).otherwise(was))
         safe = F.coalesce(issue["safe_to_auto_fix"], F.lit(True))
         return F.struct(
             i.alias("ord"), issue["issue_type"].alias("issue_type"), F.when(safe, line).otherwise("").alias("old_code"), F.when(safe, new).otherwise("").alias("new_code"),
