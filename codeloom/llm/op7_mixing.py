@@ -18,7 +18,7 @@ like others. Rows that repeat id, text and source are one entry with a count; wh
 
 Defined cases: a null text has no words; a null source is a source of its own, sorted last; a source
 without words has the target 0; repeated rows are documents of their own with the same ``taken``; a null
-``doc_id`` is ordered by its hash like any other; columns in ``keep`` may have any name; an empty table gives an empty result.
+``doc_id`` is ordered by its hash like any other; columns in ``keep`` named like new ones get an underscore; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -147,8 +147,9 @@ def mix(
         rows = docs.select(key.alias("_key"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *[F.col(f"`{c}`").alias(f"_keep{k}") for k, c in enumerate(keep)])
         plan = plan.withColumnRenamed("_size", "size")
     got = rows.join(plan, (F.col("_key") == F.col("_its")) & F.col("source").eqNullSafe(F.col("_from")))
-    last = [F.col(f"_keep{k}").alias(c) for k, c in enumerate(keep)]
-    return got.select("doc_id", "source", "size", "source_size", "target", "taken", *last)
+    own = ("doc_id", "source", "size", "source_size", "target", "taken")
+    last = [F.col(f"_keep{k}").alias(f"{c}_" if c.lower() in own else c) for k, c in enumerate(keep)]
+    return got.select(*own, *last)
 
 
 ORACLE_SQL = f"""

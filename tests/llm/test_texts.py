@@ -427,6 +427,18 @@ def test_false_secrets_are_bounded(spark):
     assert len(plain) == 800 and len([i for i in hits if i < 800]) <= 40 and len([i for i in hits if i >= 800]) >= 90
 
 
+def test_the_battery_does_real_work(spark, monkeypatch):
+    """Without it abbreviated names are reported that it drops, though the null of structured text alone lets them pass."""
+    rng = random.Random(5)
+    parts = "cfg mgr ctx svc usr pkg tmp src dst idx ptr buf cmd req rsp hdr cnt str num".split()
+    names = ["_".join(rng.choice(parts) for _ in range(7)) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(names)), "doc_id long, text string")
+    reported = lambda: sum(any(x.kind == 3 for x in r.spans) for r in op6.scan(df).collect())
+    with_it = reported()
+    monkeypatch.setattr(op6, "p_random", lambda token: F.lit(1.0))
+    assert with_it == 0 and reported() >= 5
+
+
 def test_battery_and_null_by_hand(spark):
     rng = random.Random(13)
     some = _ordinary(rng, 60) + ["".join(rng.choice(a) for _ in range(n)) for a in (_BASE62, "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", _BASE62 + "+/") for n in (20, 33, 64)] + ["a" * 30, "ab" * 20, "A1" * 15 + "==", "_" * 25 + "a1", "+-" * 12]
@@ -525,3 +537,19 @@ def test_mix_without_ids(spark):
     con.executemany("INSERT INTO documents VALUES (?, ?, ?)", rows)
     theirs = con.execute(f"SELECT doc_id, source, size, source_size, target, taken FROM ({op7.ORACLE_SQL})").fetchall()
     assert Counter((r.doc_id, r.source, r["size"], r.source_size, r.target, r.taken) for r in op7.mix(df).collect()) == Counter(theirs)
+
+
+def test_mix_of_long_texts_and_clashing_columns(spark):
+    rows = [(1, "w " * 400_000, "s", "mine"), (2, "w " * 100, "s", "own"), (3, None, "s", None), (4, "", None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string").withColumn("Target", F.lit("kept"))
+    got = op7.mix(df, keep=["text", "size", "Target"])
+    assert got.columns == ["doc_id", "source", "size", "source_size", "target", "taken", "text", "size_", "Target_"]
+    r = {x.doc_id: x for x in got.collect()}
+    assert r[1]["size"] == 400_000 and r[1].size_ == "mine" and r[3].taken == 0 and r[4]["size"] == 0 and {x.Target_ for x in r.values()} == {"kept"}
+    assert abs(r[1].taken + r[2].taken - 1.5 * 400_100) < 0.02 * 400_100
+
+
+def test_counts_of_a_long_text(spark):
+    text = "line of words that repeats itself again and again\n" * 20_000 + "# end"
+    one = op10.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (one.q_n_words, one.q_word_chars, one.q_n_symbols, one.q_n_dup_lines, one.q_n_repeat_words) == slow_counts(text) and one.q_base_failed and not one.q_kept
