@@ -63,7 +63,7 @@ _SCOPES: list[list[str]] = []
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """A scope whose tables by :func:`cut` are deleted at its end, but for those to be kept.
+    """A scope whose tables by :func:`cut` are deleted at its end, but for those to be kept, which go to the scope around it if there is one.
 
     What leaves the scope mustn't be worked out from a deleted table any more: cut it with ``keep``.
     """
@@ -72,8 +72,13 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         yield
     finally:
         for path in _SCOPES.pop():
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            drop(spark, path)
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared checkpoint folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def cut(df: DataFrame, keep: bool = False) -> DataFrame:
@@ -83,8 +88,8 @@ def cut(df: DataFrame, keep: bool = False) -> DataFrame:
     dozens of steps planning alone takes minutes; a table has the size of its files.
     """
     out = table(df, name := f"cut-{uuid.uuid4().hex}")
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}")
+    if len(_SCOPES) > keep:
+        _SCOPES[-1 - keep].append(f"{df.sparkSession.sparkContext.getCheckpointDir()}/{name}")
     return out
 
 

@@ -65,3 +65,15 @@ def test_the_result_has_cleaned_texts(spark, tmp_path):
     _tables(spark, tmp_path)
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert all(r.text and r.lang == "en" and r["size"] == len(r.text.split()) for r in got) and not any("a.1@mail2" in r.text for r in got)
+
+
+def test_nothing_but_the_result_is_left(spark, tmp_path):
+    """A run leaves one folder with its last stage in the shared folder, whatever its stages cut on their way."""
+    import os
+
+    _tables(spark, tmp_path)
+    shared = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(shared))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    left = set(os.listdir(shared)) - before
+    assert len(left) == 1 and os.listdir(os.path.join(shared, *left)) == ["4-mixing"]
