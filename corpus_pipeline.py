@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; its result is written as Parquet to the
 shared checkpoint folder and read again as the next stage's documents, so a lost executor costs tasks of
-one stage only. An empty table goes through all of them; further columns pass through all but the last.
+one stage only; :func:`run` deletes a result once the next one is written, and what a stage cut on its way. An empty table goes through all of them; further columns pass through all but the last.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from codeloom.llm import op1_decontaminate, op4_simhash, op5_pii, op7_mixing, op10_quality
-from codeloom.llm.common import ensure_checkpoints, small_batches
+from codeloom.llm.common import drop, ensure_checkpoints, scratch, small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +66,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ensure_checkpoints(spark)
     base = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(path := f"{base}/{k}-{name}")
-        docs = spark.read.parquet(path)
+        with scratch(spark):  # what a stage cuts goes when its result is written
+            stage(spark, docs, sf_dir).write.parquet(path := f"{base}/{k}-{name}")
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
