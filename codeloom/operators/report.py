@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 COLOURS = {"LOW": "#22c55e", "MEDIUM": "#f59e0b", "HIGH": "#ef4444"}
 
 
+# The wording of headings, sentences and table columns in the functions below, as readers of the reports know them.
+
+
 def _t(value: Column, missing: str = "N/A") -> Column:
     return F.coalesce(value.cast("string"), F.lit(missing))
 
