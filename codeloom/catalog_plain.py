@@ -113,15 +113,20 @@ def call_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maps.select("analysis_id", "path", graph.calling_functions(g).alias("calling"), F.array_sort(F.map_keys(graph.with_calls(g))).alias("callers"), graph.busy(g, 1).alias("busy"))
 
 
-def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forty files with functions (a third of the parts), classes and imports."""
+def _function_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(file, kind, f)``: what forty files hold, functions (a third of the parts, kind 0), classes (1) and imports (2)."""
     k = F.col("p_partkey")
     one = F.struct(
         k.alias("ord"), F.concat(F.lit("fn"), k % 50).alias("name"), (k % 7 + 1).cast("int").alias("complexity"), F.when(k % 2 == 0, F.concat(F.lit("C"), k % 3)).alias("class"), (k % 9).cast("int").alias("start_line"),
         (k % 9 + 3).cast("int").alias("end_line"), F.array_repeat(F.lit("x"), (k % 4).cast("int")).alias("calls"), F.when(k % 5 > 0, k % 5 > 1).alias("is_public"),
     )
-    by = fixtures.read(spark, sf_dir, "part").groupBy((k % 40).alias("file"))
-    return by.agg(F.array_sort(F.collect_list(F.when(k % 3 == 0, one))).alias("functions"), F.collect_list(F.when(k % 3 == 1, F.lit("c"))).alias("classes"), F.collect_list(F.when(k % 3 == 2, F.lit("i"))).alias("imports"))
+    return fixtures.read(spark, sf_dir, "part").select((k % 40).alias("file"), (k % 3).alias("kind"), F.when(k % 3 == 0, one).alias("f"))
+
+
+def _functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of :func:`_function_rows`, one row each."""
+    by, kind = _function_rows(spark, sf_dir).groupBy("file"), F.col("kind")
+    return by.agg(F.array_sort(F.collect_list("f")).alias("functions"), F.collect_list(F.when(kind == 1, F.lit("c"))).alias("classes"), F.collect_list(F.when(kind == 2, F.lit("i"))).alias("imports"))
 
 
 _FUNCTIONS = """fs AS (SELECT p_partkey % 40 AS file, p_partkey AS ord, concat('fn', p_partkey % 50) AS name, p_partkey % 7 + 1 AS complexity, CASE WHEN p_partkey % 2 = 0 THEN concat('C', p_partkey % 3) END AS class,
@@ -154,10 +159,11 @@ SELECT f.file, f.ord, f.name, m.c::INTEGER AS radon_complexity, CASE WHEN m.c IS
 FROM fs f LEFT JOIN measured m ON m.file = f.file AND m.name = f.name""")
 def measured_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Functions with a tool's complexity, the last of a name, and whether their file has methods of a class (JOIN-9, JOIN-10)."""
-    f = _functions(spark, sf_dir)
-    measured = F.transform(F.filter("functions", lambda x: x["ord"] % 2 == 1), lambda x: F.struct(x["name"].alias("name"), x["complexity"].alias("complexity"), F.lit("A").alias("rank")))
-    got = f.select("file", F.explode(structure.with_radon(F.col("functions"), measured)).alias("x"), (F.size(structure.methods_of(F.col("functions"), F.lit("C0"))) > 0).alias("has_c0"))
-    return got.select("file", "x.ord", "x.name", "x.radon_complexity", "x.radon_rank", "has_c0")
+    f = _function_rows(spark, sf_dir).where("kind = 0").select("file", "f.*")
+    measured = f.where("ord % 2 = 1").select("file", "ord", "name", "complexity", F.lit("A").alias("rank"))
+    marked = structure.methods_of(f, "C0").select("file").distinct().withColumn("has_c0", F.lit(True))
+    got = structure.with_radon(f, measured).join(marked, "file", "left")
+    return got.select("file", "ord", "name", "radon_complexity", "radon_rank", F.coalesce("has_c0", F.lit(False)).alias("has_c0"))
 
 
 # --- proposals ----------------------------------------------------------------------------------------------------

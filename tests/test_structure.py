@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from codeloom.catalog import QUERIES
 from codeloom.operators import agents, graph, scan, structure, testruns
 
 PY = "import os, sys as s\nfrom .m import a, b\n\n@dec\ndef f(x):\n    if x and y:\n        return g(x)\n    return f(0)\n\nclass C:\n    def _m(self):\n        return requests.get('u')\n"
@@ -35,6 +36,21 @@ def test_metrics_and_call_map(spark):
     assert a.calls == {"f": ["g"], "_m": ["requests.get"]} and b.file_metrics.total_lines == 0
 
 
+def test_radon_and_methods(spark):
+    fs = spark.createDataFrame([("a", 1, "f", "C"), ("a", 2, "f", None), ("a", 3, "g", "D"), ("b", 1, "f", "C")], "file string, ord int, name string, class string")
+    measured = spark.createDataFrame([("a", 1, "f", 5, "A"), ("a", 7, "f", 9, "B"), ("a", 3, None, 1, "A"), ("b", 1, "g", 2, "A")], "file string, ord int, name string, complexity int, rank string")
+    got = structure.with_radon(fs, measured)
+    assert got.columns == [*fs.columns, "radon_complexity", "radon_rank"]
+    assert sorted((r.file, r.ord, r.radon_complexity, r.radon_rank) for r in got.collect()) == [("a", 1, 9, "B"), ("a", 2, 9, "B"), ("a", 3, None, None), ("b", 1, None, None)]
+    assert sorted((r.file, r.name) for r in structure.methods_of(fs, "C").collect()) == [("a", "f"), ("b", "f")]
+
+
+def test_measured_functions_have_no_arrays(spark):
+    """A file's functions aren't gathered and compared with all of its measures: files grow with the parts."""
+    plan = QUERIES["measured_functions"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "lambda" not in plan
+
+
 def _functions(spark, spans, n):
     rows = [("\n".join(f"l{i}" for i in range(1, n + 1)), [{"name": f"f{k}", "start_line": a, "end_line": b} for k, (a, b) in enumerate(spans)])]
     return spark.createDataFrame(rows, "content string, functions array<struct<name:string,start_line:int,end_line:int>>")
