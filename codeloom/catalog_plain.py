@@ -11,6 +11,7 @@ from .operators import agents, edits, graph, history, language, risk, rollup, sc
 from .plans import fixtures
 from .plans.fixtures import sql_pick
 from .registry import query
+from .session import small_batches
 from .sources import files as sources
 
 # --- views --------------------------------------------------------------------------------------------------------
@@ -239,6 +240,7 @@ def single_file_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("p_partkey") % len(_SOURCES)
     p = fixtures.read(spark, sf_dir, "part").select("p_partkey", fixtures.pick([s[0] for s in _SOURCES], k).alias("language"), fixtures.pick([s[1] for s in _SOURCES], k).alias("code"))
     python = F.col("language") == "Python"
+    small_batches(spark)
     got = p.withColumn("c", testruns.compile_check(F.col("language"), F.col("code")))
     py, js = structure.python_stubs(F.col("code")), structure.js_stubs(F.col("code"))
     stubs = testruns.stubs(F.col("language"), F.col("code"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import let, occurrences, pieces, quoted, strip
+from ..session import small_batches
 
 
 def in_order(changes: Column) -> Column:
@@ -96,6 +97,7 @@ def _diff_batch(original: pd.Series, modified: pd.Series) -> pd.DataFrame:
 
 def modernise(files: DataFrame, content: str = "content", changes: str = "changes") -> DataFrame:
     """``files`` with ``diff_result``: modified file, diff, counts and reasons."""
+    small_batches(files.sparkSession)
     edited = files.withColumn("_e", apply_edits(F.col(content), F.coalesce(F.col(changes), F.array().cast(dict(files.dtypes)[changes]))))
     edited = edited.withColumn("_d", diff(F.col(content), F.col("_e.text")))
     result = F.struct(

@@ -29,9 +29,10 @@ def layers(files: DataFrame) -> DataFrame:
     df = written(df.withColumn("diff_result", F.when(going, F.col("diff_result"))), "edited")
     modified = F.coalesce("diff_result.modified_file", "content")
     df = df.withColumn("_after", F.struct(F.col("path"), modified.alias("content"), F.col("language")))
-    df = df.withColumn("modified_ast", barrier(F.pandas_udf(structure._parse_batch, dict(df.dtypes)["ast"]))(modified, language.parser_key(F.col("language"))))
+    parsed = barrier(F.pandas_udf(structure._parse_batch, dict(df.dtypes)["ast"]))(modified, language.parser_key(F.col("language")))
+    tested = F.when(going, testruns.run(F.col("language"), F.col("content"), modified))
+    df = df.withColumns({"modified_ast": parsed, "test_result": tested})  # one Python worker a task for both
     df = df.withColumn("validation", F.when(going, edits.validate(F.col("ast"), F.col("modified_ast"))))
-    df = df.withColumn("test_result", F.when(going, testruns.run(F.col("language"), F.col("content"), modified)))
     df = df.withColumn("validated_changes", testruns.unless_regression(F.col("changes"), F.col("test_result.regression_detected")))
     df = df.withColumn("risk_result", F.when(going, risk.assess(F.col("changes"), F.col("test_result.regression_detected"))))
     return written(df.drop("_valid", "_after"), "done")

@@ -2,6 +2,7 @@
 
 import re
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,21 @@ def test_measured_functions_have_no_arrays(spark):
     assert "collect_list" not in plan and "lambda" not in plan
 
 
+def test_few_files_at_a_time(spark, monkeypatch):
+    """A Python worker gets 100 files at most, fewer if the session says so, whatever number a task has."""
+
+    def counted(content, language):
+        return pd.DataFrame({"functions": [[]] * len(content), "classes": [[]] * len(content), "imports": [[]] * len(content), "has_parse_errors": False, "error_node_count": len(content), "raw_ast_node_count": 0, "fallback_mode": False})
+
+    monkeypatch.setattr(structure, "_parse_batch", counted)
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for own, most in ((10_000, 100), (-1, 100), (7, 7)):
+        spark.conf.set(rows, own)
+        files = spark.range(1_000, numPartitions=1).select(F.lit(PY).alias("content"), F.lit("Python").alias("language"))
+        assert structure.parse(files).agg(F.max("ast.error_node_count")).first()[0] == most
+    spark.conf.unset(rows)
+
+
 def _functions(spark, spans, n):
     rows = [("\n".join(f"l{i}" for i in range(1, n + 1)), [{"name": f"f{k}", "start_line": a, "end_line": b} for k, (a, b) in enumerate(spans)])]
     return spark.createDataFrame(rows, "content string, functions array<struct<name:string,start_line:int,end_line:int>>")
