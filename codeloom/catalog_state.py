@@ -23,6 +23,10 @@ from .streaming import trace
 
 _LONGEST = "3 days"
 
+#: Bytes of arrived files that a micro-batch takes. A batch opens and commits every state partition whatever it holds, so with a number of files
+#: a batch there were as many batches, and commits of all state, as the tasks that wrote the files.
+_BATCH_BYTES = 256 << 20
+
 
 @query(f"""WITH {fixtures.SQL_TRACE}, l AS (SELECT *, lag(type) OVER w AS before, lag(ts) OVER w AS started FROM trace WINDOW w AS (PARTITION BY analysis_id, file, layer ORDER BY ts, seq))
 SELECT analysis_id, layer, status, CAST(floor((epoch_us(ts) - epoch_us(started)) / 1000) AS BIGINT) AS duration_ms FROM l
@@ -33,16 +37,16 @@ def stream_layer_durations(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = trace.numbered(fixtures.trace(spark, sf_dir))
     events.write.parquet(f"{base}/events")
     events = spark.read.parquet(f"{base}/events")
-    first, last = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts"))).first()
+    first, last, n = events.agg(F.min(F.unix_micros("ts")), F.max(F.unix_micros("ts")), F.count(F.lit(1))).first()
     width = ((last or 0) - (first or 0)) // 4 + 1
     sink = Table(spark, f"{base}/sink", trace.join_durations(events, longest=_LONGEST).schema, list(trace.KEYS), buckets=16)
     arrival = F.floor((F.unix_micros("ts") - F.lit(first or 0)) / F.lit(width))
     for k in range(4):
         events.where(arrival == k).write.mode("append").parquet(f"{base}/arrivals")
         if k % 2:
-            arrived = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(f"{base}/arrivals")
+            arrived = spark.readStream.schema(events.schema).option("maxBytesPerTrigger", _BATCH_BYTES).parquet(f"{base}/arrivals")
             pairs = trace.join_durations(arrived, delay=f"{2 * width} microseconds", longest=_LONGEST)
-            trace.fan_out(pairs, sink.sink("durations"), f"{base}/checkpoint").awaitTermination()
+            trace.fan_out(pairs, sink.sink("durations"), f"{base}/checkpoint", partitions=trace.state_partitions(spark, n)).awaitTermination()
     return sink.read().select("analysis_id", "layer", "status", "duration_ms")
 
 

@@ -116,10 +116,28 @@ def join_durations(trace: DataFrame, delay: str = "10 minutes", longest: str = "
     return both.select(*keys, "status", "started", "ended", ms.alias("duration_ms"))
 
 
-def fan_out(trace: DataFrame, sinks: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None):  # noqa: ANN201
-    """Hand every micro-batch to ``sinks`` (STR-3, SNK-8); ``every`` is the poll interval (STR-5), all there is and stop without it."""
+def state_partitions(spark: SparkSession, rows: int, each: int = 250_000) -> int:
+    """State partitions for so many events: one for ``each``, at least one a core, at most as many as the session's shuffles have.
+
+    Every micro-batch opens and commits the state stores of all of them, the empty ones too.
+    """
+    return max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(spark.sparkContext.defaultParallelism, -(-rows // each))))
+
+
+def fan_out(trace: DataFrame, sinks: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None, partitions: int | None = None):  # noqa: ANN201
+    """Hand every micro-batch to ``sinks`` (STR-3, SNK-8); ``every`` is the poll interval (STR-5), all there is and stop without it.
+
+    ``partitions`` is the number of state partitions, which a checkpoint keeps from its first start; the session's number of shuffle partitions without it.
+    """
     writer = trace.writeStream.foreachBatch(sinks).option("checkpointLocation", checkpoint)
-    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    conf, name = trace.sparkSession.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(name)
+    try:
+        if partitions:
+            conf.set(name, partitions)  # a stream takes the settings of its start
+        return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+    finally:
+        conf.set(name, before)
 
 
 def label(kind: Column, file: Column, duration: Column, status: Column, message: Column, issues: Column) -> Column:

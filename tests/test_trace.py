@@ -67,3 +67,19 @@ def test_fan_out(spark, tmp_path):
     q = trace.fan_out(trace.read_stream(spark, str(tmp_path / "in")), lambda df, _: seen.update({r.analysis_id: r["count"] for r in df.groupBy("analysis_id").count().collect()}), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert seen == {"x": 12, "y": 11}
+
+
+def test_state_partitions(spark, tmp_path):
+    """State partitions follow the events, and the session's own number is as before once a stream has started."""
+    name, before = "spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set(name, "200")
+    try:
+        assert [trace.state_partitions(spark, n) for n in (0, 1_000, 6_000_000, 10**9)] == [4, 4, 24, 200]
+        spark.range(10).write.parquet(f"{tmp_path}/in")
+        ids = spark.readStream.schema("id long").parquet(f"{tmp_path}/in").dropDuplicates(["id"])
+        query = trace.fan_out(ids, lambda rows, _: rows.write.mode("append").parquet(f"{tmp_path}/out"), f"{tmp_path}/checkpoint", partitions=3)
+        query.awaitTermination()
+        assert spark.conf.get(name) == "200" and spark.read.parquet(f"{tmp_path}/out").count() == 10
+        assert len([p for p in (tmp_path / "checkpoint/state/0").iterdir() if p.name.isdigit()]) == 3
+    finally:
+        spark.conf.set(name, before)
