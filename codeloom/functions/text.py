@@ -10,8 +10,8 @@ LINE_ENDS = r"(?:\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}])"
 
 
 def pattern(regex: str, ignore_case: bool = False, multiline: bool = False) -> str:
-    """A Python regular expression for Spark: Unicode classes, and ``^`` after line feeds only."""
-    return f"(?U{'i' if ignore_case else ''}{'md' if multiline else ''}){regex}"
+    """A Python regular expression for Spark: Unicode classes, and line feeds are all that ``.`` leaves out and ``^`` follows."""
+    return f"(?Ud{'i' if ignore_case else ''}{'m' if multiline else ''}){regex}"
 
 
 def found(text: Column, regex: str, ignore_case: bool = False, multiline: bool = False) -> Column:
@@ -39,9 +39,9 @@ def quoted(text: Column) -> Column:
     return F.when(single & ~double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
 
 
-def n_lines(text: Column) -> Column:
-    """Number of lines, as ``len(text.splitlines())``."""
-    return F.size(lines(text))
+def feed_lines(text: Column) -> Column:
+    """The text's parts between line feeds, as ``split("\\n")``: an empty text is one line, and a line feed at the very end starts another."""
+    return F.split(text, "\n", -1)
 
 
 def n_lines_parser(text: Column) -> Column:

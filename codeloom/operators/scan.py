@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,10 +11,10 @@ from .. import rules
 from ..functions.text import found, lines
 
 
-def explode_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """One row a line, numbered from 1 (CHK-0)."""
+def explode_lines(files: DataFrame, content: str = "content", split: Callable[[Column], Column] = lines) -> DataFrame:
+    """One row a line, numbered from 1 (CHK-0). ``split`` says what a line is."""
     kept = [c for c in files.columns if c != content]
-    return files.select(*kept, F.posexplode(lines(F.col(content))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    return files.select(*kept, F.posexplode(split(F.col(content))).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
 def hits(line: Column, table: Sequence[tuple[str, str, str]]) -> Column:
